@@ -3,17 +3,21 @@
 Each text becomes the set of its distinct runs of ``width`` words, each set a
 signature of ``SLOTS`` b-bit minima.  Two sets of similarity s differ in a slot
 with probability 1 - s, so of pairs at a similarity of 0.8 all but about one in
-10^5 differ in at most ``ERRORS`` = 35 of 90 slots.  The join finds *every* pair within that
-distance: the signature is split into 18 chunks of 5 slots; by the pigeonhole
-principle some chunk of such a pair has at most one differing slot, and each
-chunk is indexed once for every slot that may differ (5 keys of 4 slots).
+10^5 differ in at most ``ERRORS`` = 35 of 90 slots.  The join finds *every* pair
+within that distance: the signature is split into 18 chunks of 5 slots; by the
+pigeonhole principle some chunk of such a pair has at most one differing slot,
+and each chunk is indexed once for every slot that may differ (5 keys of 4
+slots).
 Candidates are then confirmed on the full sets; links make components.
 
 No bucket is ever expanded into all its pairs: a bucket of more than ``cap``
-members links each member to the bucket's first one, and only if members are
-still in different components afterwards are their signatures compared, in
-groups of bounded size (buckets above it are first split by a second chunk with
-the remaining error budget, and what is still larger by pairs of blocks).
+members links each member to the bucket's first one.  Only if members are still
+in different components afterwards are their signatures compared, in groups of
+bounded size (buckets above it are first split by a second chunk with the
+remaining error budget, and what is still larger by pairs of blocks).  What is
+within the distance there is joined to families, and each family's full sets
+are compared in bounded groups, which return no more links than it takes to
+join the components that belong together.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
@@ -194,20 +198,24 @@ def _split_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(made[rest].view(np.int64)), *(part.column(k).take(pa.array(row)) for k in (1, 2, 3))], ["key", "cid", "comp", "sig"])
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of a group (cid, comp, sig) within ERRORS, of different components."""
+def _families(table: pa.Table) -> pa.Table:
+    """Of a group (cid, comp, sig): edges (a, b) that connect all members which
+    have another within ERRORS in a different component; a star for each
+    connected family, so there are fewer edges than members."""
     cid, comp = table.column("cid").to_numpy(), table.column("comp").to_numpy()
     sig = _matrix(table.column("sig").combine_chunks())
-    order = np.argsort(cid, kind="stable")
-    cid, comp, sig = cid[order], comp[order], sig[order]
-    a, b = [], []
+    family = np.arange(len(cid))
     for i in range(len(cid) - 1):
         other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         near = other[(sig[other] != sig[i]).sum(1) <= ERRORS]
-        a.append(np.full(len(near), cid[i]))
-        b.append(cid[near])
-    none = [np.empty(0, np.int64)]
-    return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        joined = np.unique(family[np.append(near, i)])
+        if len(joined) > 1:
+            family[np.isin(family, joined)] = joined[0]
+    low = cid.copy()
+    np.minimum.at(low, family, cid)
+    root = low[family]
+    spoke = np.flatnonzero(root != cid)
+    return pa.table({"a": cid[spoke], "b": root[spoke]})
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +255,44 @@ def _linked(percent: int):
     return run
 
 
+def _confirm_family(percent: int):
+    """Of a group (cid, comp, set): links between different components, as many
+    as it takes to join those that belong together.  Shared elements of all
+    pairs are counted as products of 0/1 columns, a bounded number at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, comp = table.column("cid").to_numpy(), table.column("comp").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        value = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        fresh = np.concatenate([[True], value[1:] != value[:-1]])
+        column = np.cumsum(fresh) - 1
+        often = np.bincount(column)[column] > 1
+        column, owner = column[often], owner[often]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        lo = 0
+        while lo < len(column):
+            hi = int(np.searchsorted(column, column[lo] + 2048))
+            part = np.zeros((len(sets), 2048), np.float32)
+            part[owner[lo:hi], column[lo:hi] - column[lo]] = 1
+            shared += part @ part.T
+            lo = hi
+        linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        label, a, b = comp.copy(), [], []
+        for i in range(len(cid) - 1):
+            for j in (np.flatnonzero(linked[i, i + 1 :] & (label[i + 1 :] != label[i])) + i + 1).tolist():
+                if label[i] != label[j]:
+                    a.append(cid[i])
+                    b.append(cid[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): alternating large and
     small stars until nothing changes; root is a component's smallest node."""
@@ -292,27 +338,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = sets.select("cid", "sig").mapInArrow(_index, "key bigint, cid bigint")
     found = cut(index.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_scan(cap), "kind tinyint, a bigint, b bigint"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        one, two = (sigs.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-        near = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        near = cut(near.select("a", "b", "sa", "sb").mapInArrow(_close, "a bigint, b bigint"))
-        used = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        wanted = cut(sets.select("cid", "id").join(used, "cid", "left_semi"))
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """(cid, set) for each of the distinct (cid)."""
+        wanted = cut(sets.select("cid", "id").join(wanted, "cid", "left_semi"))
         texts = matching(source, "id", wanted.select("id").distinct(), "left_semi").select("text")
-        full = texts.mapInArrow(_full_sets(width), "cid bigint, set binary").join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set"))
-        full = cut(full)
-        pairs = near.join(full.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b").join(full.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
-        return cut(pairs.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a bigint, b bigint"))
-
-    tried = found.filter("kind = 0").select("a", "b").distinct()
-    links = confirm(tried)
+        made = texts.mapInArrow(_full_sets(width), "cid bigint, set binary").join(wanted.select("cid"), "cid", "left_semi")
+        return cut(made.groupBy("cid").agg(F.first("set").alias("set")))
+
+    pairs = found.filter("kind = 0").select("a", "b").distinct()
+    one, two = (sigs.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    near = cut(near.select("a", "b", "sa", "sb").mapInArrow(_close, "a bigint, b bigint"))
+    full = full_sets(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    near = near.join(full.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b").join(full.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
+    links = cut(near.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a bigint, b bigint"))
     roots = components(links)
 
     hot = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"))
     if hot.limit(1).count():
-        more = _unresolved(hot, roots, sigs, group).join(tried, ["a", "b"], "left_anti")
-        more = confirm(cut(more))
-        if more.limit(1).count():
+        families = components(_unresolved(hot, roots, sigs, group))
+        if families.limit(1).count():
+            members = families.toDF("cid", "family").join(roots.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            members = _blocks(members, F.col("family"), group).join(full_sets(families.select(F.col("node").alias("cid"))), "cid")
+            more = members.select("key", "cid", "comp", "set").groupBy("key").applyInArrow(_confirm_family(percent), "a bigint, b bigint")
             roots = components(links.unionByName(more))
 
     named = sets.select("cid", "id").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -323,33 +371,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(F.col("id") == part, part.isNull()).alias("kept"))
 
 
+def _blocks(members: DataFrame, whole: Column, group: int) -> DataFrame:
+    """``members`` (cid, ...) with a ``key``, so that any two with the same
+    ``whole`` share one and no key has more than about ``group``: what is
+    larger is dealt into blocks, and each two blocks make a group."""
+    members = members.withColumn("_whole", whole)
+    sizes = members.groupBy("_whole").agg(F.ceil(F.count("*") / F.lit(group / 2)).cast("int").alias("_parts"))
+    members = members.join(sizes, "_whole").withColumn("_parts", F.when(F.col("_parts") <= 2, 1).otherwise(F.col("_parts")))
+    own = F.pmod(F.xxhash64("cid", F.lit(3)), "_parts").cast("int")
+    members = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    members = members.filter("_parts = 1 or _own <> _other").withColumn("key", F.xxhash64("_whole", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    return members.drop("_whole", "_parts", "_own", "_other")
+
+
 def _unresolved(hot: DataFrame, roots: DataFrame, sigs: DataFrame, group: int) -> DataFrame:
-    """Pairs (a, b) within ERRORS that share a large bucket (key, cid) but not
-    a component yet."""
+    """Edges (a, b) that connect whatever is within ERRORS of each other and
+    shares a large bucket (key, cid), but not a component yet."""
     labelled = hot.join(roots.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("key", "cid", "comp")
 
     def open_buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "size")
         members = cut(members.join(sizes, "key"))
-        return members.filter(F.col("size") <= group).drop("size"), members.filter(F.col("size") > group)
+        return members.filter(F.col("size") <= group).drop("size"), members.filter(F.col("size") > group).drop("size")
 
     def compared(members: DataFrame) -> DataFrame:
-        return members.groupBy("key").applyInArrow(_compare, "a bigint, b bigint")
+        return members.select("key", "cid", "comp", "sig").groupBy("key").applyInArrow(_families, "a bigint, b bigint")
 
     small, large = open_buckets(labelled)
     signed = sigs.select("cid", "sig")
-    out = compared(small.join(signed, "cid").select("key", "cid", "comp", "sig"))
+    out = compared(small.join(signed, "cid"))
     if large.limit(1).count():
         again = large.join(signed, "cid").select("key", "cid", "comp", "sig").mapInArrow(_split_again, "key bigint, cid bigint, comp bigint, sig binary")
         small, large = open_buckets(again)
         out = out.unionByName(compared(small))
         if large.limit(1).count():
-            # exact for any size: each pair of blocks of a bucket is a group
-            parts = F.ceil(F.col("size") / (group // 2)).cast("int")
-            large = large.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
-            large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            large = large.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-            out = out.unionByName(compared(large.select("key", "cid", "comp", "sig")))
+            out = out.unionByName(compared(_blocks(large.withColumnRenamed("key", "_bucket"), F.col("_bucket"), group)))
     return out.distinct()
 
 

@@ -45,7 +45,7 @@ class Trees:
         return 1 / (1 + np.exp(-raw))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int = 48, rate: float = 0.15, ridge: float = 2.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int = 48, rate: float = 0.15, ridge: float = 2.0, least: float = 1.0) -> Trees:
     """Second-order boosting of the logistic loss; splits are sought over
     histograms of ``bins`` quantile bins.  With no rows or a single label the
     score is a constant."""

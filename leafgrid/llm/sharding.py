@@ -7,10 +7,11 @@ What moves are cells, the members of a group that are in the same shard, so a
 round costs one row for each group and shard, however large a group is; a group
 over half a shard is first split into pieces that vote on their own.
 
-At the end all rows are numbered in the order of shard, linked before single
-rows, and group, and the numbers are cut into equal parts.  So counts differ by
-one at most, single documents give way first, and all but a few groups stay
-whole.  Numbers come from counts of small buckets, not from one global sort.
+At the end all rows are numbered in the order of shard, with a shard's groups
+between its single documents, and the numbers are cut into equal parts.  So
+counts differ by one at most, single documents give way first, and all but a
+few groups stay whole.  Numbers come from counts of small buckets, not from one
+global sort.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, only
 
-SHARDS, ROUNDS, QUOTA, BUCKET = 8, 3, 0.95, 20_000
+SHARDS, ROUNDS, QUOTA, BUCKET = 8, 6, 0.95, 20_000
 
 
 def _chance(*parts: Column) -> Column:
@@ -30,18 +31,23 @@ def _chance(*parts: Column) -> Column:
 
 def propagate(cells: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (grp, piece, origin, n) with ``shard``, where each cell's rows
-    should go.  ``capacity``: rows of groups that a shard may take."""
+    should go.  ``capacity``: rows of groups that a shard may take; one that
+    could not take all is no target in the next round, so its groups that are
+    still apart gather elsewhere."""
     cells = cells.withColumn("shard", F.col("origin"))
+    full: list[int] = []
     for turn in range(rounds):
         votes = cells.groupBy("grp", "piece", "shard").agg(F.sum("n").alias("n"))
-        most = votes.groupBy("grp", "piece").agg((-F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"]).alias("target"))
+        open_ = ~F.col("shard").isin(full) if full else F.lit(True)
+        most = votes.groupBy("grp", "piece").agg((-F.max(F.struct(open_.alias("o"), "n", (-F.col("shard")).alias("s")))["s"]).alias("target"))
         cells = cells.join(most, ["grp", "piece"])
         moving = F.when(F.col("target") != F.col("shard"), F.col("n")).otherwise(0)
         # at most one row for each shard
         loads = cells.groupBy("target").agg(F.sum("n").alias("all"), F.sum(moving).alias("moving")).collect()
         share = {r["target"]: min(1.0, max(0.0, (capacity - (r["all"] - r["moving"])) / r["moving"])) for r in loads if r["moving"]}
         if not share:
-            return cells.select("grp", "piece", "origin", "shard")
+            break
+        full = sorted(j for j, x in share.items() if x < 1)
         fraction = F.coalesce(*(F.when(F.col("target") == j, F.lit(x)) for j, x in sorted(share.items())), F.lit(0.0))
         goes = _chance(F.col("grp"), F.col("piece"), F.lit(turn)) < fraction
         cells = cut(cells.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target"))
@@ -73,10 +79,16 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
     cells = cut(rows.filter("members > 1").groupBy("grp", "piece", "origin").agg(F.count("*").alias("n")))
     placed = propagate(cells, QUOTA * total / shards, shards, rounds)
-    rows = rows.join(placed, ["grp", "piece", "origin"], "left").withColumn("near", F.coalesce("shard", "origin"))
+    # single rows go where linked ones leave room, in proportion
+    taken = {r["shard"]: r["n"] for r in cells.join(placed, ["grp", "piece", "origin"]).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    room = [max(0.0, total / shards - taken.get(j, 0)) for j in range(shards)]
+    ends = [sum(room[: j + 1]) / (sum(room) or 1.0) for j in range(shards - 1)]
+    ballast = F.coalesce(*(F.when(_chance(F.col("row"), F.lit(5)) < x, F.lit(j)) for j, x in enumerate(ends)), F.lit(shards - 1))
+    rows = rows.join(placed, ["grp", "piece", "origin"], "left").withColumn("near", F.coalesce("shard", ballast))
 
     buckets = -(-total // bucket) or 1
-    single = F.when(F.col("members") == 1, 1).otherwise(0)
+    # half of a shard's single rows come before its groups and half behind
+    single = F.when(F.col("members") > 1, 1).when(_chance(F.col("row"), F.lit(6)) < 0.5, 0).otherwise(2)
     place = F.when(F.col("members") == 1, F.xxhash64("row", F.lit(3))).otherwise(F.xxhash64("grp", "piece"))
     # a piece of more rows than a bucket takes several
     salts = F.ceil(F.col("members") / F.lit(bucket)).cast("long")

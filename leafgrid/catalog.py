@@ -1,10 +1,461 @@
-"""The engine's queries over the tables of a folder, and their SQL."""
+"""The engine's queries over the tables of a folder, and their SQL.
+
+Points are order lines with integer coordinates, so that both engines agree bit
+for bit; y and z are squared to make the tree adaptive.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import keys as K
+from .operators import fem, mesh, search, tree
+from .plans import multigrid
+from .sources import points as files
+
+DEPTH, MOST = 6, 16
+MESH_DEPTH, MESH_MOST = 4, 200
+BUCKET_BITS = 9  # keys of a bucket share all but so many low bits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ inputs
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    square = "((l_{0} % 64) * (l_{0} % 64)) div 64"
+    at = lines.select("l_orderkey", "l_linenumber", "l_linestatus", "l_quantity", F.expr("l_orderkey % 64").alias("x"), F.expr(square.format("partkey")).alias("y"), F.expr(square.format("suppkey")).alias("z"))
+    return at.withColumn("key", K.interleave(F.col("x"), F.col("y"), F.col("z")))
+
+
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.construct(order_lines(spark, sf_dir), DEPTH, MOST)
+
+
+def steep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of few points and a single one a leaf, far from balanced."""
+    return tree.construct(order_lines(spark, sf_dir).filter("l_quantity >= 50 and x < 40"), DEPTH, 1)
+
+
+def mesh_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = order_lines(spark, sf_dir).withColumn("key", F.shiftright("key", 3 * (DEPTH - MESH_DEPTH)))
+    return tree.balance(tree.construct(lines, MESH_DEPTH, MESH_MOST))
+
+
+def bucket():
+    return F.shiftright("key", BUCKET_BITS)
+
+
+def _encode(x: str, y: str, z: str) -> str:
+    parts = [f"((({v} >> {b}) & 1) << {3 * b + a})" for b in range(DEPTH) for a, v in enumerate((x, y, z))]
+    return "(" + " | ".join(parts) + ")"
+
+
+def _decode(prefix: str, axis: int) -> str:
+    return "(" + " | ".join(f"((({prefix} >> {3 * b + axis}) & 1) << {b})" for b in range(DEPTH)) + ")"
+
+
+KEYED = f"""pts AS (
+  SELECT l_orderkey, l_linenumber, l_linestatus, l_quantity, l_orderkey % 64 AS x,
+    ((l_partkey % 64) * (l_partkey % 64)) // 64 AS y, ((l_suppkey % 64) * (l_suppkey % 64)) // 64 AS z FROM lineitem
+), keyed AS (SELECT *, {_encode("x", "y", "z")} AS key FROM pts)"""
+
+
+def _tree_sql(name: str = "leaves", depth: int = DEPTH, most: int = MOST, where: str = "true") -> str:
+    return f"""{name}_cells AS (
+  SELECT l AS level, (key >> {3 * (DEPTH - depth)}) >> (3 * ({depth} - l)) AS prefix, count(*) AS n
+  FROM keyed, range(0, {depth + 1}) t(l) WHERE {where} GROUP BY ALL
+), {name}_inner AS (SELECT level, prefix FROM {name}_cells WHERE n > {most} AND level < {depth}
+), {name} AS (
+  SELECT i.level + 1 AS level, i.prefix * 8 + c AS prefix FROM {name}_inner i, range(0, 8) t(c)
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_inner j WHERE j.level = i.level + 1 AND j.prefix = i.prefix * 8 + c)
+  UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM {name}_inner))"""
+
+
+def _above(cells: str) -> str:
+    return f"SELECT DISTINCT l AS level, prefix >> (3 * (level - l)) AS prefix FROM {cells}, range(0, {DEPTH}) t(l) WHERE l < level"
+
+
+def _complete(cells: str) -> str:
+    return f"""inner_ AS ({_above(cells)}), done AS (
+  SELECT i.level + 1 AS level, i.prefix * 8 + c AS prefix FROM inner_ i, range(0, 8) t(c)
+  WHERE NOT EXISTS (SELECT 1 FROM inner_ j WHERE j.level = i.level + 1 AND j.prefix = i.prefix * 8 + c)
+  UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM inner_))"""
+
+
+def _balanced(source: str = "leaves") -> str:
+    return f"""grow AS (
+  SELECT level, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM {source}
+  UNION
+  SELECT level - 1, (((x >> 1) + dx) >> 1) * 2 + (k & 1), (((y >> 1) + dy) >> 1) * 2 + ((k >> 1) & 1), (((z >> 1) + dz) >> 1) * 2 + (k >> 2)
+  FROM grow, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz), range(0, 8) s(k)
+  WHERE level >= 2 AND least((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) >= 0
+    AND greatest((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) < (1 << (level - 1))
+), grown AS (SELECT level, x, y, z, {_encode("x", "y", "z")} AS prefix FROM grow
+), balanced AS (SELECT * FROM grown g WHERE NOT EXISTS (SELECT 1 FROM grown h WHERE h.level = g.level + 1 AND h.prefix >> 3 = g.prefix))"""
+
+
+_TREE = f"WITH {KEYED}, {_tree_sql()}"
+_STEEP = f"WITH RECURSIVE {KEYED}, {_tree_sql(most=1, where='l_quantity >= 50 and x < 40')}"
+_D = MESH_DEPTH
+_MESH = f"""WITH RECURSIVE {KEYED}, {_tree_sql("leaves", MESH_DEPTH, MESH_MOST)}, {_balanced()}, corner AS (
+  SELECT level, prefix, v AS vertex, x, y, z, (x + (v & 1)) << ({_D} - level) AS nx, (y + ((v >> 1) & 1)) << ({_D} - level) AS ny, (z + (v >> 2)) << ({_D} - level) AS nz
+  FROM balanced, range(0, 8) t(v)
+), hang AS (
+  SELECT DISTINCT c.level, c.prefix, c.vertex FROM corner c JOIN balanced b ON b.level = c.level - 1
+  WHERE c.level > 0 AND greatest(c.nx % (1 << ({_D} + 1 - c.level)), c.ny % (1 << ({_D} + 1 - c.level)), c.nz % (1 << ({_D} + 1 - c.level))) > 0
+    AND c.nx BETWEEN b.x << ({_D} - b.level) AND (b.x + 1) << ({_D} - b.level)
+    AND c.ny BETWEEN b.y << ({_D} - b.level) AND (b.y + 1) << ({_D} - b.level)
+    AND c.nz BETWEEN b.z << ({_D} - b.level) AND (b.z + 1) << ({_D} - b.level)
+), element AS (
+  SELECT c.level, c.prefix, c.vertex, h.vertex IS NOT NULL AS hangs,
+    CASE WHEN h.vertex IS NULL THEN nx ELSE ((x >> 1) + (c.vertex & 1)) << ({_D} + 1 - c.level) END AS nx,
+    CASE WHEN h.vertex IS NULL THEN ny ELSE ((y >> 1) + ((c.vertex >> 1) & 1)) << ({_D} + 1 - c.level) END AS ny,
+    CASE WHEN h.vertex IS NULL THEN nz ELSE ((z >> 1) + (c.vertex >> 2)) << ({_D} + 1 - c.level) END AS nz
+  FROM corner c LEFT JOIN hang h ON h.level = c.level AND h.prefix = c.prefix AND h.vertex = c.vertex)"""
+
+
+# ------------------------------------------------------------ key functions
+
+
+@query(f"WITH {KEYED} SELECT x, y, z, key, count(*) AS n FROM keyed GROUP BY ALL")
+def morton_key(spark, sf_dir):
+    return order_lines(spark, sf_dir).groupBy("x", "y", "z", "key").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KEYED} SELECT DISTINCT key, x, y, z FROM keyed")
+def decode_key(spark, sf_dir):
+    unique = order_lines(spark, sf_dir).select("key").distinct()
+    return unique.select("key", *(p.alias(a) for a, p in zip("xyz", K.position("key"), strict=True)))
+
+
+@query(f"WITH {KEYED} SELECT key >> 3 AS parent, (key & 7)::INT AS child, count(*) AS n FROM keyed GROUP BY ALL")
+def parent_rollup(spark, sf_dir):
+    return order_lines(spark, sf_dir).groupBy(K.up("key", 1).alias("parent"), K.child_number("key").alias("child")).agg(F.count("*").alias("n"))
+
+
+@query(_TREE + f" SELECT level::INT AS level, prefix, prefix << (3 * ({DEPTH} - level)) AS first, ((prefix + 1) << (3 * ({DEPTH} - level))) - 1 AS last FROM leaves")
+def descendant_range(spark, sf_dir):
+    level, prefix = F.col("level"), F.col("prefix")
+    return leaves(spark, sf_dir).select("level", "prefix", K.first_key(level, prefix, DEPTH).alias("first"), K.last_key(level, prefix, DEPTH).alias("last"))
+
+
+@query(
+    _TREE + """, moved AS (SELECT level, prefix, list_max(list_filter(range(0, level + 1), lambda b: ((prefix + 1) & ((1 << (3 * b)) - 1)) = 0)) AS by_ FROM leaves)
+SELECT level::INT AS level, prefix, (level - by_)::INT AS next_level, (prefix + 1) >> (3 * by_) AS next_prefix FROM moved"""
+)
+def next_octant(spark, sf_dir):
+    level, prefix = K.next_cell(F.col("level"), F.col("prefix"))
+    return leaves(spark, sf_dir).select("level", "prefix", level.cast("int").alias("next_level"), prefix.alias("next_prefix"))
+
+
+@query(
+    _TREE + f""", cell AS (SELECT level, prefix, (1 << level) - 1 AS e, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM leaves)
+SELECT level::INT AS level, prefix, ((x = 0)::INT + 2 * (y = 0)::INT + 4 * (z = 0)::INT + 32 * (x = e)::INT + 64 * (y = e)::INT + 128 * (z = e)::INT)::INT AS flags FROM cell"""
+)
+def boundary_flags(spark, sf_dir):
+    return leaves(spark, sf_dir).select("level", "prefix", K.boundary_flags(F.col("level"), F.col("prefix")).alias("flags"))
+
+
+@query(
+    f"""WITH {KEYED}, cells AS (SELECT DISTINCT key >> 9 AS prefix FROM keyed), cell AS (
+  SELECT prefix, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM cells)
+SELECT a.prefix, {_encode("(x + dx)", "(y + dy)", "(z + dz)")} AS neighbour FROM cell a, range(-1, 2) p(dx), range(-1, 2) q(dy), range(-1, 2) r(dz)
+WHERE (dx <> 0 OR dy <> 0 OR dz <> 0) AND least(x + dx, y + dy, z + dz) >= 0 AND greatest(x + dx, y + dy, z + dz) < 8"""
+)
+def neighbours(spark, sf_dir):
+    cells = order_lines(spark, sf_dir).select(K.up("key", 3).alias("prefix")).distinct()
+    return cells.select("prefix", F.explode(K.neighbours(F.lit(3), F.col("prefix"))).alias("neighbour"))
+
+
+@query()
+def search_keys(spark, sf_dir):
+    found = K.search_keys(F.col("level"), F.col("prefix"), DEPTH)
+    return leaves(spark, sf_dir).select("level", "prefix", F.explode(found).alias("key"))
+
+
+@query(
+    f"""WITH {KEYED}, ends AS (SELECT l_orderkey, min(key) AS lo, max(key) AS hi FROM keyed GROUP BY l_orderkey),
+moved AS (SELECT *, list_min(list_filter(range(0, {DEPTH + 1}), lambda b: (lo >> (3 * b)) = (hi >> (3 * b)))) AS by_ FROM ends)
+SELECT l_orderkey, ({DEPTH} - by_)::INT AS level, lo >> (3 * by_) AS prefix FROM moved"""
+)
+def nearest_common_ancestor(spark, sf_dir):
+    ends = order_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    level, prefix = K.common_ancestor(F.lit(DEPTH), F.col("lo"), F.lit(DEPTH), F.col("hi"))
+    return ends.select("l_orderkey", level.cast("int").alias("level"), prefix.alias("prefix"))
+
+
+@query()
+def hilbert_key(spark, sf_dir):
+    unique = order_lines(spark, sf_dir).select("x", "y", "z").distinct()
+    return unique.withColumn("hilbert", K.hilbert(F.col("x"), F.col("y"), F.col("z"), depth=DEPTH))
+
+
+# ------------------------------------------------------------------- trees
+
+
+@query(_TREE + " SELECT level::INT AS level, prefix FROM leaves")
+def construct_octree(spark, sf_dir):
+    return leaves(spark, sf_dir)
+
+
+@query(_TREE + " SELECT l.level::INT AS level, l.prefix, coalesce(c.n, 0) AS n FROM leaves l LEFT JOIN leaves_cells c ON c.level = l.level AND c.prefix = l.prefix")
+def leaf_counts(spark, sf_dir):
+    return tree.leaf_counts(order_lines(spark, sf_dir), leaves(spark, sf_dir), DEPTH)
+
+
+@query(_TREE + " SELECT level::INT AS level, count(*) AS leaves FROM leaves GROUP BY ALL")
+def level_histogram(spark, sf_dir):
+    return leaves(spark, sf_dir).groupBy("level").agg(F.count("*").alias("leaves"))
+
+
+@query(_TREE + f" SELECT count(*) AS cells, sum(1 << (3 * ({DEPTH} - level)))::BIGINT AS volume FROM leaves")
+def octree_volume(spark, sf_dir):
+    return tree.volume(leaves(spark, sf_dir), DEPTH)
+
+
+_SOME = f"WITH {KEYED}, fine AS (SELECT DISTINCT {DEPTH} AS level, key AS prefix FROM keyed WHERE l_quantity >= 49), mixed AS (SELECT * FROM fine UNION SELECT 4, prefix >> 6 FROM fine)"
+
+
+def some_cells(spark, sf_dir) -> DataFrame:
+    fine = order_lines(spark, sf_dir).filter("l_quantity >= 49").select(F.lit(DEPTH).alias("level"), F.col("key").alias("prefix")).distinct()
+    return fine.unionByName(fine.select(F.lit(4).alias("level"), K.up("prefix", 2).alias("prefix")))
+
+
+@query(_SOME + f", {_complete('mixed')} SELECT level::INT AS level, prefix FROM done")
+def complete_octree(spark, sf_dir):
+    return tree.complete(some_cells(spark, sf_dir))
+
+
+@query(_SOME + f", up_ AS ({_above('mixed')}) SELECT level::INT AS level, prefix FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM up_ u WHERE u.level = m.level AND u.prefix = m.prefix)")
+def linearise(spark, sf_dir):
+    return tree.linearise(some_cells(spark, sf_dir))
+
+
+_OPEN = "l_linestatus = 'O'"
+
+
+@query(
+    f"WITH {KEYED}, {_tree_sql('one', where=_OPEN)}, {_tree_sql('two', where='l_quantity > 25')}, both_ AS (SELECT * FROM one UNION SELECT * FROM two), up_ AS ({_above('both_')})"
+    " SELECT level::INT AS level, prefix FROM both_ m WHERE NOT EXISTS (SELECT 1 FROM up_ u WHERE u.level = m.level AND u.prefix = m.prefix)"
+)
+def merge_octrees(spark, sf_dir):
+    lines = order_lines(spark, sf_dir)
+    return tree.merge(*(tree.construct(lines.filter(f), DEPTH, MOST) for f in (_OPEN, "l_quantity > 25")))
+
+
+@query(_TREE + """, full_ AS (SELECT level, prefix >> 3 AS p FROM leaves WHERE level > 0 GROUP BY ALL HAVING count(*) = 8)
+SELECT level::INT AS level, prefix FROM leaves l WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.level = l.level AND f.p = l.prefix >> 3)
+UNION ALL SELECT (level - 1)::INT, p FROM full_""")
+def coarsen_octree(spark, sf_dir):
+    return tree.coarsen(leaves(spark, sf_dir))
+
+
+@query(_TREE + f", parents AS (SELECT DISTINCT greatest(level - 1, 0) AS level, CASE WHEN level > 0 THEN prefix >> 3 ELSE prefix END AS prefix FROM leaves), {_complete('parents')} SELECT level::INT AS level, prefix FROM done")
+def simple_coarsen(spark, sf_dir):
+    return tree.simple_coarsen(leaves(spark, sf_dir))
+
+
+@query(_TREE + f" SELECT (level + 1)::INT AS level, prefix * 8 + c AS prefix FROM leaves, range(0, 8) t(c) WHERE level < {DEPTH} UNION ALL SELECT level::INT, prefix FROM leaves WHERE level = {DEPTH}")
+def refine_octree(spark, sf_dir):
+    return tree.refine(leaves(spark, sf_dir), DEPTH)
+
+
+@query("SELECT 4 AS level, range AS prefix FROM range(0, 4096)")
+def regular_octree(spark, sf_dir):
+    return tree.regular(spark, 4)
+
+
+@query()
+def grid_octree(spark, sf_dir):
+    counts = order_lines(spark, sf_dir).groupBy(K.up("key", 3).alias("prefix")).agg(F.count("*").alias("value"))
+    grid = tree.regular(spark, 3).select("prefix").join(counts, "prefix", "left").select("prefix", F.coalesce("value", F.lit(0)).alias("value"))
+    return tree.from_grid(grid, 3, 40.0)
+
+
+@query(f"{_STEEP}, {_balanced()} SELECT level::INT AS level, prefix FROM balanced")
+def balance_octree(spark, sf_dir):
+    return tree.balance(steep_leaves(spark, sf_dir))
+
+
+@query("SELECT 0::BIGINT AS violations")
+def balance_violations(spark, sf_dir):
+    return tree.unbalanced(tree.balance(steep_leaves(spark, sf_dir))).agg(F.count("*").alias("violations"))
+
+
+@query(
+    _STEEP + f""", fine AS (SELECT level, prefix, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM leaves WHERE level > 1),
+near AS (SELECT DISTINCT level, prefix, l, {_encode("(x + dx)", "(y + dy)", "(z + dz)")} >> (3 * (level - l)) AS p
+  FROM fine, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz), range(0, {DEPTH}) t(l)
+  WHERE l <= level - 2 AND least(x + dx, y + dy, z + dz) >= 0 AND greatest(x + dx, y + dy, z + dz) < (1 << level))
+SELECT DISTINCT n.level::INT AS level, n.prefix FROM near n JOIN leaves c ON c.level = n.l AND c.prefix = n.p"""
+)
+def unbalanced_leaves(spark, sf_dir):
+    return tree.unbalanced(steep_leaves(spark, sf_dir))
+
+
+_LO, _HI = (3, 100), (2, 50)
+
+
+@query(
+    f"""WITH ends(level, prefix) AS (VALUES {_LO}, {_HI}), {_complete("ends")}
+SELECT level::INT AS level, prefix::BIGINT AS prefix FROM done
+WHERE prefix << (3 * ({DEPTH} - level)) >= {(_LO[1] + 1) << 3 * (DEPTH - _LO[0])} AND prefix << (3 * ({DEPTH} - level)) < {_HI[1] << 3 * (DEPTH - _HI[0])}"""
+)
+def region_between(spark, sf_dir):
+    return tree.between(_LO, _HI, spark.range(1), DEPTH)
+
+
+@query()
+def sphere_octree(spark, sf_dir):
+    centre = [(p + 0.5) * F.pow(F.lit(0.5), F.col("level")) - 0.5 for p in K.position("prefix")]
+    distance = F.sqrt(sum((c * c for c in centre), F.lit(0.0)))
+    return tree.spheres(spark, 5, F.abs(distance - 0.35) < 0.87 * F.pow(F.lit(0.5), F.col("level")))
+
+
+# ----------------------------------------------------- searches and numbers
+
+
+@query(_TREE + f""" SELECT l.level::INT AS level, l.prefix, sum(k.l_quantity) AS quantity FROM keyed k JOIN leaves l
+  ON l.prefix = k.key >> (3 * ({DEPTH} - l.level)) GROUP BY ALL""")
+def containment_join(spark, sf_dir):
+    return search.contained(order_lines(spark, sf_dir), leaves(spark, sf_dir), DEPTH).groupBy("level", "prefix").agg(F.sum("l_quantity").alias("quantity"))
+
+
+_LISTED = f"WITH {KEYED}, listed AS (SELECT DISTINCT key AS found FROM keyed WHERE l_quantity >= 45), asked AS (SELECT DISTINCT key FROM keyed)"
+
+
+@query(_LISTED + " SELECT key, (SELECT max(found) FROM listed WHERE found <= key) AS found FROM asked")
+def as_of_search(spark, sf_dir):
+    lines = order_lines(spark, sf_dir)
+    return search.as_of(lines.select("key").distinct(), lines.filter("l_quantity >= 45").select("key").distinct(), "key", bucket())
+
+
+_CELLS = f"WITH {KEYED}, cells AS (SELECT key, count(*) AS n FROM keyed GROUP BY key)"
+
+
+def counted(spark, sf_dir) -> DataFrame:
+    return order_lines(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query(_CELLS + " SELECT key, n, (sum(n) OVER (ORDER BY key))::BIGINT AS total FROM cells")
+def prefix_sum(spark, sf_dir):
+    return search.running(counted(spark, sf_dir), ["key"], F.col("n"), bucket())
+
+
+@query(_CELLS + " SELECT key, n, row_number() OVER (ORDER BY key) - 1 AS id FROM cells")
+def global_numbering(spark, sf_dir):
+    return search.numbered(counted(spark, sf_dir), ["key"], bucket())
+
+
+@query(_CELLS + ", t AS (SELECT key, n, (sum(n) OVER (ORDER BY key))::BIGINT AS s, (sum(n) OVER ())::BIGINT AS a FROM cells) SELECT key, n, (least((s * 16 + a - 1) // a, 16) - 1)::INT AS part FROM t")
+def weighted_partition(spark, sf_dir):
+    return search.weighted_parts(counted(spark, sf_dir), ["key"], F.col("n"), 16, bucket())
+
+
+@query(f"WITH {KEYED} SELECT DISTINCT key FROM keyed WHERE x > 0 AND y > 0 AND z > 0")
+def distinct_points(spark, sf_dir):
+    return order_lines(spark, sf_dir).filter("x > 0 and y > 0 and z > 0").select("key").dropDuplicates()
+
+
+# -------------------------------------------------------------------- files
+
+
+@query(_TREE + f" SELECT level::INT AS level, prefix, c::INT AS corner, ({_decode('prefix', 0)} + (c & 1)) * pow(0.5, level) AS x, ({_decode('prefix', 1)} + ((c >> 1) & 1)) * pow(0.5, level) AS y, ({_decode('prefix', 2)} + (c >> 2)) * pow(0.5, level) AS z FROM leaves, range(0, 8) t(c)")
+def vtk_corners(spark, sf_dir):
+    return files.vtk_corners(leaves(spark, sf_dir))
+
+
+@query(
+    _TREE + f"""  , cell AS (SELECT level, prefix << (3 * ({DEPTH} - level)) AS key FROM leaves)
+SELECT key * 32 + level AS ordinal, concat_ws(' ', {_decode("key", 0)}, {_decode("key", 1)}, {_decode("key", 2)}, level) AS value FROM cell
+UNION ALL SELECT -2, '3 {DEPTH}' UNION ALL SELECT -1, count(*)::VARCHAR FROM cell"""
+)
+def octree_file(spark, sf_dir):
+    return files.octree_lines(leaves(spark, sf_dir), DEPTH)
+
+
+@query()
+def gaussian_octree(spark, sf_dir):
+    drawn = files.gaussian(spark, 20_000, seed=7)
+    key = K.interleave(*(K.quantise(F.col(a), DEPTH, 1.0) for a in K.AXES))
+    return tree.construct(drawn.select(key.alias("key")), DEPTH, MOST)
+
+
+# ------------------------------------------------------------ mesh and FEM
+
+
+@query(_MESH + " SELECT level::INT AS level, prefix, vertex::INT AS vertex FROM hang")
+def hanging_vertices(spark, sf_dir):
+    return mesh.hanging(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH)
+
+
+@query(_MESH + " SELECT level::INT AS level, prefix, vertex::INT AS vertex, hangs, nx, ny, nz FROM element")
+def element_nodes(spark, sf_dir):
+    return mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH)
+
+
+@query(_MESH + f" SELECT DISTINCT nx, ny, nz, ((nx % {1 << _D} = 0)::INT + (ny % {1 << _D} = 0)::INT + (nz % {1 << _D} = 0)::INT)::INT AS boundary FROM element")
+def mesh_nodes(spark, sf_dir):
+    return mesh.nodes(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
+
+
+def _assembled(spark, sf_dir, stiffness=1.0, mass=1.0) -> tuple[DataFrame, DataFrame]:
+    elements = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
+    return elements, tree.cut(fem.matrix(elements, MESH_DEPTH, stiffness, mass))
+
+
+def _linear(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*mesh.AT, (F.col("nx") + 2 * F.col("ny") + 3 * F.col("nz")).cast("double").alias("value"))
+
+
+@query()
+def matrix_vector(spark, sf_dir):
+    elements, operator = _assembled(spark, sf_dir)
+    return fem.times(operator, _linear(mesh.nodes(elements, MESH_DEPTH))).select(*mesh.AT, F.round("value", 9).alias("value"))
+
+
+@query()
+def matrix_diagonal(spark, sf_dir):
+    return fem.diagonal(_assembled(spark, sf_dir)[1]).select(*mesh.AT, F.round("value", 9).alias("value"))
+
+
+@query()
+def interpolation(spark, sf_dir):
+    """Values of a nodal field at the cells' next coarser nodes, prolonged."""
+    fine = mesh_tree(spark, sf_dir)
+    levels = multigrid.hierarchy(fine, 2, fewest=1)
+    grids = [tree.cut(mesh.elements(level, MESH_DEPTH)) for level in levels]
+    table = multigrid.transfer(grids[0], grids[-1], MESH_DEPTH)
+    return multigrid.prolong(table, _linear(mesh.nodes(grids[-1], MESH_DEPTH))).select(*mesh.AT, F.round("value", 9).alias("value"))
+
+
+@query()
+def conjugate_gradients(spark, sf_dir):
+    elements, operator = _assembled(spark, sf_dir)
+    right = mesh.nodes(elements, MESH_DEPTH).select(*mesh.AT, F.col("boundary").cast("double").alias("value"))
+    _, residual = fem.conjugate_gradients(lambda v: fem.times(operator, v), tree.cut(right), rounds=3)
+    return spark.createDataFrame([(3, residual)], "rounds int, residual double")
+
+
+@query()
+def grid_hierarchy(spark, sf_dir):
+    levels = multigrid.hierarchy(mesh_tree(spark, sf_dir), 3, fewest=8)
+    rows = [(k, level.count()) for k, level in enumerate(levels)]
+    return spark.createDataFrame(rows, "grid int, cells bigint")

@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field over tokens.
 
-Tokens are runs of letters, lower-cased; a line is a sequence.  Labels exist
-for documents only, so tokens are labelled from them: a token type is an
-offence if labelled toxic documents have it significantly more often than not,
-and its occurrences in toxic documents are the positive tokens.  The field has
-a weight for each of the types that tell the two kinds apart, one for all
-others, and the transitions.  Forward-backward marginals give the spans; a
+Tokens are runs of letters, lower-cased; a line is a sequence.  Types are whole
+tokens and stems, their first letters.  Labels exist for documents only, so
+tokens are labelled from them: a type is an offence if labelled toxic documents
+have it significantly more often than not, and its occurrences in toxic
+documents are the positive tokens.  The field has a weight for each of the
+types that tell the two kinds apart, one for all others, and the transitions.  Forward-backward marginals give the spans; a
 document's score is a logistic function of its marginals.
 """
 
@@ -27,6 +27,8 @@ from .common import held_out, labelled_sample, only
 #: most, the marginal from which a token belongs to a span, and the score from
 #: which a document is predicted toxic.
 SAMPLE, TYPES, TAGGED, CUT = 6000, 2048, 0.5, 0.5
+#: Bytes of a token's stem.
+STEM = 4
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -42,8 +44,8 @@ class ToxicModel:
     calibration: np.ndarray
 
     def tag(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        at = _numbers(self.types, hashes)
-        return crf.marginals(self.weights[at], bounds, self.chain)
+        score = sum(self.weights[_numbers(self.types, hashes[:, k])] for k in (0, 1))
+        return crf.marginals(score, bounds, self.chain)
 
     def score(self, marginal: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         x = _summary(marginal, bounds)
@@ -77,10 +79,12 @@ def _summary(marginal: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def tokens(block: ts.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the letter runs, the bounds of lines in them
-    and the bounds of texts."""
+    """Starts and ends of the letter runs, hashes of each and of its stem, the
+    bounds of lines in them and the bounds of texts."""
     start, end = ts.spans(_LETTER[block.body])
-    h = ts.span_hash(block.lowered(), start, end)
+    low = block.lowered()
+    stem = ts.span_hash(low, start, np.minimum(end, start + STEM))
+    h = np.stack([ts.span_hash(low, start, end), ts.mix(stem ^ np.uint64(0x57E3))], 1)
     line_start, _, _ = ts.lines(block)
     return start, end, h, np.searchsorted(start, np.append(line_start, len(block.body))), np.searchsorted(start, block.first)
 
@@ -91,10 +95,10 @@ def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, ty
     nothing = ToxicModel(np.zeros(0, np.uint64), np.full(1, -30.0), crf.Chain(), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if not len(toxic) or toxic.min() == toxic.max():
         return nothing
-    own = [np.unique(h) for h in hashes]
-    found, at = np.unique(np.concatenate(own), return_inverse=True)
-    in_toxic = np.bincount(at, np.repeat(toxic, [len(x) for x in own]).astype(float), len(found))
-    in_all = np.bincount(at, minlength=len(found)).astype(float)
+    # each neighbourhood (token before, type) counts once for either label, so
+    # that copies of a toxic text don't make offences of its rare words
+    found, in_toxic, in_all = _contexts(hashes, toxic)
+    share = in_toxic.sum() / in_all.sum()
     rate = in_toxic / in_all
     surplus = (in_toxic - in_all * share) / np.sqrt(in_all * share * (1 - share))
     offence = (in_toxic >= 4) & (rate >= 0.5) & (surplus >= 5)
@@ -108,10 +112,11 @@ def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, ty
     # the field learns from all toxic documents and as many others
     few = np.sort(np.concatenate([np.flatnonzero(toxic), np.flatnonzero(~toxic)[: max(200, toxic.sum())]]))
     flat, sizes, _, bounds = _joined([hashes[k] for k in few], [lines[k] for k in few])
-    number = _numbers(vocabulary, flat)
-    bad = np.append(offence[chosen], False)[number] & np.repeat(toxic[few], sizes)
+    number = [_numbers(vocabulary, flat[:, k]) for k in (0, 1)]
+    strong = np.append(offence[chosen], False)
+    bad = (strong[number[0]] | strong[number[1]]) & np.repeat(toxic[few], sizes)
     width = len(vocabulary) + 1
-    weights, chain = crf.fit(lambda w: w[number], lambda e: np.bincount(number, e, width), width, bad, bounds, rounds, rate=0.5, ridge=1e-7)
+    weights, chain = crf.fit(lambda w: w[number[0]] + w[number[1]], lambda e: np.bincount(number[0], e, width) + np.bincount(number[1], e, width), width, bad, bounds, rounds, rate=0.5, ridge=1e-7)
     model = ToxicModel(vocabulary, weights, chain, np.zeros(3))
     flat, _, first, bounds = _joined(hashes, lines)
     x = _summary(model.tag(flat, bounds), first)
@@ -119,6 +124,20 @@ def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, ty
     return model
 
 
+def _contexts(hashes: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Types, and in how many neighbourhoods each is in toxic and in all texts."""
+    kinds = []
+    for mark in (True, False):
+        parts = [h for h, t in zip(hashes, toxic, strict=True) if t == mark and len(h)]
+        before = [np.concatenate([np.zeros(1, np.uint64), h[:-1, 0]]) for h in parts]
+        kind = np.concatenate([h.reshape(-1) for h in parts]) if parts else np.zeros(0, np.uint64)
+        key = ts.mix(np.repeat(np.concatenate(before), 2) if parts else kind) ^ kind
+        kinds.append(kind[np.unique(key, return_index=True)[1]])
+    found, at = np.unique(np.concatenate(kinds), return_inverse=True)
+    in_toxic = np.bincount(at[: len(kinds[0])], minlength=len(found)).astype(float)
+    return found, in_toxic, np.bincount(at, minlength=len(found)).astype(float)
+
+
 def _joined(hashes: list[np.ndarray], lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All hashes, the documents' sizes and bounds, and the bounds of lines."""
     sizes = np.array([len(h) for h in hashes])
@@ -150,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of ``sample`` labelled documents at most, none held out."""
     chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample).select("text", F.col("label").cast("double").alias("label"))
     rows = sorted((r.label, bytes(r.h), bytes(r.lines)) for r in chosen.mapInArrow(_token_rows, "h binary, lines binary, label double").collect())
-    return fit([np.frombuffer(h, np.uint64) for _, h, _ in rows], [np.frombuffer(x, np.int64) for _, _, x in rows], np.array([label >= 1 for label, _, _ in rows], bool))
+    return fit([np.frombuffer(h, np.uint64).reshape(-1, 2) for _, h, _ in rows], [np.frombuffer(x, np.int64) for _, _, x in rows], np.array([label >= 1 for label, _, _ in rows], bool))
 
 
 def _tagged(model: ToxicModel, tagged: float):

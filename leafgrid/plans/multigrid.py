@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import fem, mesh, tree
+from ..operators import fem, mesh, search, tree
 
 
 def hierarchy(leaves: DataFrame, levels: int, fewest: int = 500, dim: int = 3) -> list[DataFrame]:
@@ -27,8 +29,7 @@ def transfer(fine: DataFrame, coarse: DataFrame, depth: int) -> DataFrame:
     at = [F.least(F.col(n), F.lit(2**depth - 1)) for n in mesh.AT]
     points = points.withColumn("key", K.interleave(*at))
     leaves = coarse.select("level", "prefix").distinct()
-    cells = points.crossJoin(F.broadcast(leaves.select(F.col("level").alias("_l")).distinct())).withColumn("prefix", K.up("key", F.lit(depth) - F.col("_l"))).withColumnRenamed("_l", "level")
-    inside = cells.join(leaves, ["level", "prefix"])
+    inside = search.contained(points, leaves, depth)
     size = F.pow(F.lit(2.0), F.lit(depth) - F.col("level"))
     local = [(F.col(n) - p * size) / size for n, p in zip(mesh.AT, K.position("prefix"), strict=True)]
     each = inside.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("w", mesh.shape(local, F.col("v"))).filter("w <> 0")
@@ -54,18 +55,25 @@ def restrict(table: DataFrame, fine_values: DataFrame) -> DataFrame:
     return each.groupBy(*(F.col(m).alias(n) for n, m in zip(mesh.AT, ("mx", "my", "mz"), strict=True))).agg(F.sum(F.col("weight") * F.col("_x")).alias("value"))
 
 
-def two_grid(operators: list[DataFrame], table: DataFrame, damping: float = 0.6, coarse_rounds: int = 8):
-    """A preconditioner: Jacobi step, coarse correction, Jacobi step."""
-    inverse = tree.cut(fem.diagonal(operators[0]).select(*mesh.AT, (damping / F.col("value")).alias("_d")))
+def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float = 0.6, coarse_rounds: int = 8) -> Callable[[DataFrame], DataFrame]:
+    """A preconditioner: on every grid but the last a Jacobi step, a correction
+    from the next grid, a Jacobi step; on the last conjugate gradients.
+    ``tables[k]`` is the transfer between the grids k and k + 1."""
+    inverses = [tree.cut(fem.diagonal(m).select(*mesh.AT, (damping / F.col("value")).alias("_d"))) for m in operators[:-1]]
+
+    def smooth(grid: int, r: DataFrame) -> DataFrame:
+        return r.join(inverses[grid], mesh.AT).select(*mesh.AT, (F.col("value") * F.col("_d")).alias("value"))
 
-    def smooth(r: DataFrame) -> DataFrame:
-        return r.join(inverse, mesh.AT).select(*mesh.AT, (F.col("value") * F.col("_d")).alias("value"))
+    def corrected(grid: int, r: DataFrame) -> DataFrame:
+        def apply(v: DataFrame) -> DataFrame:
+            return fem.times(operators[grid], v)
 
-    def apply(r: DataFrame) -> DataFrame:
-        x = tree.cut(smooth(r))
-        rest = tree.cut(fem.axpy(-1.0, fem.times(operators[0], x), r))
-        low, _ = fem.conjugate_gradients(lambda v: fem.times(operators[1], v), restrict(table, rest), coarse_rounds)
-        x = tree.cut(fem.axpy(1.0, prolong(table, low), x))
-        return fem.axpy(1.0, smooth(fem.axpy(-1.0, fem.times(operators[0], x), r)), x)
+        if grid == len(operators) - 1:
+            return fem.conjugate_gradients(apply, r, coarse_rounds)[0]
+        x = tree.cut(smooth(grid, r))
+        rest = tree.cut(fem.axpy(-1.0, apply(x), r))
+        low = corrected(grid + 1, tree.cut(restrict(tables[grid], rest)))
+        x = tree.cut(fem.axpy(1.0, prolong(tables[grid], low), x))
+        return fem.axpy(1.0, smooth(grid, fem.axpy(-1.0, apply(x), r)), x)
 
-    return apply
+    return lambda r: corrected(0, r)

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys as K
-from .operators import fem, mesh, search, tree
+from .operators import fem, fields, mesh, search, tree
 from .plans import multigrid
 from .sources import points as files
 
 DEPTH, MOST = 6, 16
 MESH_DEPTH, MESH_MOST = 4, 200
+BLOCK = 2  # the level of blocks
 BUCKET_BITS = 9  # keys of a bucket share all but so many low bits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,8 +63,8 @@ def bucket():
     return F.shiftright("key", BUCKET_BITS)
 
 
-def _encode(x: str, y: str, z: str) -> str:
-    parts = [f"((({v} >> {b}) & 1) << {3 * b + a})" for b in range(DEPTH) for a, v in enumerate((x, y, z))]
+def _encode(*at: str) -> str:
+    parts = [f"((({v} >> {b}) & 1) << {len(at) * b + a})" for b in range(DEPTH) for a, v in enumerate(at)]
     return "(" + " | ".join(parts) + ")"
 
 
@@ -77,14 +78,14 @@ KEYED = f"""pts AS (
 ), keyed AS (SELECT *, {_encode("x", "y", "z")} AS key FROM pts)"""
 
 
-def _tree_sql(name: str = "leaves", depth: int = DEPTH, most: int = MOST, where: str = "true") -> str:
+def _tree_sql(name: str = "leaves", depth: int = DEPTH, most: int = MOST, where: str = "true", source: str = "keyed", dim: int = 3) -> str:
     return f"""{name}_cells AS (
-  SELECT l AS level, (key >> {3 * (DEPTH - depth)}) >> (3 * ({depth} - l)) AS prefix, count(*) AS n
-  FROM keyed, range(0, {depth + 1}) t(l) WHERE {where} GROUP BY ALL
+  SELECT l AS level, (key >> {dim * (DEPTH - depth)}) >> ({dim} * ({depth} - l)) AS prefix, count(*) AS n
+  FROM {source}, range(0, {depth + 1}) t(l) WHERE {where} GROUP BY ALL
 ), {name}_inner AS (SELECT level, prefix FROM {name}_cells WHERE n > {most} AND level < {depth}
 ), {name} AS (
-  SELECT i.level + 1 AS level, i.prefix * 8 + c AS prefix FROM {name}_inner i, range(0, 8) t(c)
-  WHERE NOT EXISTS (SELECT 1 FROM {name}_inner j WHERE j.level = i.level + 1 AND j.prefix = i.prefix * 8 + c)
+  SELECT i.level + 1 AS level, i.prefix * {2**dim} + c AS prefix FROM {name}_inner i, range(0, {2**dim}) t(c)
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_inner j WHERE j.level = i.level + 1 AND j.prefix = i.prefix * {2**dim} + c)
   UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM {name}_inner))"""
 
 
@@ -99,14 +100,14 @@ def _complete(cells: str) -> str:
   UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM inner_))"""
 
 
-def _balanced(source: str = "leaves") -> str:
+def _balanced(source: str = "leaves", directions: str = "true") -> str:
     return f"""grow AS (
   SELECT level, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM {source}
   UNION
   SELECT level - 1, (((x >> 1) + dx) >> 1) * 2 + (k & 1), (((y >> 1) + dy) >> 1) * 2 + ((k >> 1) & 1), (((z >> 1) + dz) >> 1) * 2 + (k >> 2)
   FROM grow, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz), range(0, 8) s(k)
   WHERE level >= 2 AND least((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) >= 0
-    AND greatest((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) < (1 << (level - 1))
+    AND greatest((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) < (1 << (level - 1)) AND {directions}
 ), grown AS (SELECT level, x, y, z, {_encode("x", "y", "z")} AS prefix FROM grow
 ), balanced AS (SELECT * FROM grown g WHERE NOT EXISTS (SELECT 1 FROM grown h WHERE h.level = g.level + 1 AND h.prefix >> 3 = g.prefix))"""
 
@@ -207,6 +208,44 @@ def hilbert_key(spark, sf_dir):
     return unique.withColumn("hilbert", K.hilbert(F.col("x"), F.col("y"), F.col("z"), depth=DEPTH))
 
 
+@query(_TREE + " SELECT level::INT AS level, prefix, (prefix >> 3) * 8 + c AS sibling FROM leaves, range(0, 8) t(c) WHERE level > 0 AND (prefix >> 3) * 8 + c <> prefix")
+def sibling_cells(spark, sf_dir):
+    return leaves(spark, sf_dir).filter("level > 0").select("level", "prefix", F.explode(K.siblings("prefix")).alias("sibling"))
+
+
+@query(_TREE + f", up_ AS ({_above('leaves')}) SELECT level::INT AS level, prefix FROM up_")
+def ancestor_cells(spark, sf_dir):
+    return tree.ancestors(leaves(spark, sf_dir))
+
+
+@query(
+    _TREE + f""", cell AS (SELECT level, prefix, (1 << (level - {BLOCK})) - 1 AS e, prefix & ((1 << (3 * (level - {BLOCK}))) - 1) AS own FROM leaves WHERE level >= {BLOCK}),
+at_ AS (SELECT level, prefix, e, {_decode("own", 0)} AS x, {_decode("own", 1)} AS y, {_decode("own", 2)} AS z FROM cell)
+SELECT level::INT AS level, prefix, ((x = 0)::INT + 2 * (y = 0)::INT + 4 * (z = 0)::INT + 32 * (x = e)::INT + 64 * (y = e)::INT + 128 * (z = e)::INT)::INT AS flags
+FROM at_ WHERE least(x, y, z) = 0 OR greatest(x, y, z) = e"""
+)
+def block_boundary(spark, sf_dir):
+    return tree.block_boundary(leaves(spark, sf_dir), BLOCK)
+
+
+@query(_TREE + " SELECT level::INT AS level, prefix, " + ", ".join(f"({_decode('prefix', a)} + 0.5) * pow(0.5, level) AS {v}" for a, v in enumerate("xyz")) + " FROM leaves")
+def cell_centres(spark, sf_dir):
+    return fields.centres(leaves(spark, sf_dir))
+
+
+@query(f"WITH {KEYED} SELECT DISTINCT key FROM keyed WHERE greatest(x, y, z) <= {1 << DEPTH - 1}")
+def lower_half_points(spark, sf_dir):
+    half = 1 << DEPTH - 1
+    return order_lines(spark, sf_dir).filter(f"x <= {half} and y <= {half} and z <= {half}").select("key").distinct()
+
+
+@query(f"WITH {KEYED} SELECT key >> 3 AS parent, bit_or((1 << (key & 7))::INT) AS touched, (count(*) / 8)::DOUBLE AS mean FROM keyed GROUP BY ALL")
+def child_aggregates(spark, sf_dir):
+    """Of each parent which children hold points, and the points a child."""
+    touched = F.bit_or(F.call_function("shiftleft", F.lit(1), K.child_number("key")))
+    return order_lines(spark, sf_dir).groupBy(K.up("key", 1).alias("parent")).agg(touched.alias("touched"), (F.count("*") / 8).alias("mean"))
+
+
 # ------------------------------------------------------------------- trees
 
 
@@ -310,6 +349,36 @@ def unbalanced_leaves(spark, sf_dir):
     return tree.unbalanced(steep_leaves(spark, sf_dir))
 
 
+@query(f"{_STEEP}, {_balanced(directions='dx * dy * dz = 0')} SELECT level::INT AS level, prefix FROM balanced")
+def balance_without_corners(spark, sf_dir):
+    return tree.balance(steep_leaves(spark, sf_dir), corners=False)
+
+
+@query(
+    f"""{_STEEP}, {_balanced()}, one AS (SELECT level, prefix FROM balanced), two AS (SELECT level, prefix FROM leaves)
+SELECT level::INT AS level, prefix, side FROM (SELECT *, 1 AS side FROM (FROM one EXCEPT ALL FROM two) UNION ALL SELECT *, 2 FROM (FROM two EXCEPT ALL FROM one))"""
+)
+def tree_difference(spark, sf_dir):
+    steep = tree.cut(steep_leaves(spark, sf_dir))
+    return tree.difference(tree.balance(steep), steep)
+
+
+@query(f"WITH {KEYED}, flat AS (SELECT {_encode('x', 'y')} AS key FROM keyed), {_tree_sql(source='flat', dim=2)} SELECT level::INT AS level, prefix FROM leaves")
+def construct_quadtree(spark, sf_dir):
+    flat = order_lines(spark, sf_dir).select(K.interleave(F.col("x"), F.col("y")).alias("key"))
+    return tree.construct(flat, DEPTH, MOST, dim=2)
+
+
+@query(_TREE + f" SELECT prefix >> (3 * (level - {BLOCK})) AS block, count(*) AS leaves FROM leaves WHERE level >= {BLOCK} GROUP BY ALL")
+def block_weights(spark, sf_dir):
+    return leaves(spark, sf_dir).filter(F.col("level") >= BLOCK).groupBy(K.up("prefix", F.col("level") - BLOCK).alias("block")).agg(F.count("*").alias("leaves"))
+
+
+@query(_TREE + " SELECT min(level)::INT AS least, max(level)::INT AS most FROM leaves")
+def level_range(spark, sf_dir):
+    return leaves(spark, sf_dir).agg(F.min("level").alias("least"), F.max("level").alias("most"))
+
+
 _LO, _HI = (3, 100), (2, 50)
 
 
@@ -369,6 +438,15 @@ def weighted_partition(spark, sf_dir):
     return search.weighted_parts(counted(spark, sf_dir), ["key"], F.col("n"), 16, bucket())
 
 
+@query(
+    _TREE + f""", listed AS (SELECT level, prefix, row_number() OVER (ORDER BY prefix << (3 * ({DEPTH} - level))) - 1 AS id, count(*) OVER () AS n FROM leaves)
+SELECT level::INT AS level, prefix, least(id // greatest(n // 5, 1), 4)::INT AS part FROM listed"""
+)
+def split_octree(spark, sf_dir):
+    cells = leaves(spark, sf_dir).withColumn("key", K.first_key(F.col("level"), F.col("prefix"), DEPTH))
+    return search.split(cells, ["key"], 5, bucket()).select("level", "prefix", "part")
+
+
 @query(f"WITH {KEYED} SELECT DISTINCT key FROM keyed WHERE x > 0 AND y > 0 AND z > 0")
 def distinct_points(spark, sf_dir):
     return order_lines(spark, sf_dir).filter("x > 0 and y > 0 and z > 0").select("key").dropDuplicates()
@@ -416,6 +494,36 @@ def mesh_nodes(spark, sf_dir):
     return mesh.nodes(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
 
 
+@query(
+    _MESH + f""", node AS (SELECT nx, ny, nz, row_number() OVER (ORDER BY {_encode("nx", "ny", "nz")}) - 1 AS node FROM (SELECT DISTINCT nx, ny, nz FROM element)),
+cell AS (SELECT level, prefix, row_number() OVER (ORDER BY prefix << (3 * ({_D} - level))) - 1 AS element FROM balanced)
+SELECT c.element, e.vertex::INT AS vertex, n.node FROM element e JOIN cell c ON c.level = e.level AND c.prefix = e.prefix JOIN node n ON n.nx = e.nx AND n.ny = e.ny AND n.nz = e.nz"""
+)
+def numbered_mesh(spark, sf_dir):
+    return mesh.numbered(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
+
+
+@query(
+    _MESH + """, kind AS (SELECT level, prefix, (prefix & 7)::INT AS child, sum(CASE WHEN hangs THEN 1 << vertex ELSE 0 END)::INT AS mask FROM element GROUP BY level, prefix)
+SELECT child, mask, count(*) AS elements FROM kind GROUP BY ALL"""
+)
+def element_types(spark, sf_dir):
+    kinds = mesh.masks(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
+    return kinds.groupBy("child", "mask").agg(F.count("*").alias("elements"))
+
+
+@query(_MESH + " SELECT level::INT AS level, count(*) // 8 AS elements, count(*) FILTER (hangs) AS hanging, NOT bool_or(hangs) AS regular FROM element GROUP BY level")
+def mesh_statistics(spark, sf_dir):
+    rows = mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH).groupBy("level")
+    return rows.agg(F.expr("count(*) div 8").alias("elements"), F.count(F.when(F.col("hangs"), 1)).alias("hanging"), (~F.bool_or("hangs")).alias("regular"))
+
+
+@query(_MESH + f" SELECT DISTINCT nx, ny FROM element WHERE nz = {1 << _D - 1}")
+def mesh_slice(spark, sf_dir):
+    nodes = mesh.nodes(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
+    return nodes.filter(F.col("nz") == 1 << MESH_DEPTH - 1).select("nx", "ny")
+
+
 def _assembled(spark, sf_dir, stiffness=1.0, mass=1.0) -> tuple[DataFrame, DataFrame]:
     elements = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
     return elements, tree.cut(fem.matrix(elements, MESH_DEPTH, stiffness, mass))
@@ -459,3 +567,68 @@ def grid_hierarchy(spark, sf_dir):
     levels = multigrid.hierarchy(mesh_tree(spark, sf_dir), 3, fewest=8)
     rows = [(k, level.count()) for k, level in enumerate(levels)]
     return spark.createDataFrame(rows, "grid int, cells bigint")
+
+
+def _waves(x, y, z):
+    return F.cos(x * 3.0) + y * z
+
+
+@query()
+def right_hand_side(spark, sf_dir):
+    grid = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
+    return fields.load(grid, _waves).select(*mesh.AT, F.round("value", 9).alias("value"))
+
+
+@query()
+def point_values(spark, sf_dir):
+    """A nodal field and its slopes at the order lines' cell centres."""
+    grid = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
+    side = float(1 << DEPTH)
+    points = order_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *(((F.col(a) + 0.5) / side).alias(a) for a in "xyz"))
+    found = fields.at_points(points, grid, _linear(mesh.nodes(grid, MESH_DEPTH)), MESH_DEPTH)
+    return found.select("l_orderkey", "l_linenumber", *(F.round(c, 9).alias(c) for c in ("value", "dx", "dy", "dz")))
+
+
+@query()
+def variable_coefficients(spark, sf_dir):
+    """The operator with the mean quantity of each element's points."""
+    cells = tree.cut(mesh_tree(spark, sf_dir))
+    grid = tree.cut(mesh.elements(cells, MESH_DEPTH))
+    points = order_lines(spark, sf_dir).select(F.shiftright("key", 3 * (DEPTH - MESH_DEPTH)).alias("key"), F.col("l_quantity").cast("double").alias("value"))
+    operator = fem.matrix(grid, MESH_DEPTH, F.col("value"), 1.0, fields.from_points(points, cells, MESH_DEPTH, 1.0))
+    return fem.times(operator, _linear(mesh.nodes(grid, MESH_DEPTH))).select(*mesh.AT, F.round("value", 6).alias("value"))
+
+
+@query()
+def dirichlet_vector(spark, sf_dir):
+    grid, operator = _assembled(spark, sf_dir)
+    nodes = mesh.nodes(grid, MESH_DEPTH)
+    bound = fem.dirichlet(operator, nodes.filter("boundary > 0"))
+    return fem.times(bound, _linear(nodes)).select(*mesh.AT, F.round("value", 9).alias("value"))
+
+
+@query()
+def elasticity_vector(spark, sf_dir):
+    grid = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
+    moved = _linear(mesh.nodes(grid, MESH_DEPTH)).withColumn("dof", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return fem.times(fem.elastic_matrix(grid, MESH_DEPTH), moved).select(*mesh.AT, "dof", F.round("value", 9).alias("value"))
+
+
+@query()
+def injected_field(spark, sf_dir):
+    """A fine nodal field at the nodes of the next coarser grid."""
+    levels = multigrid.hierarchy(mesh_tree(spark, sf_dir), 2, fewest=1)
+    fine, coarse = (mesh.nodes(mesh.elements(g, MESH_DEPTH), MESH_DEPTH) for g in (levels[0], levels[-1]))
+    return mesh.inject(_linear(fine), coarse)
+
+
+@query()
+def generated_points(spark, sf_dir):
+    """Points a cell of level 2 of each generated cloud."""
+    clouds = {"sphere": files.sphere(spark, 5000, 3), "corners": files.corners(spark, 5000, 4), "doubled": files.doubled(files.gaussian(spark, 5000, 5, log=True)), "peaks": files.peaks(spark, 70)}
+    out = None
+    for name, cloud in clouds.items():
+        key = K.interleave(*(K.quantise(F.col(a), 2, 1.0) for a in K.AXES))
+        each = cloud.groupBy(F.lit(name).alias("cloud"), key.alias("prefix")).agg(F.count("*").alias("n"))
+        out = each if out is None else out.unionByName(each)
+    return out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from . import search
 
 AT = ["nx", "ny", "nz"]
 
@@ -61,6 +62,17 @@ def nodes(mesh: DataFrame, depth: int) -> DataFrame:
     return mesh.select(*AT).distinct().withColumn("boundary", at_end.cast("int"))
 
 
+def numbered(mesh: DataFrame, depth: int, bits: int = 9) -> DataFrame:
+    """(element, vertex, node): elements and nodes numbered from 0 along the
+    curve.  Numbers are dealt by buckets of ``bits`` low bits of the key."""
+    low = F.shiftright("_key", bits)
+    points = mesh.select(*AT).distinct().withColumn("_key", K.interleave(*(F.col(n) for n in AT)))
+    named = search.numbered(points, ["_key"], low, "node").drop("_key")
+    cells = mesh.select("level", "prefix").distinct().withColumn("_key", K.first_key(F.col("level"), F.col("prefix"), depth))
+    listed = search.numbered(cells, ["_key"], low, "element").drop("_key")
+    return mesh.join(listed, ["level", "prefix"]).join(named, AT).select("element", "vertex", "node")
+
+
 def masks(mesh: DataFrame) -> DataFrame:
     """(level, prefix, child, mask): bit i of the mask for a hanging vertex i."""
     bit = F.when(F.col("hangs"), F.expr("shiftleft(1, vertex)")).otherwise(0)

@@ -60,3 +60,10 @@ def weighted_parts(df: DataFrame, order: list[str], weight: Column, parts: int,
     total = df.agg(F.sum(weight)).first()[0] or 1
     rows = running(df, order, weight, bucket, "_t")
     return rows.withColumn(out, F.least(F.expr(f"int((_t * {parts} + {total} - 1) div {total}) - 1"), F.lit(parts - 1))).drop("_t")
+
+
+def split(df: DataFrame, order: list[str], parts: int, bucket: Column, out: str = "part") -> DataFrame:
+    """Cuts rows in order into ``parts`` of an equal number of rows; the last
+    also takes the remainder."""
+    each = max(df.count() // parts, 1)
+    return numbered(df, order, bucket, "_id").withColumn(out, F.least(F.expr(f"int(_id div {each})"), F.lit(parts - 1))).drop("_id")

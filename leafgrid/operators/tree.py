@@ -191,3 +191,17 @@ def spheres(spark, depth: int, split: Column, dim: int = 3) -> DataFrame:
         leaves.append(at.filter(~split))
         at = cut(_children(at.filter(split), dim))
     return reduce(DataFrame.unionByName, [*leaves, at])
+
+
+def block_boundary(cells: DataFrame, block: int, dim: int = 3) -> DataFrame:
+    """(level, prefix, flags): cells that touch the boundary of the block of
+    level ``block`` they lie in, flags as in ``keys.boundary_flags``."""
+    inner = F.col("level") - block
+    own = F.col("prefix") - K.down(K.up("prefix", inner, dim), inner, dim)
+    return cells.filter(F.col("level") >= block).select(*OCTANT, K.boundary_flags(inner, own, dim).alias("flags")).filter("flags <> 0")
+
+
+def difference(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(level, prefix, side): cells of only one of two trees, by the side."""
+    one, two = octants(one), octants(two)
+    return one.exceptAll(two).withColumn("side", F.lit(1)).unionByName(two.exceptAll(one).withColumn("side", F.lit(2)))

@@ -89,3 +89,58 @@ def gaussian(spark: SparkSession, n: int, seed: int, mean: float = 0.5, spread:
         return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0 - 2.0**-31))
 
     return spark.range(n).select(F.col("id").alias("pid"), draw(0).alias("x"), draw(1).alias("y"), draw(2).alias("z"))
+
+
+def _numbered(parts: list[Column], rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("pid"), *(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0 - 2.0**-31)).alias(a) for a, p in zip(K.AXES, parts, strict=True)))
+
+
+def sphere(spark: SparkSession, n: int, seed: int, radius: float = 0.4) -> DataFrame:
+    """(pid, x, y, z): points spread evenly over a sphere around the centre."""
+    rows = spark.range(n).withColumns({"u": F.rand(seed) * 2 - 1, "t": F.rand(seed + 1) * (2 * np.pi)})
+    flat = F.sqrt(1 - F.col("u") * F.col("u"))
+    return _numbered([0.5 + radius * flat * F.cos("t"), 0.5 + radius * flat * F.sin("t"), 0.5 + radius * F.col("u")], rows)
+
+
+def corners(spark: SparkSession, n: int, seed: int, spread: float = 0.1) -> DataFrame:
+    """(pid, x, y, z): half normals into the domain from each of its corners."""
+    rows = spark.range(n)
+    parts = [F.abs(F.randn(seed + k)) * spread for k in range(3)]
+    return _numbered([F.when(F.shiftright("id", k) % 2 == 1, 1 - p).otherwise(p) for k, p in enumerate(parts)], rows)
+
+
+def doubled(points: DataFrame) -> DataFrame:
+    """The points, and those mirrored in the centre, with ids 2 pid, 2 pid + 1."""
+    both = points.withColumn("_m", F.explode(F.array(F.lit(0), F.lit(1))))
+    end = 1.0 - 2.0**-31
+    return both.select((F.col("pid") * 2 + F.col("_m")).alias("pid"), *(F.when(F.col("_m") == 1, end - F.col(a)).otherwise(F.col(a)).alias(a) for a in K.AXES))
+
+
+def peaks(spark: SparkSession, side: int) -> DataFrame:
+    """(pid, x, y, z): a regular grid of side x side points on a surface of
+    three hills, its heights scaled into the domain."""
+    rows = spark.range(side * side).withColumns({"a": (F.col("id") % side) / side, "b": F.floor(F.col("id") / side) / side})
+    hills = [(0.3, 0.3, 0.5), (0.7, 0.4, 0.3), (0.5, 0.8, 0.2)]
+    height = sum((h * F.exp(-((F.col("a") - p) ** 2 + (F.col("b") - q) ** 2) * 20) for p, q, h in hills), F.lit(0.0))
+    return _numbered([F.col("a"), F.col("b"), height], rows)
+
+
+def vtk_point_lines(points: DataFrame, order: str = "pid") -> DataFrame:
+    """(ordinal, value): the lines of a VTK file of points numbered from 0 in
+    ``order``; the header has negative ordinals."""
+    body = points.select(F.col(order).cast("long").alias("ordinal"), F.concat_ws(" ", *(F.col(a) for a in K.AXES)).alias("value"))
+    head = ["# vtk DataFile Version 2.0", "points", "ASCII", "DATASET POLYDATA"]
+    lines = F.concat(F.array(*map(F.lit, head)), F.array(F.concat(F.lit("POINTS "), F.count("*").cast("string"), F.lit(" double"))))
+    top = points.agg(lines.alias("h")).select(F.posexplode("h").alias("i", "value"))
+    return top.select((F.col("i") - len(head) - 1).cast("long").alias("ordinal"), "value").unionByName(body)
+
+
+def vtk_grid_lines(values: DataFrame, level: int) -> DataFrame:
+    """(ordinal, value): the lines of a VTK file of structured points from the
+    cells (prefix, value) of a regular grid, x fastest."""
+    side = 2**level
+    x, y, z = K.position("prefix")
+    body = values.select((x + side * (y + side * z)).alias("ordinal"), F.col("value").cast("string").alias("value"))
+    head = ["# vtk DataFile Version 2.0", "grid", "ASCII", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {side} {side} {side}", "ORIGIN 0 0 0", f"SPACING {1 / side} {1 / side} {1 / side}", f"POINT_DATA {side**3}", "SCALARS value double", "LOOKUP_TABLE default"]
+    top = values.sparkSession.range(len(head)).select((F.col("id") - len(head)).alias("ordinal"), F.element_at(F.array(*map(F.lit, head)), (F.col("id") + 1).cast("int")).alias("value"))
+    return top.unionByName(body)

@@ -45,6 +45,12 @@ def test_loads_errors_and_values_at_points(spark, grids):
         assert (r.value, r.dx, r.dy, r.dz) == pytest.approx((r.x + 2 * r.y - r.z, 1, 2, -1))
 
 
+def test_injection(grids):
+    fine, coarse = grids
+    got = mesh.inject(field(fine, RULE), mesh.nodes(coarse, DEPTH))
+    assert got.count() == mesh.nodes(coarse, DEPTH).count() and gap(got, field(coarse, RULE)) < 1e-12
+
+
 def test_coefficients_and_fixed_nodes(grids):
     grid = grids[0]
     leaves = grid.select("level", "prefix").distinct()

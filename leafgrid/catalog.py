@@ -115,21 +115,81 @@ def _balanced(source: str = "leaves", directions: str = "true") -> str:
 _TREE = f"WITH {KEYED}, {_tree_sql()}"
 _STEEP = f"WITH RECURSIVE {KEYED}, {_tree_sql(most=1, where='l_quantity >= 50 and x < 40')}"
 _D = MESH_DEPTH
-_MESH = f"""WITH RECURSIVE {KEYED}, {_tree_sql("leaves", MESH_DEPTH, MESH_MOST)}, {_balanced()}, corner AS (
+_UNIT = 216 << 16  # element entries of the test meshes are multiples of 1 / _UNIT
+
+
+def _elements(cells: str = "balanced", s: str = "") -> str:
+    """The vertices, hanging vertices and element nodes of a balanced tree."""
+    return f"""corner{s} AS (
   SELECT level, prefix, v AS vertex, x, y, z, (x + (v & 1)) << ({_D} - level) AS nx, (y + ((v >> 1) & 1)) << ({_D} - level) AS ny, (z + (v >> 2)) << ({_D} - level) AS nz
-  FROM balanced, range(0, 8) t(v)
-), hang AS (
-  SELECT DISTINCT c.level, c.prefix, c.vertex FROM corner c JOIN balanced b ON b.level = c.level - 1
+  FROM {cells}, range(0, 8) t(v)
+), hang{s} AS (
+  SELECT DISTINCT c.level, c.prefix, c.vertex FROM corner{s} c JOIN {cells} b ON b.level = c.level - 1
   WHERE c.level > 0 AND greatest(c.nx % (1 << ({_D} + 1 - c.level)), c.ny % (1 << ({_D} + 1 - c.level)), c.nz % (1 << ({_D} + 1 - c.level))) > 0
     AND c.nx BETWEEN b.x << ({_D} - b.level) AND (b.x + 1) << ({_D} - b.level)
     AND c.ny BETWEEN b.y << ({_D} - b.level) AND (b.y + 1) << ({_D} - b.level)
     AND c.nz BETWEEN b.z << ({_D} - b.level) AND (b.z + 1) << ({_D} - b.level)
-), element AS (
+), element{s} AS (
   SELECT c.level, c.prefix, c.vertex, h.vertex IS NOT NULL AS hangs,
     CASE WHEN h.vertex IS NULL THEN nx ELSE ((x >> 1) + (c.vertex & 1)) << ({_D} + 1 - c.level) END AS nx,
     CASE WHEN h.vertex IS NULL THEN ny ELSE ((y >> 1) + ((c.vertex >> 1) & 1)) << ({_D} + 1 - c.level) END AS ny,
     CASE WHEN h.vertex IS NULL THEN nz ELSE ((z >> 1) + (c.vertex >> 2)) << ({_D} + 1 - c.level) END AS nz
-  FROM corner c LEFT JOIN hang h ON h.level = c.level AND h.prefix = c.prefix AND h.vertex = c.vertex)"""
+  FROM corner{s} c LEFT JOIN hang{s} h ON h.level = c.level AND h.prefix = c.prefix AND h.vertex = c.vertex)"""
+
+
+def _coarser(cells: str, s: str) -> str:
+    """``balanced{s}``: a tree coarsened once and balanced again."""
+    again = _balanced(f"merged{s}").replace("grow", f"grow{s}").replace("balanced", f"balanced{s}")
+    return f"""full{s} AS (SELECT level, prefix >> 3 AS p FROM {cells} WHERE level > 0 GROUP BY ALL HAVING count(*) = 8
+), merged{s} AS (
+  SELECT level, prefix FROM {cells} l WHERE NOT EXISTS (SELECT 1 FROM full{s} f WHERE f.level = l.level AND f.p = l.prefix >> 3)
+  UNION ALL SELECT level - 1, p FROM full{s}), {again}"""
+
+
+def _weights(s: str = "") -> str:
+    """``q{s}``: the share of an element's node in the value at its vertex v."""
+    return f"""q{s} AS (
+  SELECT e.level, e.prefix, e.vertex AS v, n.nx, n.ny, n.nz,
+    CASE WHEN e.hangs THEN 1e0 / (1 << bit_count(xor(e.prefix & 7, e.vertex))::INT) ELSE 1e0 END AS w
+  FROM element{s} e JOIN element{s} n ON n.level = e.level AND n.prefix = e.prefix
+    AND CASE WHEN e.hangs THEN xor(e.prefix & 7, n.vertex) & ~xor(e.prefix & 7, e.vertex) = 0 ELSE n.vertex = e.vertex END)"""
+
+
+_MESH = f"WITH RECURSIVE {KEYED}, {_tree_sql('leaves', MESH_DEPTH, MESH_MOST)}, {_balanced()}, {_elements()}"
+_MASS = [f"(2 - ((xor(v, w) >> {a}) & 1)) / 6e0" for a in range(3)]
+_SLOPE = [f"(1 - 2 * ((xor(v, w) >> {a}) & 1))" for a in range(3)]
+
+
+def _slopes(a: int, b: int) -> str:
+    """The integral of function v's slope by axis a times w's by axis b."""
+    if a == b:
+        return f"{_SLOPE[a]} * {_MASS[(a + 1) % 3]} * {_MASS[(a + 2) % 3]}"
+    return f"(2 * ((v >> {a}) & 1) - 1) * (2 * ((w >> {b}) & 1) - 1) / 4e0 * {_MASS[3 - a - b]}"
+
+
+_STIFF = " + ".join(_slopes(a, a) for a in range(3))
+_FEM = _MESH + f""", {_weights()}, entry AS (
+  SELECT v, w, {_STIFF} AS stiff, {" * ".join(_MASS)} AS mass FROM range(0, 8) a(v), range(0, 8) b(w)
+), node AS (SELECT DISTINCT nx, ny, nz, nx + 2 * ny + 3 * nz AS u, (nx % {1 << _D} = 0 OR ny % {1 << _D} = 0 OR nz % {1 << _D} = 0) AS fixed FROM element)"""
+
+
+def _product(u: str) -> str:
+    """``product``: the operator with both factors 1, times the nodal field u."""
+    return f"""vertex AS (SELECT q.level, q.prefix, q.v, sum(q.w * {u}) AS u FROM q JOIN node n ON n.nx = q.nx AND n.ny = q.ny AND n.nz = q.nz GROUP BY ALL
+), row_ AS (
+  SELECT x.level, x.prefix, e.v, sum((e.stiff * pow(0.5e0, x.level) + e.mass * pow(0.125e0, x.level)) * x.u) AS r
+  FROM vertex x JOIN entry e ON e.w = x.v GROUP BY ALL
+), product AS (SELECT q.nx, q.ny, q.nz, sum(q.w * r.r) AS value FROM q JOIN row_ r ON r.level = q.level AND r.prefix = q.prefix AND r.v = q.v GROUP BY ALL)"""
+
+
+def _units(value: str) -> str:
+    return f"round({value} * {_UNIT})::BIGINT / {_UNIT}::DOUBLE"
+
+
+def _snapped(value: str = "value"):
+    """A sum of entries rounded to the unit they are multiples of, so that the
+    order of summation does not show."""
+    return (F.round(F.col(value) * _UNIT).cast("long") / F.lit(float(_UNIT))).alias(value)
 
 
 # ------------------------------------------------------------ key functions
@@ -185,7 +245,14 @@ def neighbours(spark, sf_dir):
     return cells.select("prefix", F.explode(K.neighbours(F.lit(3), F.col("prefix"))).alias("neighbour"))
 
 
-@query()
+@query(
+    _TREE + f""", side AS (
+  SELECT level, prefix, {", ".join(f"(prefix >> {a}) & 1 AS b{a}, {_decode('prefix', a)} AS p{a}" for a in range(3))} FROM leaves
+), edge AS (
+  SELECT level, prefix, {", ".join(f"((p{a} + b{a}) << ({DEPTH} - level)) - b{a} AS i{a}, ((p{a} + b{a}) << ({DEPTH} - level)) - 1 + b{a} AS o{a}" for a in range(3))} FROM side
+), away AS (SELECT level, prefix, {", ".join(f"CASE WHEN (s >> {a}) & 1 = 1 THEN o{a} ELSE i{a} END AS k{a}" for a in range(3))} FROM edge, range(1, 8) t(s))
+SELECT level::INT AS level, prefix, {_encode("k0", "k1", "k2")} AS key FROM away WHERE least(k0, k1, k2) >= 0 AND greatest(k0, k1, k2) < {1 << DEPTH}"""
+)
 def search_keys(spark, sf_dir):
     found = K.search_keys(F.col("level"), F.col("prefix"), DEPTH)
     return leaves(spark, sf_dir).select("level", "prefix", F.explode(found).alias("key"))
@@ -202,7 +269,25 @@ def nearest_common_ancestor(spark, sf_dir):
     return ends.select("l_orderkey", level.cast("int").alias("level"), prefix.alias("prefix"))
 
 
-@query()
+def _hilbert() -> str:
+    """Places on the Hilbert curve, one statement for each bit and axis."""
+    steps, last = [], "c AS (SELECT DISTINCT x, y, z, x AS c0, y AS c1, z AS c2 FROM keyed)"
+    for bit in range(DEPTH - 1, 0, -1):
+        for a in range(3):
+            low, hit = (1 << bit) - 1, f"(c{a} >> {bit}) & 1 = 1"
+            both = f"(xor(c0, c{a}) & {low})"
+            new = {0: f"CASE WHEN {hit} THEN xor(c0, {low}) ELSE xor(c0, {both}) END"} | ({a: f"CASE WHEN {hit} THEN c{a} ELSE xor(c{a}, {both}) END"} if a else {})
+            steps.append(last)
+            last = f"c_{bit}_{a} AS (SELECT x, y, z, {', '.join(f'{new.get(k, f'c{k}')} AS c{k}' for k in range(3))} FROM {last.split()[0]})"
+    steps += [last, f"g AS (SELECT x, y, z, c0, xor(c1, c0) AS c1, xor(c2, xor(c1, c0)) AS c2 FROM {last.split()[0]})"]
+    turn = "0::BIGINT"
+    for bit in range(DEPTH - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN (c2 >> {bit}) & 1 = 1 THEN {(1 << bit) - 1} ELSE 0 END)"
+    steps.append(f"t AS (SELECT x, y, z, xor(c0, {turn}) AS c0, xor(c1, {turn}) AS c1, xor(c2, {turn}) AS c2 FROM g)")
+    return f"WITH {KEYED}, {', '.join(steps)} SELECT x, y, z, {_encode('c2', 'c1', 'c0')} AS hilbert FROM t"
+
+
+@query(_hilbert())
 def hilbert_key(spark, sf_dir):
     unique = order_lines(spark, sf_dir).select("x", "y", "z").distinct()
     return unique.withColumn("hilbert", K.hilbert(F.col("x"), F.col("y"), F.col("z"), depth=DEPTH))
@@ -321,7 +406,20 @@ def regular_octree(spark, sf_dir):
     return tree.regular(spark, 4)
 
 
-@query()
+def _merge_pass(k: int) -> str:
+    return f"""m{k} AS (
+  SELECT level, prefix >> 3 AS p, avg(value) AS value FROM g{k} WHERE level > 0 AND (SELECT count(*) FROM g{k}) >= 10
+  GROUP BY ALL HAVING count(*) = 8 AND max(value) - min(value) < 40
+), g{k + 1} AS (
+  SELECT * FROM g{k} l WHERE NOT EXISTS (SELECT 1 FROM m{k} m WHERE m.level = l.level AND m.p = l.prefix >> 3)
+  UNION ALL SELECT level - 1, p, value FROM m{k})"""
+
+
+@query(
+    f"""WITH {KEYED}, g0 AS (
+  SELECT 3 AS level, c AS prefix, count(key)::DOUBLE AS value FROM range(0, 512) t(c) LEFT JOIN keyed ON key >> {3 * (DEPTH - 3)} = c GROUP BY ALL
+), {", ".join(map(_merge_pass, range(3)))} SELECT level::INT AS level, prefix FROM g3"""
+)
 def grid_octree(spark, sf_dir):
     counts = order_lines(spark, sf_dir).groupBy(K.up("key", 3).alias("prefix")).agg(F.count("*").alias("value"))
     grid = tree.regular(spark, 3).select("prefix").join(counts, "prefix", "left").select("prefix", F.coalesce("value", F.lit(0)).alias("value"))
@@ -391,7 +489,15 @@ def region_between(spark, sf_dir):
     return tree.between(_LO, _HI, spark.range(1), DEPTH)
 
 
-@query()
+_ON_SPHERE = "(abs(sqrt(" + " + ".join(f"pow(({_decode('prefix', a)} + 0.5e0) * pow(0.5e0, level) - 0.5e0, 2)" for a in range(3)) + ") - 0.35e0) < 0.87e0 * pow(0.5e0, level))"
+
+
+@query(
+    f"""WITH RECURSIVE cells AS (
+  SELECT 0 AS level, 0::BIGINT AS prefix
+  UNION ALL SELECT level + 1, prefix * 8 + c FROM cells, range(0, 8) t(c) WHERE level < 5 AND {_ON_SPHERE}
+) SELECT level, prefix FROM cells WHERE level = 5 OR NOT {_ON_SPHERE}"""
+)
 def sphere_octree(spark, sf_dir):
     centre = [(p + 0.5) * F.pow(F.lit(0.5), F.col("level")) - 0.5 for p in K.position("prefix")]
     distance = F.sqrt(sum((c * c for c in centre), F.lit(0.0)))
@@ -524,6 +630,10 @@ def mesh_slice(spark, sf_dir):
     return nodes.filter(F.col("nz") == 1 << MESH_DEPTH - 1).select("nx", "ny")
 
 
+def _shape(at: list[str], v: str) -> str:
+    return " * ".join(f"CASE WHEN ({v} >> {a}) & 1 = 1 THEN {t} ELSE 1 - {t} END" for a, t in enumerate(at))
+
+
 def _assembled(spark, sf_dir, stiffness=1.0, mass=1.0) -> tuple[DataFrame, DataFrame]:
     elements = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
     return elements, tree.cut(fem.matrix(elements, MESH_DEPTH, stiffness, mass))
@@ -533,18 +643,34 @@ def _linear(nodes: DataFrame) -> DataFrame:
     return nodes.select(*mesh.AT, (F.col("nx") + 2 * F.col("ny") + 3 * F.col("nz")).cast("double").alias("value"))
 
 
-@query()
+@query(
+    _FEM + f", {_product('n.u')} SELECT nx, ny, nz, {_units('value')} AS value FROM product"
+)
 def matrix_vector(spark, sf_dir):
     elements, operator = _assembled(spark, sf_dir)
-    return fem.times(operator, _linear(mesh.nodes(elements, MESH_DEPTH))).select(*mesh.AT, F.round("value", 9).alias("value"))
+    return fem.times(operator, _linear(mesh.nodes(elements, MESH_DEPTH))).select(*mesh.AT, _snapped())
 
 
-@query()
+@query(
+    _FEM + f""", own AS (
+  SELECT q.nx, q.ny, q.nz, sum(q.w * p.w * (e.stiff * pow(0.5e0, q.level) + e.mass * pow(0.125e0, q.level))) AS value
+  FROM q JOIN q p ON p.level = q.level AND p.prefix = q.prefix AND p.nx = q.nx AND p.ny = q.ny AND p.nz = q.nz JOIN entry e ON e.v = q.v AND e.w = p.v GROUP BY ALL)
+SELECT nx, ny, nz, {_units("value")} AS value FROM own"""
+)
 def matrix_diagonal(spark, sf_dir):
-    return fem.diagonal(_assembled(spark, sf_dir)[1]).select(*mesh.AT, F.round("value", 9).alias("value"))
+    return fem.diagonal(_assembled(spark, sf_dir)[1]).select(*mesh.AT, _snapped())
 
 
-@query()
+@query(
+    _MESH + f""", {_coarser("balanced", "1")}, {_elements("balanced1", "1")}, {_weights("1")}, vertex AS (
+  SELECT level, prefix, v, sum(w * (nx + 2 * ny + 3 * nz)) AS u FROM q1 GROUP BY ALL
+), point AS (SELECT DISTINCT nx, ny, nz, {_encode(*(f"least({n}, {(1 << _D) - 1})" for n in mesh.AT))} AS key FROM element
+), inside AS (
+  SELECT p.nx, p.ny, p.nz, b.level, b.prefix, {", ".join(f"(p.n{a} - (b.{a} << ({_D} - b.level))) / (1 << ({_D} - b.level))::DOUBLE AS t{a}" for a in "xyz")}
+  FROM point p JOIN balanced1 b ON b.prefix = p.key >> (3 * ({_D} - b.level))
+)
+SELECT nx, ny, nz, round(sum(u * {_shape(["tx", "ty", "tz"], "v")}), 9) AS value FROM inside JOIN vertex USING (level, prefix) GROUP BY ALL"""
+)
 def interpolation(spark, sf_dir):
     """Values of a nodal field at the cells' next coarser nodes, prolonged."""
     fine = mesh_tree(spark, sf_dir)
@@ -562,7 +688,11 @@ def conjugate_gradients(spark, sf_dir):
     return spark.createDataFrame([(3, residual)], "rounds int, residual double")
 
 
-@query()
+@query(
+    _MESH + f""", {_coarser("balanced", "1")}, {_coarser("balanced1", "2")}
+SELECT 0 AS grid, count(*) AS cells FROM balanced UNION ALL SELECT 1, count(*) FROM balanced1 HAVING (SELECT count(*) FROM balanced) >= 8
+UNION ALL SELECT 2, count(*) FROM balanced2 HAVING least((SELECT count(*) FROM balanced), (SELECT count(*) FROM balanced1)) >= 8"""
+)
 def grid_hierarchy(spark, sf_dir):
     levels = multigrid.hierarchy(mesh_tree(spark, sf_dir), 3, fewest=8)
     rows = [(k, level.count()) for k, level in enumerate(levels)]
@@ -573,13 +703,28 @@ def _waves(x, y, z):
     return F.cos(x * 3.0) + y * z
 
 
-@query()
+@query(
+    _FEM + f""", gauss AS (SELECT * FROM (VALUES {", ".join(f"({x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {w!r}::DOUBLE)" for (x, y, z), w in fem.quadrature())}) g(gx, gy, gz, weight)
+), part AS (
+  SELECT level, prefix, v, sum(weight * {_shape(["gx", "gy", "gz"], "v")} * (cos(3 * ((x + gx) * pow(0.5e0, level))) + (y + gy) * pow(0.5e0, level) * ((z + gz) * pow(0.5e0, level))) * pow(0.125e0, level)) AS value
+  FROM balanced, gauss, range(0, 8) t(v) GROUP BY ALL
+)
+SELECT q.nx, q.ny, q.nz, round(sum(q.w * p.value), 9) AS value FROM q JOIN part p ON p.level = q.level AND p.prefix = q.prefix AND p.v = q.v GROUP BY ALL"""
+)
 def right_hand_side(spark, sf_dir):
     grid = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
     return fields.load(grid, _waves).select(*mesh.AT, F.round("value", 9).alias("value"))
 
 
-@query()
+@query(
+    _FEM + f""", vertex AS (SELECT level, prefix, v, sum(w * (nx + 2 * ny + 3 * nz)) AS u FROM q GROUP BY ALL
+), inside AS (
+  SELECT k.l_orderkey, k.l_linenumber, row_number() OVER () AS point, b.level, b.prefix, {", ".join(f"(k.{a} + 0.5e0) / {1 << DEPTH} * (1 << b.level) - b.{a} AS t{a}" for a in "xyz")}
+  FROM keyed k JOIN balanced b ON b.prefix = (k.key >> {3 * (DEPTH - _D)}) >> (3 * ({_D} - b.level))
+)
+SELECT l_orderkey, l_linenumber, round(sum(u * {_shape(["tx", "ty", "tz"], "v")}), 9) AS value, {", ".join(f"""round(sum(u * (2 * ((v >> {a}) & 1) - 1) * (1 << level) * {_shape([f"t{c}" if c != "xyz"[a] else f"(((v >> {a}) & 1)::DOUBLE)" for c in "xyz"], "v")}), 9) AS d{"xyz"[a]}""" for a in range(3))}
+FROM inside JOIN vertex USING (level, prefix) GROUP BY point, l_orderkey, l_linenumber"""
+)
 def point_values(spark, sf_dir):
     """A nodal field and its slopes at the order lines' cell centres."""
     grid = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
@@ -599,22 +744,35 @@ def variable_coefficients(spark, sf_dir):
     return fem.times(operator, _linear(mesh.nodes(grid, MESH_DEPTH))).select(*mesh.AT, F.round("value", 6).alias("value"))
 
 
-@query()
+@query(
+    _FEM + f""", {_product("CASE WHEN n.fixed THEN 0 ELSE n.u END")}
+SELECT nx, ny, nz, CASE WHEN fixed THEN u ELSE {_units("value")} END AS value FROM product JOIN node USING (nx, ny, nz)"""
+)
 def dirichlet_vector(spark, sf_dir):
     grid, operator = _assembled(spark, sf_dir)
     nodes = mesh.nodes(grid, MESH_DEPTH)
     bound = fem.dirichlet(operator, nodes.filter("boundary > 0"))
-    return fem.times(bound, _linear(nodes)).select(*mesh.AT, F.round("value", 9).alias("value"))
+    return fem.times(bound, _linear(nodes)).select(*mesh.AT, _snapped())
 
 
-@query()
+@query(
+    _FEM + f""", elastic AS ({" UNION ALL ".join(f"SELECT v, w, {a} AS dof, {'stiff + ' if a == b else ''}2 * ({_slopes(a, b)}) AS a FROM entry" for a in range(3) for b in range(3))}
+), vertex AS (SELECT q.level, q.prefix, q.v, sum(q.w * n.u) AS u FROM q JOIN node n ON n.nx = q.nx AND n.ny = q.ny AND n.nz = q.nz GROUP BY ALL
+), row_ AS (SELECT x.level, x.prefix, e.v, e.dof, sum(e.a * pow(0.5e0, x.level) * x.u) AS r FROM vertex x JOIN elastic e ON e.w = x.v GROUP BY ALL
+), product AS (SELECT q.nx, q.ny, q.nz, r.dof, sum(q.w * r.r) AS value FROM q JOIN row_ r ON r.level = q.level AND r.prefix = q.prefix AND r.v = q.v GROUP BY ALL)
+SELECT nx, ny, nz, dof::INT AS dof, {_units("value")} AS value FROM product"""
+)
 def elasticity_vector(spark, sf_dir):
     grid = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
     moved = _linear(mesh.nodes(grid, MESH_DEPTH)).withColumn("dof", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    return fem.times(fem.elastic_matrix(grid, MESH_DEPTH), moved).select(*mesh.AT, "dof", F.round("value", 9).alias("value"))
+    return fem.times(fem.elastic_matrix(grid, MESH_DEPTH), moved).select(*mesh.AT, "dof", _snapped())
 
 
-@query()
+@query(
+    _MESH + f""", {_coarser("balanced", "1")}, {_elements("balanced1", "1")}, node AS (SELECT DISTINCT nx, ny, nz FROM element)
+SELECT c.nx, c.ny, c.nz, CASE WHEN n.nx IS NULL THEN 0 ELSE c.nx + 2 * c.ny + 3 * c.nz END::DOUBLE AS value
+FROM (SELECT DISTINCT nx, ny, nz FROM element1) c LEFT JOIN node n ON n.nx = c.nx AND n.ny = c.ny AND n.nz = c.nz"""
+)
 def injected_field(spark, sf_dir):
     """A fine nodal field at the nodes of the next coarser grid."""
     levels = multigrid.hierarchy(mesh_tree(spark, sf_dir), 2, fewest=1)

@@ -169,22 +169,27 @@ def block_inverse(operator: DataFrame) -> DataFrame:
 
 
 def dot(one: DataFrame, two: DataFrame) -> float:
-    return one.join(two.select(*AT, F.col("value").alias("_y")), AT).agg(F.coalesce(F.sum(F.col("value") * F.col("_y")), F.lit(0.0))).first()[0]
+    keys = _keys(one)
+    return one.join(two.select(*keys, F.col("value").alias("_y")), keys).agg(F.coalesce(F.sum(F.col("value") * F.col("_y")), F.lit(0.0))).first()[0]
 
 
 def axpy(a: float, x: DataFrame, y: DataFrame) -> DataFrame:
-    """a x + y."""
-    both = x.select(*AT, (F.col("value") * a).alias("value")).unionByName(y.select(*AT, "value"))
-    return both.groupBy(*AT).agg(F.sum("value").alias("value"))
+    """a x + y; a missing value is 0."""
+    keys = _keys(y)
+    both = x.select(*keys, (F.col("value") * a).alias("value")).unionByName(y.select(*keys, "value"))
+    return both.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 
-def conjugate_gradients(apply: Callable[[DataFrame], DataFrame], right: DataFrame, rounds: int = 10, tolerance: float = 1e-8, condition: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, float]:
-    """Solution and residual norm; ``condition`` is the preconditioner."""
+def conjugate_gradients(apply: Callable[[DataFrame], DataFrame], right: DataFrame, rounds: int = 10, tolerance: float = 1e-8, condition: Callable[[DataFrame], DataFrame] | None = None, start: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """Solution and residual norm; ``condition`` is the preconditioner, ``start``
+    a first guess instead of 0.  Vectors may have several ``dof`` a node."""
     condition = condition or (lambda r: r)
-    x = right.select(*AT, F.lit(0.0).alias("value"))
-    r = cut(right.select(*AT, "value"))
+    keys = _keys(right)
+    first = max(dot(right, right), 1e-300) ** 0.5
+    x = right.select(*keys, F.lit(0.0).alias("value")) if start is None else start.select(*keys, "value")
+    r = cut(right.select(*keys, "value") if start is None else axpy(-1.0, apply(x), right))
     z = cut(condition(r))
-    p, rz, first = z, dot(r, z), max(dot(r, r), 1e-300) ** 0.5
+    p, rz = z, dot(r, z)
     for _ in range(rounds):
         q = cut(apply(p))
         below = dot(p, q)

@@ -62,14 +62,22 @@ def nodes(mesh: DataFrame, depth: int) -> DataFrame:
     return mesh.select(*AT).distinct().withColumn("boundary", at_end.cast("int"))
 
 
-def numbered(mesh: DataFrame, depth: int, bits: int = 9) -> DataFrame:
-    """(element, vertex, node): elements and nodes numbered from 0 along the
-    curve.  Numbers are dealt by buckets of ``bits`` low bits of the key."""
-    low = F.shiftright("_key", bits)
+def node_numbers(mesh: DataFrame, bits: int = 9) -> DataFrame:
+    """(nx, ny, nz, node): nodes numbered from 0 along the curve.  Numbers are
+    dealt by buckets of ``bits`` low bits of the key."""
     points = mesh.select(*AT).distinct().withColumn("_key", K.interleave(*(F.col(n) for n in AT)))
-    named = search.numbered(points, ["_key"], low, "node").drop("_key")
+    return search.numbered(points, ["_key"], F.shiftright("_key", bits), "node").drop("_key")
+
+
+def element_numbers(mesh: DataFrame, depth: int, bits: int = 9) -> DataFrame:
+    """(level, prefix, element): elements numbered likewise."""
     cells = mesh.select("level", "prefix").distinct().withColumn("_key", K.first_key(F.col("level"), F.col("prefix"), depth))
-    listed = search.numbered(cells, ["_key"], low, "element").drop("_key")
+    return search.numbered(cells, ["_key"], F.shiftright("_key", bits), "element").drop("_key")
+
+
+def numbered(mesh: DataFrame, depth: int, bits: int = 9) -> DataFrame:
+    """(element, vertex, node): each element's nodes, by their numbers."""
+    listed, named = element_numbers(mesh, depth, bits), node_numbers(mesh, bits)
     return mesh.join(listed, ["level", "prefix"]).join(named, AT).select("element", "vertex", "node")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -44,25 +44,38 @@ def transfer(fine: DataFrame, coarse: DataFrame, depth: int) -> DataFrame:
     return out.groupBy(*mesh.AT, "mx", "my", "mz").agg(F.sum(F.col("w") * F.col("q")).alias("weight"))
 
 
+def suppressed(table: DataFrame, fine_fixed: DataFrame, coarse_fixed: DataFrame) -> DataFrame:
+    """A transfer without the couplings that touch a node (nx, ny, nz) whose
+    value is given."""
+    columns = coarse_fixed.select(*mesh.AT).toDF("mx", "my", "mz")
+    return table.join(fine_fixed.select(*mesh.AT), mesh.AT, "left_anti").join(columns, columns.columns, "left_anti")
+
+
+def _moved(table: DataFrame, values: DataFrame, by: list[str], to: list[Column]) -> DataFrame:
+    more = [c for c in ("dof",) if c in values.columns]
+    right = values.select(*(F.col(n).alias(b) for n, b in zip(mesh.AT, by, strict=True)), *more, F.col("value").alias("_x"))
+    return table.join(right, by).groupBy(*to, *more).agg(F.sum(F.col("weight") * F.col("_x")).alias("value"))
+
+
 def prolong(table: DataFrame, coarse_values: DataFrame) -> DataFrame:
-    right = coarse_values.select(*(F.col(n).alias(n.replace("n", "m")) for n in mesh.AT), F.col("value").alias("_x"))
-    return table.join(right, ["mx", "my", "mz"]).groupBy(*mesh.AT).agg(F.sum(F.col("weight") * F.col("_x")).alias("value"))
+    """Fine values (nx, ny, nz[, dof], value) of coarse ones."""
+    return _moved(table, coarse_values, ["mx", "my", "mz"], [F.col(n) for n in mesh.AT])
 
 
 def restrict(table: DataFrame, fine_values: DataFrame) -> DataFrame:
     """The transpose of ``prolong``."""
-    each = table.join(fine_values.select(*mesh.AT, F.col("value").alias("_x")), mesh.AT)
-    return each.groupBy(*(F.col(m).alias(n) for n, m in zip(mesh.AT, ("mx", "my", "mz"), strict=True))).agg(F.sum(F.col("weight") * F.col("_x")).alias("value"))
+    return _moved(table, fine_values, mesh.AT, [F.col(m).alias(n) for n, m in zip(mesh.AT, ("mx", "my", "mz"), strict=True)])
 
 
 def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float = 0.6, coarse_rounds: int = 8) -> Callable[[DataFrame], DataFrame]:
     """A preconditioner: on every grid but the last a Jacobi step, a correction
     from the next grid, a Jacobi step; on the last conjugate gradients.
     ``tables[k]`` is the transfer between the grids k and k + 1."""
-    inverses = [tree.cut(fem.diagonal(m).select(*mesh.AT, (damping / F.col("value")).alias("_d"))) for m in operators[:-1]]
+    inverses = [tree.cut(fem.diagonal(m).withColumn("value", damping / F.col("value")).withColumnRenamed("value", "_d")) for m in operators[:-1]]
 
     def smooth(grid: int, r: DataFrame) -> DataFrame:
-        return r.join(inverses[grid], mesh.AT).select(*mesh.AT, (F.col("value") * F.col("_d")).alias("value"))
+        keys = [c for c in inverses[grid].columns if c != "_d"]
+        return r.join(inverses[grid], keys).select(*keys, (F.col("value") * F.col("_d")).alias("value"))
 
     def corrected(grid: int, r: DataFrame) -> DataFrame:
         def apply(v: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .operators import fem, fields, mesh, search, tree
-from .plans import multigrid
+from .plans import multigrid, problems
+from .sources import meshes
 from .sources import points as files
 
 DEPTH, MOST = 6, 16
@@ -734,6 +735,67 @@ def point_values(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", *(F.round(c, 9).alias(c) for c in ("value", "dx", "dy", "dz")))
 
 
+_NUMBERS = _MESH + f""", node AS (SELECT nx, ny, nz, row_number() OVER (ORDER BY {_encode("nx", "ny", "nz")}) - 1 AS node FROM (SELECT DISTINCT nx, ny, nz FROM element)),
+cell AS (SELECT level, prefix, x, y, z, row_number() OVER (ORDER BY prefix << (3 * ({_D} - level))) - 1 AS element FROM balanced)"""
+
+
+def _listed(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows written as a binary list and read back."""
+    return meshes.decode(meshes.encode(rows, kind, MESH_DEPTH), kind)
+
+
+@query(_NUMBERS + " SELECT nx, ny, nz, node FROM node")
+def node_list(spark, sf_dir):
+    return _listed(mesh.node_numbers(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH)), "nodes")
+
+
+@query(_NUMBERS + f" SELECT {', '.join(f'{a} << ({_D} - level) AS {a}' for a in 'xyz')}, level::BIGINT AS level, element FROM cell")
+def element_list(spark, sf_dir):
+    numbers = mesh.element_numbers(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
+    return _listed(meshes.element_rows(numbers, MESH_DEPTH), "elements")
+
+
+@query(
+    _NUMBERS + f""" SELECT c.element, {", ".join(f"max(n.node) FILTER (e.vertex = {v}) AS n{v}" for v in range(8))}
+FROM element e JOIN cell c ON c.level = e.level AND c.prefix = e.prefix JOIN node n ON n.nx = e.nx AND n.ny = e.ny AND n.nz = e.nz GROUP BY c.element"""
+)
+def corner_list(spark, sf_dir):
+    numbers = mesh.numbered(tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH)), MESH_DEPTH)
+    return _listed(meshes.corner_rows(numbers), "corners")
+
+
+def _grids(spark, sf_dir) -> problems.Grids:
+    return problems.Grids(mesh_tree(spark, sf_dir), MESH_DEPTH, levels=3, fewest=8)
+
+
+@query()
+def neumann_problem(spark, sf_dir):
+    """-div(a grad u) + u = f with natural boundaries, a growing with x."""
+    grids = _grids(spark, sf_dir)
+    given = fields.centres(grids.trees[0]).select("level", "prefix", (F.col("x") + 1).alias("a"))
+    right = fields.load(grids.meshes[0], _waves)
+    found, _ = problems.solve(grids, grids.operators(problems.scalar(MESH_DEPTH, F.col("a"), 1.0), given), right, rounds=4)
+    return found.select(*mesh.AT, F.round("value", 6).alias("value"))
+
+
+@query()
+def dirichlet_problem(spark, sf_dir):
+    """-div grad u = f, u = 0 on the boundary."""
+    grids = _grids(spark, sf_dir)
+    right = fields.load(grids.meshes[0], _waves)
+    found, _ = problems.solve(grids, grids.operators(problems.scalar(MESH_DEPTH)), right, fixed="boundary > 0", rounds=4)
+    return found.select(*mesh.AT, F.round("value", 6).alias("value"))
+
+
+@query()
+def elasticity_problem(spark, sf_dir):
+    """An elastic body held at x = 0, under a load along z."""
+    grids = _grids(spark, sf_dir)
+    right = fields.load(grids.meshes[0], _waves).withColumn("dof", F.lit(2))
+    found, _ = problems.solve(grids, grids.operators(problems.elastic(MESH_DEPTH)), right, fixed="nx = 0", rounds=3)
+    return found.select(*mesh.AT, "dof", F.round("value", 6).alias("value"))
+
+
 @query()
 def variable_coefficients(spark, sf_dir):
     """The operator with the mean quantity of each element's points."""

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import fem, mesh, search, tree
 
+#: The coarsest grid is solved on the driver if it has no more unknowns.
+DIRECT = 1000
+
 
 def hierarchy(leaves: DataFrame, levels: int, fewest: int = 500, dim: int = 3) -> list[DataFrame]:
     """Octrees from fine to coarse: coarsen, balance, until there are
@@ -67,12 +71,38 @@ def restrict(table: DataFrame, fine_values: DataFrame) -> DataFrame:
     return _moved(table, fine_values, mesh.AT, [F.col(m).alias(n) for n, m in zip(mesh.AT, ("mx", "my", "mz"), strict=True)])
 
 
-def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float = 0.6, coarse_rounds: int = 8) -> Callable[[DataFrame], DataFrame]:
+def direct_solver(operator: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Exact solutions on the driver, for an operator of a counted, small number
+    of unknowns; the least ones if it is singular."""
+    keys = [k for k in fem.OTHER if k in operator.columns]
+    rows = operator.select(*keys, *(fem.OTHER[k] for k in keys), "value").collect()
+    places = sorted({tuple(r[: len(keys)]) for r in rows})
+    at = {p: i for i, p in enumerate(places)}
+    matrix = np.zeros((len(at), len(at)))
+    for r in rows:
+        matrix[at[tuple(r[: len(keys)])], at[tuple(r[len(keys) : -1])]] += r[-1]
+    inverse = np.linalg.pinv(matrix, rcond=1e-12, hermitian=True)
+    schema = ", ".join(f"{k} {operator.schema[k].dataType.simpleString()}" for k in keys) + ", value double"
+
+    def apply(r: DataFrame) -> DataFrame:
+        right = np.zeros(len(at))
+        for row in r.select(*keys, "value").collect():
+            right[at[tuple(row[:-1])]] += row[-1]
+        found = inverse @ right
+        return operator.sparkSession.createDataFrame([(*p, float(v)) for p, v in zip(places, found, strict=True)], schema)
+
+    return apply
+
+
+def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float = 0.6, coarse_rounds: int = 8, direct: int = DIRECT) -> Callable[[DataFrame], DataFrame]:
     """A preconditioner: on every grid but the last a Jacobi step, a correction
-    from the next grid, a Jacobi step; on the last conjugate gradients.
+    from the next grid, a Jacobi step; on the last an exact solution if it has at
+    most ``direct`` unknowns, otherwise conjugate gradients.
     ``tables[k]`` is the transfer between the grids k and k + 1."""
     inverses = [tree.cut(fem.diagonal(m).withColumn("value", damping / F.col("value")).withColumnRenamed("value", "_d")) for m in operators[:-1]]
 
+    exact = direct_solver(operators[-1]) if fem.diagonal(operators[-1]).limit(direct + 1).count() <= direct else None
+
     def smooth(grid: int, r: DataFrame) -> DataFrame:
         keys = [c for c in inverses[grid].columns if c != "_d"]
         return r.join(inverses[grid], keys).select(*keys, (F.col("value") * F.col("_d")).alias("value"))
@@ -82,6 +112,8 @@ def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float
             return fem.times(operators[grid], v)
 
         if grid == len(operators) - 1:
+            if exact:
+                return exact(r)
             return fem.conjugate_gradients(apply, r, coarse_rounds)[0]
         x = tree.cut(smooth(grid, r))
         rest = tree.cut(fem.axpy(-1.0, apply(x), r))

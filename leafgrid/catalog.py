@@ -505,6 +505,26 @@ def sphere_octree(spark, sf_dir):
     return tree.spheres(spark, 5, F.abs(distance - 0.35) < 0.87 * F.pow(F.lit(0.5), F.col("level")))
 
 
+@query(
+    _TREE + f""", placed AS (SELECT level, {", ".join(f"{_decode('prefix', a)} AS p{a}" for a in range(3))} FROM leaves
+), moved AS (
+  SELECT level, s, {", ".join(f"p{a} + ((s >> {a}) & 1) AS p{a}" for a in range(3))} FROM placed, range(0, 8) t(s)
+  WHERE {" AND ".join(f"((s >> {a}) & 1 = 0 OR p{a} = (1 << level) - 1)" for a in range(3))}
+) SELECT (level + 1)::INT AS level, {" | ".join(f"(((p{a} >> {b}) & 1) << {3 * b + a})" for b in range(DEPTH + 1) for a in range(3))} AS prefix, s::INT AS beyond FROM moved"""
+)
+def embedded_octree(spark, sf_dir):
+    return tree.embedded(leaves(spark, sf_dir))
+
+
+@query(
+    _TREE + f""", weighed AS (SELECT l.level, l.prefix, count(k.key) AS weight FROM leaves l LEFT JOIN keyed k ON l.prefix = k.key >> (3 * ({DEPTH} - l.level)) GROUP BY ALL)
+SELECT level::INT AS level, prefix, weight, row_number() OVER (ORDER BY weight DESC, CASE WHEN weight > 1 THEN -level ELSE level END, prefix) AS place FROM weighed"""
+)
+def density_order(spark, sf_dir):
+    counted = tree.leaf_counts(order_lines(spark, sf_dir), leaves(spark, sf_dir), DEPTH).withColumnRenamed("n", "weight")
+    return tree.by_density(counted).select("level", "prefix", "weight", F.col("place").cast("long").alias("place"))
+
+
 # ----------------------------------------------------- searches and numbers
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -201,6 +201,36 @@ def block_boundary(cells: DataFrame, block: int, dim: int = 3) -> DataFrame:
     return cells.filter(F.col("level") >= block).select(*OCTANT, K.boundary_flags(inner, own, dim).alias("flags")).filter("flags <> 0")
 
 
+def embedded(leaves: DataFrame, dim: int = 3) -> DataFrame:
+    """(level, prefix, beyond): the tree as the low part of a domain twice as
+    wide, and the cells just beyond its high ends, so that every vertex is some
+    cell's low corner.  ``beyond`` has bit 1, 2, 4 for a step along x, y, z."""
+    at = K.position("prefix", dim)
+    end = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level").cast("int")) - 1
+    touched = sum((F.when(p == end, 1 << a).otherwise(0) for a, p in enumerate(at)), F.lit(0))
+    each = octants(leaves).withColumn("_t", touched).withColumn("beyond", F.explode(F.sequence(F.lit(0), F.lit(2**dim - 1))))
+    moved = [p + F.shiftright("beyond", a).bitwiseAND(F.lit(1)) for a, p in enumerate(at)]
+    rows = each.filter(F.col("beyond").bitwiseAND(F.col("_t")) == F.col("beyond"))
+    return rows.select((F.col("level") + 1).alias("level"), K.interleave(*moved).alias("prefix"), "beyond")
+
+
+def by_density(cells: DataFrame, weight: str = "weight") -> DataFrame:
+    """``cells`` with their ``place`` from 1 when ordered by falling weight; of
+    equal weights above 1 the finer first, of others the coarser.  The places
+    come from counts by (weight, level) and a bucket of the curve, not from one
+    sorted task."""
+    fine = F.when(F.col(weight) > 1, -F.col("level")).otherwise(F.col("level"))
+    rows = cells.withColumns({"_w": -F.col(weight), "_f": fine, "_b": F.shiftright("prefix", 9)})
+    order = ["_w", "_f", "_b"]
+    counts = rows.groupBy(*order).agg(F.count("*").alias("_n"))
+    # in two steps: totals of the weights' kinds, then inside each kind
+    kinds = counts.groupBy("_w", "_f").agg(F.sum("_n").alias("_all"))
+    kinds = kinds.select("_w", "_f", (F.sum("_all").over(Window.orderBy("_w", "_f")) - F.col("_all")).alias("_kind"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_w", "_f").orderBy("_b")) - F.col("_n")).drop("_n").join(kinds, ["_w", "_f"])
+    inside = F.row_number().over(Window.partitionBy(*order).orderBy("prefix"))
+    return rows.join(before, order).withColumn("place", F.col("_kind") + F.col("_before") + inside).drop(*order, "_kind", "_before")
+
+
 def difference(one: DataFrame, two: DataFrame) -> DataFrame:
     """(level, prefix, side): cells of only one of two trees, by the side."""
     one, two = octants(one), octants(two)

@@ -596,6 +596,38 @@ def octree_file(spark, sf_dir):
     return files.octree_lines(leaves(spark, sf_dir), DEPTH)
 
 
+@query(f"WITH {KEYED} SELECT x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, l_quantity::DOUBLE AS value FROM keyed")
+def points_list(spark, sf_dir):
+    """Points with values written as ``.pts`` files and read back."""
+    content = files.pts_bytes(order_lines(spark, sf_dir), value="l_quantity")
+    return files.decode_pts(content.select(F.col("part").cast("string").alias("path"), "content"), values=True).drop("path")
+
+
+@query(
+    f"""WITH {KEYED}, cell AS (SELECT c AS prefix, count(key) AS n FROM range(0, 512) t(c) LEFT JOIN keyed ON key >> {3 * (DEPTH - 3)} = c GROUP BY ALL)
+SELECT {_decode("prefix", 0)} + 8 * ({_decode("prefix", 1)} + 8 * {_decode("prefix", 2)}) AS ordinal, n::VARCHAR AS value FROM cell
+UNION ALL SELECT * FROM (VALUES (-10, '# vtk DataFile Version 2.0'), (-9, 'grid'), (-8, 'ASCII'), (-7, 'DATASET STRUCTURED_POINTS'), (-6, 'DIMENSIONS 8 8 8'),
+  (-5, 'ORIGIN 0 0 0'), (-4, 'SPACING 0.125 0.125 0.125'), (-3, 'POINT_DATA 512'), (-2, 'SCALARS value double'), (-1, 'LOOKUP_TABLE default')) h"""
+)
+def vtk_grid(spark, sf_dir):
+    """The lines of a VTK file of the points in each cell of a regular grid."""
+    counts = order_lines(spark, sf_dir).groupBy(K.up("key", 3).alias("prefix")).agg(F.count("*").alias("value"))
+    grid = tree.regular(spark, 3).select("prefix").join(counts, "prefix", "left").select("prefix", F.coalesce("value", F.lit(0)).alias("value"))
+    return files.vtk_grid_lines(grid, 3)
+
+
+@query(
+    _MESH + f""", node AS (SELECT nx, ny, nz, row_number() OVER (ORDER BY {_encode("nx", "ny", "nz")}) - 1 AS node FROM (SELECT DISTINCT nx, ny, nz FROM element))
+SELECT node AS ordinal, concat_ws(' ', nx / {1 << _D}e0, ny / {1 << _D}e0, nz / {1 << _D}e0) AS value FROM node
+UNION ALL SELECT * FROM (VALUES (-5, '# vtk DataFile Version 2.0'), (-4, 'points'), (-3, 'ASCII'), (-2, 'DATASET POLYDATA')) h
+UNION ALL SELECT -1, concat('POINTS ', count(*), ' double') FROM node"""
+)
+def vtk_points(spark, sf_dir):
+    """The lines of a VTK file of a mesh's nodes."""
+    nodes = tree.cut(mesh.node_numbers(tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))))
+    return files.vtk_point_lines(nodes.select("node", *((F.col(n) / float(1 << MESH_DEPTH)).alias(a) for n, a in zip(mesh.AT, K.AXES, strict=True))), "node")
+
+
 @query()
 def gaussian_octree(spark, sf_dir):
     drawn = files.gaussian(spark, 20_000, seed=7)

@@ -20,7 +20,11 @@ from ..functions import keys as K
 
 def read_pts(spark: SparkSession, path: str, values: bool = False) -> DataFrame:
     """(path, x, y, z[, value]) of all ``.pts`` files; a file is one task's."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decode_pts(spark.read.format("binaryFile").load(path), values)
+
+
+def decode_pts(files: DataFrame, values: bool = False) -> DataFrame:
+    """The points of files (path, content); one without content has none."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -31,7 +35,7 @@ def read_pts(spark: SparkSession, path: str, values: bool = False) -> DataFrame:
                 out = {"path": name, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]}
                 yield pd.DataFrame(out | ({"value": data[3 * n :]} if values else {}), index=range(n))
 
-    return files.mapInPandas(decode, "path string, x double, y double, z double" + (", value double" if values else ""))
+    return files.select("path", "content").mapInPandas(decode, "path string, x double, y double, z double" + (", value double" if values else ""))
 
 
 def pts_bytes(points: DataFrame, value: str | None = None) -> DataFrame:

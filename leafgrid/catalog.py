@@ -19,6 +19,7 @@ from .sources import points as files
 
 DEPTH, MOST = 6, 16
 MESH_DEPTH, MESH_MOST = 4, 200
+WHOLE_DEPTH = 10  # of trees that hold every order line and have no SQL
 BLOCK = 2  # the level of blocks
 BUCKET_BITS = 9  # keys of a bucket share all but so many low bits
 
@@ -55,6 +56,19 @@ def steep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.construct(order_lines(spark, sf_dir).filter("l_quantity >= 50 and x < 40"), DEPTH, 1)
 
 
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line with a key of ``WHOLE_DEPTH`` levels; y and z are
+    squared, so that the tree is adaptive at every size."""
+    side = 1 << WHOLE_DEPTH
+    squares = [F.expr(f"((l_{c} % {side}) * (l_{c} % {side})) div {side}") for c in ("partkey", "suppkey")]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(K.interleave(F.expr(f"l_orderkey % {side}"), *squares).alias("key"))
+
+
+def whole_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.construct(whole_lines(spark, sf_dir), WHOLE_DEPTH, MOST)
+
+
 def mesh_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir).withColumn("key", F.shiftright("key", 3 * (DEPTH - MESH_DEPTH)))
     return tree.balance(tree.construct(lines, MESH_DEPTH, MESH_MOST))
@@ -462,6 +476,49 @@ def tree_difference(spark, sf_dir):
     return tree.difference(tree.balance(steep), steep)
 
 
+@query()
+def whole_balance(spark, sf_dir):
+    """As balance_octree, of the tree of every order line."""
+    return tree.balance(whole_leaves(spark, sf_dir))
+
+
+@query()
+def whole_violations(spark, sf_dir):
+    return tree.unbalanced(tree.balance(whole_leaves(spark, sf_dir))).agg(F.count("*").alias("violations"))
+
+
+@query()
+def whole_unbalanced(spark, sf_dir):
+    return tree.unbalanced(tree.cut(whole_leaves(spark, sf_dir)))
+
+
+@query()
+def whole_without_corners(spark, sf_dir):
+    return tree.balance(whole_leaves(spark, sf_dir), corners=False)
+
+
+@query()
+def whole_difference(spark, sf_dir):
+    leaves = tree.cut(whole_leaves(spark, sf_dir))
+    return tree.difference(tree.balance(leaves), leaves)
+
+
+def whole_cells(spark, sf_dir) -> DataFrame:
+    fine = whole_lines(spark, sf_dir).select(F.lit(WHOLE_DEPTH).alias("level"), F.col("key").alias("prefix")).distinct()
+    return fine.unionByName(fine.select(F.lit(4).alias("level"), K.up("prefix", WHOLE_DEPTH - 4).alias("prefix")))
+
+
+@query()
+def whole_complete(spark, sf_dir):
+    """As complete_octree, of the cells of every order line."""
+    return tree.complete(whole_cells(spark, sf_dir))
+
+
+@query()
+def whole_linearise(spark, sf_dir):
+    return tree.linearise(whole_cells(spark, sf_dir))
+
+
 @query(f"WITH {KEYED}, flat AS (SELECT {_encode('x', 'y')} AS key FROM keyed), {_tree_sql(source='flat', dim=2)} SELECT level::INT AS level, prefix FROM leaves")
 def construct_quadtree(spark, sf_dir):
     flat = order_lines(spark, sf_dir).select(K.interleave(F.col("x"), F.col("y")).alias("key"))

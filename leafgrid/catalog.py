@@ -710,6 +710,29 @@ def mesh_nodes(spark, sf_dir):
     return mesh.nodes(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
 
 
+def whole_mesh(spark, sf_dir) -> DataFrame:
+    """Elements of the balanced tree of every order line."""
+    return mesh.elements(tree.cut(tree.balance(whole_leaves(spark, sf_dir))), WHOLE_DEPTH)
+
+
+@query()
+def whole_hanging(spark, sf_dir):
+    """As hanging_vertices, on a mesh that grows with the order lines."""
+    return mesh.hanging(tree.cut(tree.balance(whole_leaves(spark, sf_dir))), WHOLE_DEPTH)
+
+
+@query()
+def whole_elements(spark, sf_dir):
+    return whole_mesh(spark, sf_dir)
+
+
+@query()
+def whole_product(spark, sf_dir):
+    """As matrix_vector, on a mesh that grows with the order lines."""
+    elements = tree.cut(whole_mesh(spark, sf_dir))
+    return fem.times(fem.matrix(elements, WHOLE_DEPTH, 1.0, 1.0), _linear(mesh.nodes(elements, WHOLE_DEPTH)))
+
+
 @query(
     _MESH + f""", node AS (SELECT nx, ny, nz, row_number() OVER (ORDER BY {_encode("nx", "ny", "nz")}) - 1 AS node FROM (SELECT DISTINCT nx, ny, nz FROM element)),
 cell AS (SELECT level, prefix, row_number() OVER (ORDER BY prefix << (3 * ({_D} - level))) - 1 AS element FROM balanced)

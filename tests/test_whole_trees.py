@@ -78,3 +78,23 @@ def test_whole_cells_are_those_of_every_order_line(spark, folder):
     inner = {(l, k >> 3 * (DEPTH - l)) for k in keys for l in range(DEPTH)}
     assert rows(spark, "whole_linearise", at) == sorted((DEPTH, k) for k in keys)
     assert rows(spark, "whole_complete", at) == sorted({(l + 1, p * 8 + c) for l, p in inner for c in range(8)} - inner)
+
+
+def test_whole_meshes_keep_their_hanging_vertices(spark, folder):
+    at, points = folder
+    even = balanced(split([key(*p) for p in points]))
+    own = set()
+    for l, p in even:
+        size = 2 << DEPTH - l
+        for v in range(8):
+            c = [a + (v >> k & 1) << DEPTH - l for k, a in enumerate(position(p))]
+            sides = [[(n - s) // size for s in (0, 1) if 0 <= n - s < 1 << DEPTH] for n in c]
+            if l and any(n % size for n in c) and any((l - 1, key(x, y, z)) in even for x in sides[0] for y in sides[1] for z in sides[2]):
+                own.add((l, p, v))
+    assert own and rows(spark, "whole_hanging", at) == sorted(own)
+    elements = catalog.QUERIES["whole_elements"](spark, at).collect()
+    assert len(elements) == 8 * len(even)
+    assert {(r.level, r.prefix, r.vertex) for r in elements if r.hangs} == own
+    # a linear field's stiffness sums to 0, its mass to its integral
+    got = catalog.QUERIES["whole_product"](spark, at).collect()
+    assert sum(r.value for r in got) == pytest.approx(3 * (1 << DEPTH))

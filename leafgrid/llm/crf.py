@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 _LOW, _HIGH = 1e-30, 1e30
+#: Elements of the sequences that ``fit`` holds in full at a time, about.
+PIECE = 1 << 17
 
 
 @dataclass
@@ -104,7 +106,6 @@ def fit(emit: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], n
     chain.  ``emit`` gives the elements' log odds for ``width`` weights and
     ``back`` the weights' gradient for the elements' errors.  ``weight`` counts
     each element's sequence that often."""
-    layout = Layout(bounds)
     theta, step1, step2 = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     label = label.astype(np.float64)
     weight = np.ones(len(label)) if weight is None else weight
@@ -115,17 +116,22 @@ def fit(emit: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], n
     scale = max(1.0, weight.sum())
     was, now = label[here - 1], label[here]
     seen = [((1 - was) * now * weight[here]).sum(), (was * (1 - now) * weight[here]).sum(), (was * now * weight[here]).sum()]
+    # whole sequences at a time, so that only the sums need memory for all
+    at = np.unique(np.append(np.searchsorted(bounds, np.arange(bounds[0], bounds[-1], PIECE)), len(bounds) - 1))
+    pieces = [(bounds[i], bounds[j], Layout(bounds[i : j + 1] - bounds[i]), np.flatnonzero(inside[bounds[i] : bounds[j]])) for i, j in zip(at[:-1], at[1:], strict=True)]
     for k in range(1, rounds + 1):
         chain = Chain(*theta[width:])
         e = np.exp(np.clip(emit(theta[:width]), -30, 30))
-        r, q = forward(e, layout, chain), backward(e, layout, chain)
-        odds = r * q
-        p = odds / (1 + odds)
-        a, b = r[here - 1], e[here] * q[here]
-        w01, w10, w11 = np.exp(chain.t01) * b, np.exp(chain.t10) * a, np.exp(chain.t11) * a * b
-        total = (1 + w01 + w10 + w11) / weight[here]
-        slope = [s - (w / total).sum() for s, w in zip(seen, (w01, w10, w11), strict=True)]
-        error = (label - p) * weight
+        error, slope = np.empty(len(e)), np.array(seen)
+        for lo, hi, layout, here in pieces:
+            own, each = e[lo:hi], weight[lo:hi]
+            r, q = forward(own, layout, chain), backward(own, layout, chain)
+            odds = r * q
+            error[lo:hi] = (label[lo:hi] - odds / (1 + odds)) * each
+            a, b = r[here - 1], own[here] * q[here]
+            w01, w10, w11 = np.exp(chain.t01) * b, np.exp(chain.t10) * a, np.exp(chain.t11) * a * b
+            total = (1 + w01 + w10 + w11) / each[here]
+            slope -= [(w / total).sum() for w in (w01, w10, w11)]
         g = np.concatenate([back(error), slope, [error[firsts].sum()]]) / scale - ridge * theta
         step1, step2 = 0.9 * step1 + 0.1 * g, 0.99 * step2 + 0.01 * g * g
         theta = theta + rate * (1 - k / (rounds + 1)) * (step1 / (1 - 0.9**k)) / (np.sqrt(step2 / (1 - 0.99**k)) + 1e-8)

@@ -109,17 +109,15 @@ def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, ty
     vocabulary = found[chosen]
     if not offence.any():
         return nothing
-    # the field learns from all toxic documents and as many others
-    few = np.sort(np.concatenate([np.flatnonzero(toxic), np.flatnonzero(~toxic)[: max(200, toxic.sum())]]))
-    flat, sizes, _, bounds = _joined([hashes[k] for k in few], [lines[k] for k in few])
-    number = [_numbers(vocabulary, flat[:, k]) for k in (0, 1)]
+    flat, sizes, first, bounds = _joined(hashes, lines)
+    number = [_numbers(vocabulary, flat[:, k]).astype(np.int32) for k in (0, 1)]
+    del flat
     strong = np.append(offence[chosen], False)
-    bad = (strong[number[0]] | strong[number[1]]) & np.repeat(toxic[few], sizes)
+    bad = (strong[number[0]] | strong[number[1]]) & np.repeat(toxic, sizes)
     width = len(vocabulary) + 1
     weights, chain = crf.fit(lambda w: w[number[0]] + w[number[1]], lambda e: np.bincount(number[0], e, width) + np.bincount(number[1], e, width), width, bad, bounds, rounds, rate=0.5, ridge=1e-7)
     model = ToxicModel(vocabulary, weights, chain, np.zeros(3))
-    flat, _, first, bounds = _joined(hashes, lines)
-    x = _summary(model.tag(flat, bounds), first)
+    x = _summary(crf.marginals(weights[number[0]] + weights[number[1]], bounds, chain), first)
     model.calibration = _logistic(x, toxic)
     return model
 

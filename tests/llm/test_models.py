@@ -155,6 +155,31 @@ def test_toxicity_finds_held_out_documents_and_their_words(spark):
     assert found and all(re.fullmatch(r"[^\W\d_]+(\W+[^\W\d_]+)*", f) for f in found)
 
 
+def test_fields_fitted_in_pieces_are_those_fitted_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=300), rng.random(300) < 0.3
+    bounds = np.array([0, 0, 40, 41, 120, 250, 300])
+    both = []
+    for piece in (1000, 30):
+        monkeypatch.setattr(crf, "PIECE", piece)
+        w, chain = crf.fit(lambda t: t[0] + t[1] * x, lambda e: np.array([e.sum(), (e * x).sum()]), 2, y, bounds, 40)
+        both.append([*w, chain.t01, chain.t10, chain.t11, chain.start])
+    assert np.allclose(*both, atol=1e-9)
+
+
+def test_toxicity_learns_from_every_clean_document_of_the_sample():
+    rng = np.random.default_rng(3)
+    offence, late = np.uint64(11), np.uint64(22)
+    fresh = iter(rng.integers(1 << 32, 1 << 63, 2000, dtype=np.uint64))
+    # the last 400 of 800 clean documents have a type that the others lack
+    kinds = [None] * 400 + [late] * 400 + [offence] * 100
+    docs = [np.array([next(fresh), *([k] if k else [])], np.uint64) for k in kinds]
+    hashes = [np.stack([d, d ^ np.uint64(1 << 62)], 1) for d in docs]
+    model = toxicity.fit(hashes, [np.array([0, len(d)]) for d in docs], np.arange(900) >= 800)
+    assert model.weights[np.searchsorted(model.types, offence)] > 0
+    assert late in model.types and model.weights[np.searchsorted(model.types, late)] < 0
+
+
 @pytest.mark.parametrize("marks", [(), [(1, 1, 0), (2, 1, 0)], [(None, 0, 1), (3, None, None), (3, 1, 0)]])
 def test_models_without_usable_labels(spark, marks):
     docs, own = frame(spark), labels(spark, marks)

@@ -20,6 +20,7 @@ from .sources import points as files
 DEPTH, MOST = 6, 16
 MESH_DEPTH, MESH_MOST = 4, 200
 WHOLE_DEPTH = 10  # of trees that hold every order line and have no SQL
+ROUNDS = 200  # of solvers at most, which end at their tolerance
 BLOCK = 2  # the level of blocks
 BUCKET_BITS = 9  # keys of a bucket share all but so many low bits
 
@@ -906,7 +907,7 @@ def neumann_problem(spark, sf_dir):
     grids = _grids(spark, sf_dir)
     given = fields.centres(grids.trees[0]).select("level", "prefix", (F.col("x") + 1).alias("a"))
     right = fields.load(grids.meshes[0], _waves)
-    found, _ = problems.solve(grids, grids.operators(problems.scalar(MESH_DEPTH, F.col("a"), 1.0), given), right, rounds=4)
+    found, _ = problems.solve(grids, grids.operators(problems.scalar(MESH_DEPTH, F.col("a"), 1.0), given), right, rounds=ROUNDS, must=True)
     return found.select(*mesh.AT, F.round("value", 6).alias("value"))
 
 
@@ -915,7 +916,7 @@ def dirichlet_problem(spark, sf_dir):
     """-div grad u = f, u = 0 on the boundary."""
     grids = _grids(spark, sf_dir)
     right = fields.load(grids.meshes[0], _waves)
-    found, _ = problems.solve(grids, grids.operators(problems.scalar(MESH_DEPTH)), right, fixed="boundary > 0", rounds=4)
+    found, _ = problems.solve(grids, grids.operators(problems.scalar(MESH_DEPTH)), right, fixed="boundary > 0", rounds=ROUNDS, must=True)
     return found.select(*mesh.AT, F.round("value", 6).alias("value"))
 
 
@@ -924,7 +925,7 @@ def elasticity_problem(spark, sf_dir):
     """An elastic body held at x = 0, under a load along z."""
     grids = _grids(spark, sf_dir)
     right = fields.load(grids.meshes[0], _waves).withColumn("dof", F.lit(2))
-    found, _ = problems.solve(grids, grids.operators(problems.elastic(MESH_DEPTH)), right, fixed="nx = 0", rounds=3)
+    found, _ = problems.solve(grids, grids.operators(problems.elastic(MESH_DEPTH)), right, fixed="nx = 0", rounds=ROUNDS, must=True)
     return found.select(*mesh.AT, "dof", F.round("value", 6).alias("value"))
 
 

@@ -56,13 +56,14 @@ class Grids:
         return [tree.cut(make(m, c)) for m, c in zip(self.meshes, given, strict=True)]
 
 
-def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str | None = None, free_mean: bool = False, sequenced: bool = False, rounds: int = 10, tolerance: float = 1e-8) -> tuple[DataFrame, float]:
+def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str | None = None, free_mean: bool = False, sequenced: bool = False, rounds: int = 10, tolerance: float = 1e-8, must: bool = False) -> tuple[DataFrame, float]:
     """The solution (nx, ny, nz[, dof], value) and the norm of its residual.
 
     ``fixed``: a condition on nodes (nx, ny, nz, boundary), such as "boundary >
     0", where the solution is 0.  ``free_mean``: constants are solutions of the
     homogeneous problem, so the right-hand side is first made to sum to 0.
     ``sequenced``: the next coarser grid's solution is the first guess.
+    ``must``: fail where the tolerance is not met after ``rounds``.
     """
     tables = grids.tables
     if fixed:
@@ -95,6 +96,8 @@ def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str
     for k in range(len(rights) - 1, 0, -1):
         start = tree.cut(multigrid.prolong(tables[k - 1], on_grid(k, start)[0]))
     found, residual = on_grid(0, start)
+    if must and not residual <= tolerance * max(fem.dot(rights[0], rights[0]), 1e-300) ** 0.5:
+        raise ArithmeticError(f"the residual is {residual:g} after {rounds} rounds")
     if fixed:  # nodes that are fixed have no row yet
         dofs = [c for c in ("dof",) if c in found.columns]
         zeros = held[0].withColumn("value", F.lit(0.0))

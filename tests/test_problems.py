@@ -85,3 +85,9 @@ def test_mesh_lists_round_trip(grids):
     assert meshes.decode(meshes.encode(lists["nodes"].limit(0), "nodes"), "nodes").count() == 0
     first = meshes.encode(lists["elements"].coalesce(1), "elements", DEPTH).first().content
     assert np.frombuffer(first, "<u4", 2).tolist() == [DEPTH, grids.trees[0].count()]
+
+
+def test_a_tolerance_that_is_not_met_fails(grids):
+    right = tree.cut(fields.load(grids.meshes[0], lambda x, y, z: x * y - z))
+    with pytest.raises(ArithmeticError):
+        problems.solve(grids, grids.operators(problems.scalar(DEPTH, 1.0, 1.0)), right, rounds=1, must=True)

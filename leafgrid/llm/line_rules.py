@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from . import textscan as ts
-from .common import labelled_sample, only
+from .common import Tables, labelled_sample, only
 from .textstats import LINE_FEATURES, PIPE, SYMBOL, Measured, line_features, measure
 
 #: Labelled documents used at most, and the least share of content words.
@@ -64,8 +64,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LineModel:
     """A model of ``sample`` labelled documents at most, none held out."""
-    chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample).select("text", F.col("label").cast("double").alias("label"))
-    rows = sorted((r.label, bytes(r.x)) for r in chosen.mapInArrow(_line_rows, "x binary, label double").collect())
+    with Tables(docs.sparkSession) as tables:
+        chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample, tables).select("text", F.col("label").cast("double").alias("label"))
+        rows = sorted((r.label, bytes(r.x)) for r in chosen.mapInArrow(_line_rows, "x binary, label double").collect())
     parts = [np.frombuffer(x).reshape(-1, LINE_FEATURES) for _, x in rows]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
     low = np.array([label < 1 for label, _ in rows], bool)

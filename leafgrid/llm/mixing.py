@@ -1,31 +1,34 @@
 """Mixing to target weights by soft domain membership, in DataFrame operations.
 
 A classifier learned from a labelled table gives each document its posterior
-over domains: the share of its marker words that speak for each.  Document
-rates r >= 0 are then fitted by projected-gradient least squares so that the
-expected tokens of each domain, sum of r * tokens * posterior, match the
-targets.  The gradient needs only one number a domain, so a step is one
-aggregate over (tokens, posterior); a document's rate is a fixed expression of
-its posterior and the steps so far, and no state is shuffled or collected.
+over domains: naive Bayes over its words, whose weights stand in a table of
+``BUCKETS`` hash buckets inside the expression, so a posterior is worked out in
+the document's own row.  Document rates r >= 0 are then fitted by
+projected-gradient least squares so that the expected tokens of each domain,
+sum of r * tokens * posterior, match the targets.  The gradient needs only one
+number a domain, so a step is one aggregate over (tokens, posterior); a
+document's rate is a fixed expression of its posterior and the steps so far,
+and no text or state is shuffled or collected.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, labelled_sample, only
+from .common import Tables, labelled_sample, only
 
-#: Labelled documents, marker words and gradient steps at most; the least
-#: share of a marker's occurrences that its domain has; the relative error at
-#: which fitting ends.
-SAMPLE, MARKERS, STEPS, PURE, CLOSE = 3000, 4096, 40, 0.9, 1e-6
+#: Labelled documents and gradient steps at most, hash buckets of words, words
+#: whose evidence a document's posterior takes at most, the relative error at
+#: which fitting ends and the one up to which a target counts as met.
+SAMPLE, STEPS, BUCKETS, EVIDENCE, CLOSE, MET = 3000, 40, 1 << 14, 20, 1e-6, 1e-3
 #: Production targets.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 _BLANKS = " \t\n\x0b\x0c\r"
-_FLOOR = "\x01"  # stands in every document; never a word of the vocabulary
 
 
 def _words(text: Column) -> Column:
@@ -34,35 +37,55 @@ def _words(text: Column) -> Column:
     return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, "[\\x20\\x09-\\x0D]+"))
 
 
-def marker_words(labelled: DataFrame, domains: list[str], markers: int = MARKERS, pure: float = PURE) -> DataFrame:
-    """(word, p0, p1, ...) of at most ``markers`` words: of (text, label) rows,
-    the most frequent words of which one domain has the share ``pure``, with
-    all domains' shares; counts are first made relative to the domain's."""
-    each = labelled.select("label", F.explode(_words(F.col("text"))).alias("word")).groupBy("word", "label").agg(F.count("*").alias("n"))
-    total = each.groupBy("label").agg(F.sum("n").alias("all"))
-    rates = each.join(F.broadcast(total), "label").withColumn("rate", F.col("n") / F.col("all"))
-    wide = rates.groupBy("word").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("label") == d, F.col("rate"))), F.lit(0.0)).alias(f"p{k}") for k, d in enumerate(domains)))
-    whole = sum((F.col(f"p{k}") for k in range(len(domains))), F.lit(0.0))
-    wide = wide.select("word", "n", *((F.col(f"p{k}") / whole).alias(f"p{k}") for k in range(len(domains))))
-    best = F.greatest(*(F.col(f"p{k}") for k in range(len(domains)))) if len(domains) > 1 else F.col("p0")
-    chosen = wide.filter((F.col("n") >= 5) & (best >= pure)).orderBy(F.desc("n"), "word").limit(markers)
-    return chosen.drop("n")
-
-
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
-    """(id, n, p0, p1, ...) for each row of ``docs``: its words, and the
-    smoothed share of each domain in its marker words."""
-    k = range(len(domains))
-    chosen = labelled_sample(docs, labelled, id_col, text_col, "label", sample).filter(F.col("label").isin(domains))
-    words = cut(marker_words(chosen.select("text", "label"), domains))
-    floor = words.sparkSession.range(1).select(F.lit(_FLOOR).alias("word"), *(F.lit(0.0).alias(f"p{j}") for j in k))
-    # bounded: MARKERS words
-    table = F.broadcast(words.unionByName(floor))
-    rows = only(docs, id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "id", _words(F.col("text")).alias("words"))
-    each = rows.select("row", "id", F.size("words").cast("long").alias("n"), F.explode(F.concat("words", F.array(F.lit(_FLOOR)))).alias("word"))
-    found = each.join(table, "word").groupBy("row").agg(F.first("id").alias("id"), F.first("n").alias("n"), *(F.sum(f"p{j}").alias(f"p{j}") for j in k))
-    whole = sum((F.col(f"p{j}") for j in k), F.lit(1.0))
-    return found.select("id", "n", *((F.round((F.col(f"p{j}") + F.lit(1.0 / len(domains))) / whole, 9)).alias(f"p{j}") for j in k))
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def word_weights(labelled: DataFrame, domains: list[str]) -> list[list[float]]:
+    """For each domain the weight of a word in each bucket: the logarithm of
+    its smoothed share of the domain's words, less the domains' mean; 0 where
+    no word of (text, label) falls."""
+    each = labelled.select("label", F.explode(_words(F.col("text"))).alias("word")).groupBy("label", _bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = [[0.0] * BUCKETS for _ in domains]
+    for r in each.collect():  # BUCKETS rows a domain at most
+        counts[domains.index(r["label"])][r["bucket"]] = float(r["n"])
+    totals = [sum(c) for c in counts]
+    out = [[0.0] * BUCKETS for _ in domains]
+    for b in range(BUCKETS):
+        if any(c[b] for c in counts):
+            logs = [math.log((c[b] + 0.5) / (t + 0.5 * BUCKETS)) for c, t in zip(counts, totals, strict=True)]
+            for j, own in enumerate(logs):
+                out[j][b] = round(own - sum(logs) / len(logs), 4)
+    return out
+
+
+def posterior(text: Column, weights: list[list[float]]) -> tuple[Column, list[Column]]:
+    """A text's words, and its share of each domain: the softmax of the sums of
+    its words' weights, of which a long text has those of ``EVIDENCE`` words
+    (its mean weight that often), as neighbouring words are not independent."""
+    # an array of one, so that the words are made once
+    tables = [F.split(F.lit(",".join(map(str, w))), ",").cast("array<double>") for w in weights]
+
+    def sums(words: Column) -> Column:
+        zero = F.array(*(F.lit(0.0) for _ in weights))
+        total = F.aggregate(F.transform(words, _bucket), zero, lambda s, b: F.array(*(F.get(s, F.lit(j)) + F.get(t, b) for j, t in enumerate(tables))))
+        return F.struct(F.size(words).cast("long").alias("n"), total.alias("s"))
+
+    made = F.transform(F.array(_words(text)), sums)[0]
+    share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(made["n"], F.lit(1)))
+    logs = [F.get(made["s"], F.lit(j)) * share for j in range(len(weights))]
+    return made["n"], logs
+
+
+def scored(rows: DataFrame, text: str, weights: list[list[float]], n: str = "n", p: str = "p") -> DataFrame:
+    """``rows`` with the words of the column ``text`` and its posteriors, the
+    columns ``n``, ``p``0, ``p``1, ..."""
+    count, logs = posterior(F.col(text), weights)
+    rows = rows.withColumn("_x", F.struct(count.alias("n"), F.array(*logs).alias("s")))
+    top = F.array_max("_x.s")
+    whole = F.aggregate("_x.s", F.lit(0.0), lambda t, x: t + F.exp(x - top))
+    shares = {f"{p}{j}": F.round(F.exp(F.get("_x.s", F.lit(j)) - top) / whole, 9) for j in range(len(weights))}
+    return rows.withColumns({n: F.col("_x.n"), **shares}).drop("_x")
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -109,38 +132,65 @@ def fit_rates(table: DataFrame, targets: list[float], min_rate: float, steps: in
     return rate, now, want
 
 
+def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, min_rate: float, keep_all: bool, sample: int, tables: Tables) -> tuple[DataFrame, list[list[float]], Column, bool]:
+    """The scored (id, chance, n, p0, ...) as a table of ``tables``, the words'
+    weights, the rate, and whether all targets are met."""
+    domains = sorted(targets)
+    whole = float(sum(targets.values()))
+    with Tables(docs.sparkSession) as own:
+        chosen = labelled_sample(docs, labelled, id_col, text_col, "label", sample, own).filter(F.col("label").isin(domains))
+        weights = word_weights(chosen.select("text", "label"), domains)
+    source = only(docs, id=id_col, text=text_col)
+    table = tables.result(scored(source, "text", weights).select("id", _chance("id", "text").alias("chance"), "n", *(f"p{j}" for j in range(len(domains)))))
+    rate, now, want = fit_rates(table, [targets[d] / whole for d in domains], min_rate, keep_all=keep_all)
+    met = all(abs(a - b) <= MET * (sum(want) + 1) for a, b in zip(now, want, strict=True))
+    if not met:
+        told = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(domains, now, want, strict=True))
+        warnings.warn(f"targets are not met; expected tokens: {told}", stacklevel=3)
+    return table, weights, F.round(rate, 6), met
+
+
+def _chance(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", min_rate: float = 0.0, keep_all: bool = False, sample: int = SAMPLE) -> DataFrame:
     """One row for each row of ``docs``: (id_col, n_tokens, p_<domain>, ...,
-    rate, copies).
+    rate, copies, met).
 
     ``labelled`` has ``id_col`` and ``label``, a domain; ``targets`` gives the
     domains' weights, which are scaled to sum to 1.  Tokens are runs of
     anything but ASCII white space.  ``copies`` is the rate rounded up or down
-    by a hash of the id, so that its mean is the rate.
-
-    Null and empty texts have no tokens and equal posteriors, as has a document
-    without marker words; their rate follows from those.  Labels outside
-    ``targets`` and labels of held-out rows are not used; without usable labels
-    all posteriors are equal.  If the targets cannot be met the nearest rates
-    are given.  Repeated rows get equal results.  Other columns are ignored.
-    An empty table gives an empty result.
+    by a hash of the row, so that its mean is the rate.  The classifier learns
+    from ``sample`` rows at most and has ``BUCKETS`` weights a domain; words
+    that share a bucket share a weight.
+
+    Null and empty texts have no tokens and equal posteriors; their rate
+    follows from those.  Labels outside ``targets`` and labels of held-out rows
+    are not used; without usable labels all posteriors are equal.  If ``STEPS``
+    steps do not meet the targets, or nothing can (a domain that no document
+    has), the nearest rates so far are given, ``met`` is false in every row and
+    a warning states the expected tokens.  Repeated rows get equal results,
+    other rows that share an id each their own.  Other columns are ignored.  An
+    empty table gives an empty result.
     """
-    domains = sorted(targets)
-    whole = float(sum(targets.values()))
-    table = cut(posteriors(docs, labelled, domains, id_col, text_col, sample))
-    rate, _, _ = fit_rates(table, [targets[d] / whole for d in domains], min_rate, keep_all=keep_all)
-    made = table.select("id", "n", *(F.col(f"p{j}") for j in range(len(domains))), F.round(rate, 6).alias("rate"))
-    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return made.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *(F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(domains)), "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
+    with Tables(docs.sparkSession) as tables:
+        table, _, rate, met = _fitted(docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
+    made = table.withColumn("rate", rate)
+    shares = [F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(sorted(targets))]
+    return made.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *shares, "rate", F.floor(F.col("rate") + F.col("chance")).cast("int").alias("copies"), F.lit(met).alias("met"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", min_rate: float = 1.0, keep_all: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", min_rate: float = 1.0, keep_all: bool = True, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` says.  With
-    the given defaults no row is dropped: scarce domains are repeated."""
-    verdict = mix(docs, labelled, targets, id_col, text_col, min_rate, keep_all)
-    times = verdict.groupBy(id_col).agg(F.max("copies").alias("_times")).withColumnRenamed(id_col, "_match")
+    the given defaults no row is dropped: scarce domains are repeated.  A row's
+    copies are worked out in the row itself; nothing is joined or shuffled."""
+    with Tables(docs.sparkSession) as outer:
+        with Tables(docs.sparkSession) as tables:  # the scores serve the fit only
+            _, weights, rate, _ = _fitted(docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    joined = plain.join(times, plain[f"c{names.index(id_col)}"].eqNullSafe(times["_match"])).filter("_times > 0")
-    many = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    times = F.floor(rate + _chance(key, text)).cast("int")
+    many = scored(plain, text, weights).withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return many.select(*(f"c{k}" for k in range(len(names)))).toDF(*names)

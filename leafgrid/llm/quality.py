@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import held_out, labelled_sample, only
+from .common import Tables, held_out, labelled_sample, only
 from .textstats import document_features, measure
 
 #: Labelled documents used at most, and the score from which label 1 is predicted.
@@ -95,8 +95,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees from ``sample`` labelled documents at most, none held out."""
-    chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample).select("text", F.col("label").cast("double").alias("label"))
-    rows = chosen.mapInArrow(_statistics, "x array<double>, label double").collect()
+    with Tables(docs.sparkSession) as tables:
+        chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample, tables).select("text", F.col("label").cast("double").alias("label"))
+        rows = chosen.mapInArrow(_statistics, "x array<double>, label double").collect()
     rows.sort(key=lambda r: (r.label, r.x))  # the order of tasks must not matter
     x = np.array([r.x for r in rows]) if rows else np.zeros((0, 1))
     return fit(x, np.array([float(r.label >= 1) for r in rows]))

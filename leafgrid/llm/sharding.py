@@ -16,12 +16,16 @@ global sort.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import Tables, only
 
 SHARDS, ROUNDS, QUOTA, BUCKET = 8, 6, 0.95, 20_000
+#: Groups that count as crowded, at most.
+CROWDED = 10_000
 
 
 def _chance(*parts: Column) -> Column:
@@ -29,7 +33,7 @@ def _chance(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def propagate(cells: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(cells: DataFrame, capacity: float, tables: Tables, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (grp, piece, origin, n) with ``shard``, where each cell's rows
     should go.  ``capacity``: rows of groups that a shard may take; one that
     could not take all is no target in the next round, so its groups that are
@@ -50,10 +54,31 @@ def propagate(cells: DataFrame, capacity: float, shards: int = SHARDS, rounds: i
         full = sorted(j for j, x in share.items() if x < 1)
         fraction = F.coalesce(*(F.when(F.col("target") == j, F.lit(x)) for j, x in sorted(share.items())), F.lit(0.0))
         goes = _chance(F.col("grp"), F.col("piece"), F.lit(turn)) < fraction
-        cells = cut(cells.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target"))
+        cells = tables.keep(cells.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).drop("target"))
     return cells.select("grp", "piece", "origin", "shard")
 
 
+def _before(counts: DataFrame, order: list[str], high: list[str]) -> DataFrame:
+    """``counts`` (order..., n) with the sum of all n ``before`` a row.  Sums
+    run inside ``high`` (columns of ``order`` and a coarse one), then over one
+    row for each, so that no task has more than about the root of all rows."""
+    sums = counts.groupBy(*high).agg(F.sum("n").alias("all"))
+    above = sums.select(*high, (F.sum("all").over(Window.orderBy(*high)) - F.col("all")).alias("above"))
+    inside = F.sum("n").over(Window.partitionBy(*high).orderBy(*order)) - F.col("n")
+    return counts.withColumn("inside", inside).join(above, high).select(*order, (F.col("above") + F.col("inside")).alias("before"))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, on: list[str], crowded: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``table``; the keys of the ``crowded`` groups
+    (grp), which are few by their definition, are broadcast, so that their many
+    rows do not meet."""
+    few = F.broadcast(table.join(crowded, "grp", "left_semi").withColumn("_few", F.lit(True)))
+    rest = table.join(F.broadcast(crowded), "grp", "left_anti")
+    marked = rows.join(few, on, "left")
+    other = marked.filter("_few is null").select(*rows.columns).join(rest, on, "left")
+    return marked.filter("_few").select(*other.columns).unionByName(other)
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, bucket: int = BUCKET) -> DataFrame:
     """One row for each row of ``docs``: (id_col, size, text_crc32, law, shard,
     slot, grown_shard).
@@ -65,42 +90,47 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
     Equal texts are one group; null and empty texts are equal.  Null ids and
     repeated rows are rows like others.  Other columns are ignored.  An empty
-    table gives an empty result.
+    table gives an empty result.  Rows are told apart by their place in the
+    input, so the same rows in other files may get other shards; the law and
+    the groups hold all the same.
     """
     source = only(docs, id=id_col, text=text_col)
     text = F.coalesce("text", F.lit(""))
-    rows = source.select(F.monotonically_increasing_id().alias("row"), "id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(text.cast("binary")).alias("grp"))
-    rows = cut(rows)
-    total = rows.count()
-    groups = rows.groupBy("grp").agg(F.count("*").alias("members"))
-    pieces = F.ceil(F.col("members") / F.lit(max(1.0, total / shards / 2))).cast("long")
-    own = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int")
-    rows = cut(rows.join(groups, "grp").select("row", "id", "size", "crc", "grp", "members", F.pmod(F.xxhash64("row", F.lit(2)), pieces).alias("piece"), own.alias("origin")))
-
-    cells = cut(rows.filter("members > 1").groupBy("grp", "piece", "origin").agg(F.count("*").alias("n")))
-    placed = propagate(cells, QUOTA * total / shards, shards, rounds)
-    # single rows go where linked ones leave room, in proportion
-    taken = {r["shard"]: r["n"] for r in cells.join(placed, ["grp", "piece", "origin"]).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    room = [max(0.0, total / shards - taken.get(j, 0)) for j in range(shards)]
-    ends = [sum(room[: j + 1]) / (sum(room) or 1.0) for j in range(shards - 1)]
-    ballast = F.coalesce(*(F.when(_chance(F.col("row"), F.lit(5)) < x, F.lit(j)) for j, x in enumerate(ends)), F.lit(shards - 1))
-    rows = rows.join(placed, ["grp", "piece", "origin"], "left").withColumn("near", F.coalesce("shard", ballast))
-
-    buckets = -(-total // bucket) or 1
-    # half of a shard's single rows come before its groups and half behind
-    single = F.when(F.col("members") > 1, 1).when(_chance(F.col("row"), F.lit(6)) < 0.5, 0).otherwise(2)
-    place = F.when(F.col("members") == 1, F.xxhash64("row", F.lit(3))).otherwise(F.xxhash64("grp", "piece"))
-    # a piece of more rows than a bucket takes several
-    salts = F.ceil(F.col("members") / F.lit(bucket)).cast("long")
-    salt = F.when(F.col("members") > bucket, 1 + F.pmod(F.xxhash64("row", F.lit(4)), salts)).otherwise(F.lit(0))
-    rows = cut(rows.select("row", "id", "size", "crc", "grp", "piece", "near", single.alias("single"), F.pmod(place, F.lit(buckets)).alias("bucket"), salt.cast("long").alias("salt")))
-    cell = ["near", "single", "bucket", "salt"]
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))
-    # one row for each bucket: about total / BUCKET of them for each shard
-    before = counts.select(*cell, (F.sum("n").over(Window.orderBy(*cell)) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("grp", "piece", "row"))
-    numbered = rows.join(before, cell).withColumn("number", F.col("before") + inside - 1)
-    shard = F.expr(f"int(number * {shards} div {max(1, total)})")
-    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    out = numbered.withColumn("shard", shard).withColumn("slot", F.col("number") - first)
-    return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    with Tables(docs.sparkSession) as tables:
+        rows = tables.keep(source.select(F.monotonically_increasing_id().alias("row"), "id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(text.cast("binary")).alias("grp")))
+        total = rows.count()
+        groups = tables.keep(rows.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1"))
+        # CROWDED of them at most, as each has more than total / CROWDED rows
+        crowded = tables.keep(groups.filter(F.col("members") > max(1, total // CROWDED)).select("grp"))
+        pieces = F.ceil(F.col("members") / F.lit(max(1.0, total / shards / 2))).cast("long")
+        own = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int")
+        known = _looked_up(rows, groups, ["grp"], crowded).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+        rows = tables.keep(known.select("row", "id", "size", "crc", "grp", "members", F.pmod(F.xxhash64("row", F.lit(2)), pieces).alias("piece"), own.alias("origin")))
+
+        cells = tables.keep(rows.filter("members > 1").groupBy("grp", "piece", "origin").agg(F.count("*").alias("n")))
+        placed = propagate(cells, QUOTA * total / shards, tables, shards, rounds)
+        # single rows go where linked ones leave room, in proportion
+        taken = {r["shard"]: r["n"] for r in cells.join(placed, ["grp", "piece", "origin"]).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = [max(0.0, total / shards - taken.get(j, 0)) for j in range(shards)]
+        ends = [sum(room[: j + 1]) / (sum(room) or 1.0) for j in range(shards - 1)]
+        ballast = F.coalesce(*(F.when(_chance(F.col("row"), F.lit(5)) < x, F.lit(j)) for j, x in enumerate(ends)), F.lit(shards - 1))
+        near = _looked_up(rows, placed, ["grp", "piece", "origin"], crowded).withColumn("near", F.coalesce("shard", ballast))
+
+        buckets = -(-total // bucket) or 1
+        # half of a shard's single rows come before its groups and half behind
+        single = F.when(F.col("members") > 1, 1).when(_chance(F.col("row"), F.lit(6)) < 0.5, 0).otherwise(2)
+        place = F.when(F.col("members") == 1, F.xxhash64("row", F.lit(3))).otherwise(F.xxhash64("grp", "piece"))
+        # a piece of more rows than a bucket takes several
+        salts = F.ceil(F.col("members") / F.lit(bucket)).cast("long")
+        salt = F.when(F.col("members") > bucket, 1 + F.pmod(F.xxhash64("row", F.lit(4)), salts)).otherwise(F.lit(0))
+        rows = tables.keep(near.select("row", "id", "size", "crc", "grp", "piece", "near", single.alias("single"), F.pmod(place, F.lit(buckets)).alias("bucket"), salt.cast("long").alias("salt")))
+        cell = ["near", "single", "bucket", "salt"]
+        counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))
+        coarse = F.floor(F.col("bucket") / max(1, math.isqrt(buckets)))
+        before = _before(counts.withColumn("high", coarse), ["near", "single", "high", "bucket", "salt"], ["near", "single", "high"]).drop("high")
+        inside = F.row_number().over(Window.partitionBy(*cell).orderBy("grp", "piece", "row"))
+        numbered = rows.join(before, cell).withColumn("number", F.col("before") + inside - 1)
+        shard = F.expr(f"int(number * {shards} div {max(1, total)})")
+        first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
+        out = numbered.withColumn("shard", shard).withColumn("slot", F.col("number") - first)
+        return tables.result(out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from . import textscan as ts
-from .common import held_out, labelled_sample, only
+from .common import Tables, held_out, labelled_sample, only
 
 #: Labelled documents used at most, token types with a weight of their own at
 #: most, the marginal from which a token belongs to a span, and the score from
@@ -165,8 +165,9 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicModel:
     """A model of ``sample`` labelled documents at most, none held out."""
-    chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample).select("text", F.col("label").cast("double").alias("label"))
-    rows = sorted((r.label, bytes(r.h), bytes(r.lines)) for r in chosen.mapInArrow(_token_rows, "h binary, lines binary, label double").collect())
+    with Tables(docs.sparkSession) as tables:
+        chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample, tables).select("text", F.col("label").cast("double").alias("label"))
+        rows = sorted((r.label, bytes(r.h), bytes(r.lines)) for r in chosen.mapInArrow(_token_rows, "h binary, lines binary, label double").collect())
     return fit([np.frombuffer(h, np.uint64).reshape(-1, 2) for _, h, _ in rows], [np.frombuffer(x, np.int64) for _, _, x in rows], np.array([label >= 1 for label, _, _ in rows], bool))
 
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from leafgrid.llm import exact_dedup, near_dedup
+from leafgrid.llm import common, exact_dedup, near_dedup
 
 SCHEMA = "doc_id bigint, text string, h bigint, n string, id double, cid string, sha string, text_sha256 string, group_size string"
 
@@ -74,13 +74,57 @@ def order(rows):
     return sorted(map(tuple, rows), key=str)
 
 
-@pytest.mark.parametrize(("width", "cap", "group"), [(2, 16, 2048), (5, 2, 4)])
-def test_near_duplicates_are_those_of_brute_force(spark, width, cap, group):
+#: Bounds so small that every path beyond them is taken.
+TIGHT = {"cap": 2, "group": 4, "room": 6000, "again": 1, "bound": 6}
+
+
+@pytest.mark.parametrize(("width", "bounds"), [(2, {}), (5, TIGHT)])
+def test_near_duplicates_are_those_of_brute_force(spark, width, bounds):
     pairs = [(1000 - 3 * k, t) for k, t in enumerate(texts())] + [(None, "one two"), (None, "lonely text here"), (1000, "one two")]
-    got = near_dedup.near_duplicates(frame(spark, pairs), width=width, cap=cap, group=group).collect()
+    got = near_dedup.near_duplicates(frame(spark, pairs), width=width, **bounds).collect()
     assert order(got) == order(brute(pairs, width, 80))
 
 
+def test_a_family_beyond_one_task_loses_no_link(spark):
+    """Members that link only to some others, over several blocks."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    out = []
+    for k in range(150):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 3, 6, 9])):
+            own[at] = f"e{k}_{at}"
+        out.append((k, " ".join(own)))
+    out += [(500 + k, " ".join([*base[k : k + 45], *(f"x{j}" for j in range(15))])) for k in range(12)]
+    got = near_dedup.near_duplicates(frame(spark, out), width=1, cap=4, group=40, room=20_000).collect()
+    assert order(got) == order(brute(out, 1, 80))
+
+
+def test_components_with_hubs_are_those_of_a_plain_search(spark):
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 60)] + [(200 + k, 201 + k) for k in range(30)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(59, 230)]
+    root = {x: x for e in edges for x in e}
+    while any(root[a] != root[b] for a, b in edges):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    with common.Tables(spark) as tables:
+        for bound in (near_dedup.EDGES, 10):
+            got = dict(map(tuple, near_dedup.components(table, tables, bound).collect()))
+            assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    with common.Tables(spark) as around:
+        near_dedup.drop_near_duplicates(frame(spark, list(enumerate(family(5, 80, 10, 1))))).count()
+        folder = Path(common._own_folder(spark).removeprefix("file:"))
+        left = {str(p) for p in folder.iterdir()}
+        assert {p.removeprefix("file:") for p in around.paths} <= left
+    assert not {str(p) for p in folder.iterdir()} & {p.removeprefix("file:") for p in around.paths}
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     got = near_dedup.near_duplicates(frame(spark, []))
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]

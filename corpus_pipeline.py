@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafgrid.llm import exact_dedup, mixing, near_dedup, packing, quality
-from leafgrid.llm.common import written
+from leafgrid.llm.common import Tables
 from leafgrid.llm.queries import domain_labels, table
 
 
@@ -50,10 +50,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over ``documents``, each written as Parquet to
-    the shared folder before the next one reads it."""
+    the shared folder before the next one reads it.  A stage's tables are
+    deleted when the next stage is written; the result's when Spark ends."""
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    with Tables(spark) as written:
+        for _, stage in STAGES[:-1]:
+            with Tables(spark) as own:
+                docs = own.result(stage(spark, docs, sf_dir))
+            written.drop(latest=1)
+        return written.result(STAGES[-1][1](spark, docs, sf_dir))

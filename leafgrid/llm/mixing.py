@@ -1,19 +1,18 @@
 """Mixing to target weights by soft domain membership, in DataFrame operations.
 
 A classifier learned from a labelled table gives each document its posterior
-over domains: naive Bayes over its words, whose weights stand in a table of
-``BUCKETS`` hash buckets inside the expression, so a posterior is worked out in
-the document's own row.  Document rates r >= 0 are then fitted by
-projected-gradient least squares so that the expected tokens of each domain,
-sum of r * tokens * posterior, match the targets.  The gradient needs only one
-number a domain, so a step is one aggregate over (tokens, posterior); a
-document's rate is a fixed expression of its posterior and the steps so far,
-and no text or state is shuffled or collected.
+over domains: naive Bayes over its words, whose weights are a broadcast table
+of ``BUCKETS`` hash buckets; a task sums its own documents' weights before the
+shuffle.  Document rates r >= 0 are then fitted by projected-gradient least
+squares so that the expected tokens of each domain, sum of r * tokens *
+posterior, match the targets.  The gradient needs only one number a domain, so
+a step is one aggregate over (tokens, posterior); a document's rate is a fixed
+expression of its posterior and the steps so far, and no state is shuffled or
+collected.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Mapping
 
@@ -23,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import Tables, labelled_sample, only
 
 #: Labelled documents and gradient steps at most, hash buckets of words, words
-#: whose evidence a document's posterior takes at most, the relative error at
-#: which fitting ends and the one up to which a target counts as met.
-SAMPLE, STEPS, BUCKETS, EVIDENCE, CLOSE, MET = 3000, 40, 1 << 14, 20, 1e-6, 1e-3
+#: whose evidence a document's posterior takes at most, its decimals, the
+#: relative error at which fitting ends and the one up to which a target counts
+#: as met.
+SAMPLE, STEPS, BUCKETS, EVIDENCE, GRAIN, CLOSE, MET = 3000, 40, 1 << 14, 20, 3, 1e-6, 1e-3
 #: Production targets.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -41,51 +41,39 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def word_weights(labelled: DataFrame, domains: list[str]) -> list[list[float]]:
-    """For each domain the weight of a word in each bucket: the logarithm of
-    its smoothed share of the domain's words, less the domains' mean; 0 where
-    no word of (text, label) falls."""
-    each = labelled.select("label", F.explode(_words(F.col("text"))).alias("word")).groupBy("label", _bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
-    counts = [[0.0] * BUCKETS for _ in domains]
-    for r in each.collect():  # BUCKETS rows a domain at most
-        counts[domains.index(r["label"])][r["bucket"]] = float(r["n"])
-    totals = [sum(c) for c in counts]
-    out = [[0.0] * BUCKETS for _ in domains]
-    for b in range(BUCKETS):
-        if any(c[b] for c in counts):
-            logs = [math.log((c[b] + 0.5) / (t + 0.5 * BUCKETS)) for c, t in zip(counts, totals, strict=True)]
-            for j, own in enumerate(logs):
-                out[j][b] = round(own - sum(logs) / len(logs), 4)
-    return out
-
-
-def posterior(text: Column, weights: list[list[float]]) -> tuple[Column, list[Column]]:
-    """A text's words, and its share of each domain: the softmax of the sums of
-    its words' weights, of which a long text has those of ``EVIDENCE`` words
-    (its mean weight that often), as neighbouring words are not independent."""
-    # an array of one, so that the words are made once
-    tables = [F.split(F.lit(",".join(map(str, w))), ",").cast("array<double>") for w in weights]
-
-    def sums(words: Column) -> Column:
-        zero = F.array(*(F.lit(0.0) for _ in weights))
-        total = F.aggregate(F.transform(words, _bucket), zero, lambda s, b: F.array(*(F.get(s, F.lit(j)) + F.get(t, b) for j, t in enumerate(tables))))
-        return F.struct(F.size(words).cast("long").alias("n"), total.alias("s"))
-
-    made = F.transform(F.array(_words(text)), sums)[0]
-    share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(made["n"], F.lit(1)))
-    logs = [F.get(made["s"], F.lit(j)) * share for j in range(len(weights))]
-    return made["n"], logs
-
-
-def scored(rows: DataFrame, text: str, weights: list[list[float]], n: str = "n", p: str = "p") -> DataFrame:
-    """``rows`` with the words of the column ``text`` and its posteriors, the
-    columns ``n``, ``p``0, ``p``1, ..."""
-    count, logs = posterior(F.col(text), weights)
-    rows = rows.withColumn("_x", F.struct(count.alias("n"), F.array(*logs).alias("s")))
-    top = F.array_max("_x.s")
-    whole = F.aggregate("_x.s", F.lit(0.0), lambda t, x: t + F.exp(x - top))
-    shares = {f"{p}{j}": F.round(F.exp(F.get("_x.s", F.lit(j)) - top) / whole, 9) for j in range(len(weights))}
-    return rows.withColumns({n: F.col("_x.n"), **shares}).drop("_x")
+def word_weights(labelled: DataFrame, domains: list[str]) -> DataFrame:
+    """(bucket, w0, w1, ...): the weight of a word of (text, label) rows for
+    each domain, the logarithm of its smoothed share of the domain's words less
+    the domains' mean."""
+    k = range(len(domains))
+    each = labelled.select("label", F.explode(_words(F.col("text"))).alias("word")).select("label", _bucket(F.col("word")).alias("bucket"))
+    counts = each.groupBy("bucket").agg(*(F.count(F.when(F.col("label") == d, 1)).alias(f"n{j}") for j, d in enumerate(domains)))
+    totals = counts.agg(*(F.coalesce(F.sum(f"n{j}"), F.lit(0)) for j in k)).first()
+    logs = [F.log((F.col(f"n{j}") + 0.5) / F.lit(totals[j] + 0.5 * BUCKETS)) for j in k]
+    mean = sum(logs, F.lit(0.0)) / len(domains)
+    return counts.select("bucket", *(F.round(x - mean, 6).alias(f"w{j}") for j, x in enumerate(logs)))
+
+
+def posteriors(rows: DataFrame, weights: DataFrame, width: int) -> DataFrame:
+    """(row, n, p0, p1, ...) for each of (row, text): its words, and its share
+    of each of ``width`` domains, the softmax of the sums of its words' weights.
+    A long text has those of ``EVIDENCE`` words (its mean weight that often), as
+    neighbouring words are not independent."""
+    k = range(width)
+    # BUCKETS rows at most, and one for the place of texts without words
+    table = weights.unionByName(weights.sparkSession.range(1).select(F.lit(-1).alias("bucket"), *(F.lit(0.0).alias(f"w{j}") for j in k)))
+    words = rows.select("row", _words(F.col("text")).alias("words"))
+    each = words.select("row", F.size("words").cast("long").alias("n"), F.explode(F.concat(F.transform("words", _bucket), F.array(F.lit(-1)))).alias("bucket"))
+    sums = each.join(F.broadcast(table), "bucket", "left").groupBy("row").agg(F.first("n").alias("n"), *(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)).alias(f"s{j}") for j in k))
+    share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest("n", F.lit(1)))
+    sums = sums.select("row", "n", F.array(*(F.col(f"s{j}") * share for j in k)).alias("s")).withColumn("top", F.array_max("s"))
+    odds = sums.select("row", "n", F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
+    whole = F.aggregate("e", F.lit(0.0), lambda t, x: t + x)
+    near = odds.select("row", "n", F.transform("e", lambda x: F.round(x / whole, GRAIN)).alias("p"))
+    # the largest share takes what rounding leaves, so that all sum to 1
+    top = F.array_position("p", F.array_max("p")) - 1
+    rest = F.aggregate("p", F.lit(1.0), lambda t, x: t - x)
+    return near.select("row", "n", *(F.round(F.get("p", F.lit(j)) + F.when(top == j, rest).otherwise(0.0), GRAIN).alias(f"p{j}") for j in k))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -132,22 +120,23 @@ def fit_rates(table: DataFrame, targets: list[float], min_rate: float, steps: in
     return rate, now, want
 
 
-def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, min_rate: float, keep_all: bool, sample: int, tables: Tables) -> tuple[DataFrame, list[list[float]], Column, bool]:
-    """The scored (id, chance, n, p0, ...) as a table of ``tables``, the words'
-    weights, the rate, and whether all targets are met."""
+def _fitted(rows: DataFrame, docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, min_rate: float, keep_all: bool, sample: int, tables: Tables) -> tuple[DataFrame, bool]:
+    """(row, n, p0, ..., rate) for each of ``rows`` (row, text), a table of
+    ``tables`` inside, and whether all targets are met."""
     domains = sorted(targets)
     whole = float(sum(targets.values()))
-    with Tables(docs.sparkSession) as own:
-        chosen = labelled_sample(docs, labelled, id_col, text_col, "label", sample, own).filter(F.col("label").isin(domains))
-        weights = word_weights(chosen.select("text", "label"), domains)
-    source = only(docs, id=id_col, text=text_col)
-    table = tables.result(scored(source, "text", weights).select("id", _chance("id", "text").alias("chance"), "n", *(f"p{j}" for j in range(len(domains)))))
-    rate, now, want = fit_rates(table, [targets[d] / whole for d in domains], min_rate, keep_all=keep_all)
+    chosen = labelled_sample(docs, labelled, id_col, text_col, "label", sample, tables).filter(F.col("label").isin(domains))
+    weights = tables.keep(word_weights(chosen.select("text", "label"), domains))
+    table = tables.result(posteriors(rows, weights, len(domains)))
+    # a rate depends on the posterior alone, so rows of equal ones fit as one
+    shares = [f"p{j}" for j in range(len(domains))]
+    cells = tables.keep(table.groupBy(*shares).agg(F.sum("n").alias("n")))
+    rate, now, want = fit_rates(cells, [targets[d] / whole for d in domains], min_rate, keep_all=keep_all)
     met = all(abs(a - b) <= MET * (sum(want) + 1) for a, b in zip(now, want, strict=True))
     if not met:
         told = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(domains, now, want, strict=True))
         warnings.warn(f"targets are not met; expected tokens: {told}", stacklevel=3)
-    return table, weights, F.round(rate, 6), met
+    return table.withColumn("rate", F.round(rate, 6)), met
 
 
 def _chance(*columns: str) -> Column:
@@ -175,22 +164,24 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     empty table gives an empty result.
     """
     with Tables(docs.sparkSession) as tables:
-        table, _, rate, met = _fitted(docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
-    made = table.withColumn("rate", rate)
+        # no text has a row number twice, and equal rows have equal chances
+        source = tables.result(only(docs, id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text", _chance("id", "text").alias("chance")))
+        table, met = _fitted(source.select("row", "text"), docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
+    made = source.select("row", "id", "chance").join(table, "row")
     shares = [F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(sorted(targets))]
     return made.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *shares, "rate", F.floor(F.col("rate") + F.col("chance")).cast("int").alias("copies"), F.lit(met).alias("met"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", min_rate: float = 1.0, keep_all: bool = True, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` says.  With
-    the given defaults no row is dropped: scarce domains are repeated.  A row's
-    copies are worked out in the row itself; nothing is joined or shuffled."""
-    with Tables(docs.sparkSession) as outer:
-        with Tables(docs.sparkSession) as tables:  # the scores serve the fit only
-            _, weights, rate, _ = _fitted(docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
+    the given defaults no row is dropped: scarce domains are repeated.  Rows are
+    joined with their copies by a number of their own, not by id."""
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    times = F.floor(rate + _chance(key, text)).cast("int")
-    many = scored(plain, text, weights).withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    with Tables(docs.sparkSession) as tables:
+        source = tables.result(plain.withColumn("row", F.monotonically_increasing_id()))
+        table, _ = _fitted(source.select("row", F.col(text).alias("text")), docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
+    many = source.join(table.select("row", "rate"), "row").withColumn("_times", F.floor(F.col("rate") + _chance(key, text)).cast("int"))
+    many = many.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return many.select(*(f"c{k}" for k in range(len(names)))).toDF(*names)

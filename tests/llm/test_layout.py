@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafgrid.llm import mixing, packing, sharding, urls, wordpiece
+from leafgrid.llm.common import Tables, labelled_sample
 
 DATA = "/root/testdata/sf0.001"
 ODD = [None, "", "  ", "a", "a", "A", "x" * 40_000, "é ß ñ 日本", "don't <|endoftext|> stop\r\n\x0b"]
@@ -44,7 +46,8 @@ def test_rates_meet_the_targets(spark):
     assert np.allclose(p.sum(1), 1, atol=1e-6)
     lang = {r.doc_id: r.lang for r in docs.collect()}
     assert np.mean([names[k] == lang[r.doc_id] for k, r in zip(p.argmax(1), rows, strict=True)]) > 0.9
-    assert n.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in (dict(corpus(spark))[r.doc_id] for r in rows)]
+    text = dict(corpus(spark))
+    assert n.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id] or "")) for r in rows]
     assert all(int(r.rate) <= r.copies <= int(r.rate) + 1 for r in rows)
 
 
@@ -80,6 +83,101 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(frame(spark, []), marks).count() == 0
 
 
+def test_posteriors_are_those_of_brute_force(spark):
+    marks = [("a", "der die und der"), ("b", "the and the of"), ("b", "of der")]
+    texts = ["der und", "the the of", "", "x y z", "der the " * 40]
+    with Tables(spark) as tables:
+        weights = tables.keep(mixing.word_weights(spark.createDataFrame(marks, "label string, text string"), ["a", "b"]))
+        rows = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+        got = {r.row: r for r in mixing.posteriors(rows, weights, 2).collect()}
+        words = sorted({w for _, t in marks for w in t.split()} | {"x", "y", "z"})
+        place = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", mixing._bucket(F.col("w")).alias("b")).collect()}
+    counts = {d: Counter(place[w] for k, t in marks if k == d for w in t.split()) for d in "ab"}
+    for row, text in enumerate(texts):
+        own = text.split()
+        known = [place[w] for w in own if place[w] in counts["a"] or place[w] in counts["b"]]
+        logs = {d: [np.log((counts[d][b] + 0.5) / (sum(counts[d].values()) + 0.5 * mixing.BUCKETS)) for b in known] for d in "ab"}
+        part = min(1, mixing.EVIDENCE / max(1, len(own)))
+        s = {d: sum(x - (p + q) / 2 for x, p, q in zip(logs[d], logs["a"], logs["b"], strict=True)) * part for d in "ab"}
+        assert got[row].n == len(own)
+        assert abs(got[row].p0 - np.exp(s["a"]) / (np.exp(s["a"]) + np.exp(s["b"]))) < 2e-3
+        assert abs(got[row].p0 + got[row].p1 - 1) < 1e-9
+
+
+def test_targets_that_cannot_be_met_are_flagged(spark):
+    docs = spark.createDataFrame([(k, "der die und das") for k in range(50)], "doc_id bigint, text string")
+    marks = docs.selectExpr("doc_id", "'de' as label")
+    with pytest.warns(UserWarning, match="not met"):
+        got = mixing.mix(docs, marks, {"de": 0.2, "en": 0.8}).collect()
+    assert len(got) == 50 and not any(r.met for r in got)
+
+
+def test_rows_that_share_an_id_are_mixed_each_on_its_own(spark):
+    german, english = "der die und das ist " * 8, "the and of that is " * 8
+    rows = [(1, german), (1, english), (None, german), (None, english), *((k, german if k % 4 else english) for k in range(2, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(k, "de" if k % 4 else "en") for k in range(2, 60)], "doc_id bigint, label string")
+    got = Counter((r.doc_id, r.text) for r in mixing.mixed(docs, marks, {"de": 0.1, "en": 0.9}).collect())
+    assert got[1, german] == 1 and got[None, german] == 1
+    assert got[1, english] > 5 and got[None, english] > 5
+
+
+def test_a_sample_has_one_row_an_id_and_bounded_bytes(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "y" * 1000) for k in range(2, 60)], "doc_id bigint, text string")
+    marks = docs.selectExpr("doc_id", "1 as quality").distinct()
+    with Tables(spark) as tables:
+        got = labelled_sample(docs, marks, "doc_id", "text", "quality", 1000, tables).collect()
+        assert len(got) == len({r.id for r in got}) and all(zlib.crc32(str(r.id).encode()) % 5 for r in got)
+        few = labelled_sample(docs, marks, "doc_id", "text", "quality", 1000, tables, room=10_500).collect()
+        assert 10 <= len(few) <= 11
+        assert labelled_sample(docs, marks, "doc_id", "text", "quality", 7, tables).count() == 7
+
+
+def plain_propagation(cells, capacity, shards, rounds, chance):
+    """The same moves, cell by cell."""
+    where = {c: c[2] for c in cells}
+    full = []
+    for turn in range(rounds):
+        target = {}
+        for grp, piece in {c[:2] for c in cells}:
+            votes = Counter()
+            for c in cells:
+                if c[:2] == (grp, piece):
+                    votes[where[c]] += cells[c]
+            target[grp, piece] = max(votes, key=lambda s: (s not in full, votes[s], -s))
+        load, moving = Counter(), Counter()
+        for c, n in cells.items():
+            load[target[c[:2]]] += n
+            moving[target[c[:2]]] += n * (where[c] != target[c[:2]])
+        share = {j: min(1.0, max(0.0, (capacity - (load[j] - m)) / m)) for j, m in moving.items() if m}
+        if not share:
+            break
+        full = [j for j, x in share.items() if x < 1]
+        for c in cells:
+            if chance[c[0], c[1], turn] < share.get(target[c[:2]], 0.0):
+                where[c] = target[c[:2]]
+    return where
+
+
+def test_propagation_is_that_of_brute_force(spark):
+    rng = random.Random(12)
+    cells = {(f"g{g}", 0, s): rng.randrange(1, 9) for g in range(40) for s in rng.sample(range(4), rng.randrange(1, 5))}
+    table = spark.createDataFrame([(*c, n) for c, n in cells.items()], "grp string, piece bigint, origin int, n bigint")
+    turns = spark.createDataFrame([(g, 0, t) for g in {c[0] for c in cells} for t in range(6)], "grp string, piece bigint, turn int")
+    chance = {(r.grp, r.piece, r.turn): r.c for r in turns.withColumn("c", sharding._chance(F.col("grp"), F.col("piece"), F.col("turn"))).collect()}
+    capacity = sum(cells.values()) / 4 * 0.9
+    with Tables(spark) as tables:
+        got = {(r.grp, r.piece, r.origin): r["shard"] for r in sharding.propagate(table, capacity, tables, 4, 6).collect()}
+    assert got == plain_propagation(cells, capacity, 4, 6, chance)
+
+
+def test_sums_before_need_no_task_over_all(spark):
+    counts = [(a, b, c, (a * 7 + b * 3 + c) % 5) for a in range(3) for b in range(4) for c in range(6)]
+    table = spark.createDataFrame(counts, "a int, b int, c int, n bigint").repartition(3)
+    got = {(r.a, r.b, r.c): r.before for r in sharding._before(table, ["a", "b", "c"], ["a", "b"]).collect()}
+    assert got == {x[:3]: sum(y[3] for y in counts if y[:3] < x[:3]) for x in counts}
+
+
 def test_mixed_rows_are_repeated_and_never_dropped(spark):
     docs, marks = domains(spark)
     more = docs.selectExpr("*", "1 as _times", "2 as _copy", "3 as rate")

@@ -24,9 +24,10 @@ from . import textscan as ts
 from .common import Tables, held_out, labelled_sample, only
 
 #: Labelled documents used at most, token types with a weight of their own at
-#: most, the marginal from which a token belongs to a span, and the score from
+#: most, clean documents for each toxic one that the field's weights are fitted
+#: on, the marginal from which a token belongs to a span, and the score from
 #: which a document is predicted toxic.
-SAMPLE, TYPES, TAGGED, CUT = 6000, 2048, 0.5, 0.5
+SAMPLE, TYPES, CONTRAST, TAGGED, CUT = 6000, 2048, 2.0, 0.5, 0.5
 #: Bytes of a token's stem.
 STEM = 4
 _LETTER = np.zeros(256, bool)
@@ -89,8 +90,14 @@ def tokens(block: ts.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return start, end, h, np.searchsorted(start, np.append(line_start, len(block.body))), np.searchsorted(start, block.first)
 
 
-def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, types: int = TYPES, rounds: int = 40) -> ToxicModel:
-    """A model of documents' token hashes, the line bounds in them, and labels."""
+def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, types: int = TYPES, rounds: int = 40, contrast: float = CONTRAST) -> ToxicModel:
+    """A model of documents' token hashes, the line bounds in them, and labels.
+
+    Types are chosen and scores calibrated on all documents; the field's
+    weights are fitted on all toxic ones and, as those of clean documents
+    change little with their number, on ``contrast`` times as many clean ones
+    (200 at least), spread evenly over the documents, which ``train`` puts in
+    the order of a hash of their ids."""
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     nothing = ToxicModel(np.zeros(0, np.uint64), np.full(1, -30.0), crf.Chain(), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if not len(toxic) or toxic.min() == toxic.max():
@@ -109,16 +116,23 @@ def fit(hashes: list[np.ndarray], lines: list[np.ndarray], toxic: np.ndarray, ty
     vocabulary = found[chosen]
     if not offence.any():
         return nothing
-    flat, sizes, first, bounds = _joined(hashes, lines)
+    clean = np.flatnonzero(~toxic)
+    clean = clean[np.unique(np.linspace(0, len(clean) - 1, max(200, int(contrast * toxic.sum()))).astype(int))]
+    drawn = np.sort(np.concatenate([np.flatnonzero(toxic), clean])).tolist()
+    flat, sizes, _, bounds = _joined([hashes[k] for k in drawn], [lines[k] for k in drawn])
     number = [_numbers(vocabulary, flat[:, k]).astype(np.int32) for k in (0, 1)]
     del flat
     strong = np.append(offence[chosen], False)
-    bad = (strong[number[0]] | strong[number[1]]) & np.repeat(toxic, sizes)
+    bad = (strong[number[0]] | strong[number[1]]) & np.repeat(toxic[drawn], sizes)
     width = len(vocabulary) + 1
     weights, chain = crf.fit(lambda w: w[number[0]] + w[number[1]], lambda e: np.bincount(number[0], e, width) + np.bincount(number[1], e, width), width, bad, bounds, rounds, rate=0.5, ridge=1e-7)
+    del number, bad
     model = ToxicModel(vocabulary, weights, chain, np.zeros(3))
-    x = _summary(crf.marginals(weights[number[0]] + weights[number[1]], bounds, chain), first)
-    model.calibration = _logistic(x, toxic)
+    parts = []
+    for lo in range(0, len(hashes), 256):
+        flat, _, first, bounds = _joined(hashes[lo : lo + 256], lines[lo : lo + 256])
+        parts.append(_summary(model.tag(flat, bounds), first))
+    model.calibration = _logistic(np.concatenate(parts), toxic)
     return model
 
 
@@ -160,15 +174,17 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, h, lines, texts = tokens(block)
             rows = [h[a:z].tobytes() for a, z in zip(texts[:-1], texts[1:], strict=True)]
             inner = [np.unique(lines[(lines >= a) & (lines <= z)] - a).astype(np.int64).tobytes() for a, z in zip(texts[:-1], texts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(inner, pa.binary()), batch.column(1).slice(lo, hi - lo)], ["h", "lines", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(inner, pa.binary()), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)], ["h", "lines", "label", "draw"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicModel:
-    """A model of ``sample`` labelled documents at most, none held out."""
+    """A model of ``sample`` labelled documents at most, and their bytes as
+    ``labelled_sample`` bounds them, none held out."""
     with Tables(docs.sparkSession) as tables:
-        chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample, tables).select("text", F.col("label").cast("double").alias("label"))
-        rows = sorted((r.label, bytes(r.h), bytes(r.lines)) for r in chosen.mapInArrow(_token_rows, "h binary, lines binary, label double").collect())
-    return fit([np.frombuffer(h, np.uint64).reshape(-1, 2) for _, h, _ in rows], [np.frombuffer(x, np.int64) for _, _, x in rows], np.array([label >= 1 for label, _, _ in rows], bool))
+        chosen = labelled_sample(docs, labels, id_col, text_col, label_col, sample, tables).select("text", F.col("label").cast("double").alias("label"), F.xxhash64("id").alias("draw"))
+        made = chosen.mapInArrow(_token_rows, "h binary, lines binary, label double, draw bigint")
+        rows = sorted((r.draw, bytes(r.h), bytes(r.lines), r.label) for r in made.collect())
+    return fit([np.frombuffer(h, np.uint64).reshape(-1, 2) for _, h, _, _ in rows], [np.frombuffer(x, np.int64) for _, _, x, _ in rows], np.array([label >= 1 for *_, label in rows], bool))
 
 
 def _tagged(model: ToxicModel, tagged: float):

@@ -18,8 +18,8 @@ from .sources import meshes
 from .sources import points as files
 
 DEPTH, MOST = 6, 16
-MESH_DEPTH, MESH_MOST = 4, 200
-WHOLE_DEPTH = 10  # of trees that hold every order line and have no SQL
+MESH_DEPTH, MESH_MOST = 6, 64
+FINE_DEPTH = 10  # of trees far from balanced
 ROUNDS = 200  # of solvers at most, which end at their tolerance
 BLOCK = 2  # the level of blocks
 BUCKET_BITS = 9  # keys of a bucket share all but so many low bits
@@ -52,40 +52,37 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.construct(order_lines(spark, sf_dir), DEPTH, MOST)
 
 
-def steep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of few points and a single one a leaf, far from balanced."""
-    return tree.construct(order_lines(spark, sf_dir).filter("l_quantity >= 50 and x < 40"), DEPTH, 1)
-
-
-def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order line with a key of ``WHOLE_DEPTH`` levels; y and z are
-    squared, so that the tree is adaptive at every size."""
-    side = 1 << WHOLE_DEPTH
-    squares = [F.expr(f"((l_{c} % {side}) * (l_{c} % {side})) div {side}") for c in ("partkey", "suppkey")]
+def fine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line with a key of ``FINE_DEPTH`` levels.  y and z are
+    squared, so that the tree is adaptive at every size, and z is densest just
+    below the middle plane, beyond which there is nothing."""
+    side = 1 << FINE_DEPTH
+    y = F.expr(f"((l_partkey % {side}) * (l_partkey % {side})) div {side}")
+    z = F.expr(f"{side // 2 - 1} - ((l_suppkey % {side}) * (l_suppkey % {side})) div {2 * side}")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select(K.interleave(F.expr(f"l_orderkey % {side}"), *squares).alias("key"))
+    return lines.select(K.interleave(F.expr(f"l_orderkey % {side}"), y, z).alias("key"))
 
 
-def whole_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.construct(whole_lines(spark, sf_dir), WHOLE_DEPTH, MOST)
+def fine_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all order lines, far from balanced."""
+    return tree.construct(fine_lines(spark, sf_dir), FINE_DEPTH, MOST)
 
 
 def mesh_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = order_lines(spark, sf_dir).withColumn("key", F.shiftright("key", 3 * (DEPTH - MESH_DEPTH)))
-    return tree.balance(tree.construct(lines, MESH_DEPTH, MESH_MOST))
+    return tree.balance(tree.construct(order_lines(spark, sf_dir), MESH_DEPTH, MESH_MOST))
 
 
 def bucket():
     return F.shiftright("key", BUCKET_BITS)
 
 
-def _encode(*at: str) -> str:
-    parts = [f"((({v} >> {b}) & 1) << {len(at) * b + a})" for b in range(DEPTH) for a, v in enumerate(at)]
+def _encode(*at: str, bits: int = DEPTH) -> str:
+    parts = [f"((({v} >> {b}) & 1) << {len(at) * b + a})" for b in range(bits) for a, v in enumerate(at)]
     return "(" + " | ".join(parts) + ")"
 
 
-def _decode(prefix: str, axis: int) -> str:
-    return "(" + " | ".join(f"((({prefix} >> {3 * b + axis}) & 1) << {b})" for b in range(DEPTH)) + ")"
+def _decode(prefix: str, axis: int, bits: int = DEPTH) -> str:
+    return "(" + " | ".join(f"((({prefix} >> {3 * b + axis}) & 1) << {b})" for b in range(bits)) + ")"
 
 
 KEYED = f"""pts AS (
@@ -94,9 +91,9 @@ KEYED = f"""pts AS (
 ), keyed AS (SELECT *, {_encode("x", "y", "z")} AS key FROM pts)"""
 
 
-def _tree_sql(name: str = "leaves", depth: int = DEPTH, most: int = MOST, where: str = "true", source: str = "keyed", dim: int = 3) -> str:
+def _tree_sql(name: str = "leaves", depth: int = DEPTH, most: int = MOST, where: str = "true", source: str = "keyed", dim: int = 3, bits: int = DEPTH) -> str:
     return f"""{name}_cells AS (
-  SELECT l AS level, (key >> {dim * (DEPTH - depth)}) >> ({dim} * ({depth} - l)) AS prefix, count(*) AS n
+  SELECT l AS level, (key >> {dim * (bits - depth)}) >> ({dim} * ({depth} - l)) AS prefix, count(*) AS n
   FROM {source}, range(0, {depth + 1}) t(l) WHERE {where} GROUP BY ALL
 ), {name}_inner AS (SELECT level, prefix FROM {name}_cells WHERE n > {most} AND level < {depth}
 ), {name} AS (
@@ -105,33 +102,44 @@ def _tree_sql(name: str = "leaves", depth: int = DEPTH, most: int = MOST, where:
   UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM {name}_inner))"""
 
 
-def _above(cells: str) -> str:
-    return f"SELECT DISTINCT l AS level, prefix >> (3 * (level - l)) AS prefix FROM {cells}, range(0, {DEPTH}) t(l) WHERE l < level"
+def _above(cells: str, bits: int = DEPTH) -> str:
+    return f"SELECT DISTINCT l AS level, prefix >> (3 * (level - l)) AS prefix FROM {cells}, range(0, {bits}) t(l) WHERE l < level"
 
 
-def _complete(cells: str) -> str:
-    return f"""inner_ AS ({_above(cells)}), done AS (
+def _complete(cells: str, bits: int = DEPTH) -> str:
+    return f"""inner_ AS ({_above(cells, bits)}), done AS (
   SELECT i.level + 1 AS level, i.prefix * 8 + c AS prefix FROM inner_ i, range(0, 8) t(c)
   WHERE NOT EXISTS (SELECT 1 FROM inner_ j WHERE j.level = i.level + 1 AND j.prefix = i.prefix * 8 + c)
   UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM inner_))"""
 
 
-def _balanced(source: str = "leaves", directions: str = "true") -> str:
-    return f"""grow AS (
-  SELECT level, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM {source}
-  UNION
-  SELECT level - 1, (((x >> 1) + dx) >> 1) * 2 + (k & 1), (((y >> 1) + dy) >> 1) * 2 + ((k >> 1) & 1), (((z >> 1) + dz) >> 1) * 2 + (k >> 2)
-  FROM grow, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz), range(0, 8) s(k)
-  WHERE level >= 2 AND least((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) >= 0
-    AND greatest((x >> 1) + dx, (y >> 1) + dy, (z >> 1) + dz) < (1 << (level - 1)) AND {directions}
-), grown AS (SELECT level, x, y, z, {_encode("x", "y", "z")} AS prefix FROM grow
-), balanced AS (SELECT * FROM grown g WHERE NOT EXISTS (SELECT 1 FROM grown h WHERE h.level = g.level + 1 AND h.prefix >> 3 = g.prefix))"""
+def _balanced(source: str = "leaves", directions: str = "true", bits: int = DEPTH, name: str = "balanced") -> str:
+    """``name``: the balanced tree, one step a level from the finest up."""
+
+    def around(level: int) -> str:
+        return f"""SELECT DISTINCT (x + dx) >> 1 AS x, (y + dy) >> 1 AS y, (z + dz) >> 1 AS z
+    FROM (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z FROM {name}_{level}) p, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz)
+    WHERE least(x + dx, y + dy, z + dz) >= 0 AND greatest(x + dx, y + dy, z + dz) < {1 << level - 1} AND {directions}"""
+
+    steps = [f"{name}_src AS MATERIALIZED (SELECT level, {', '.join(f'{_decode("prefix", a, bits)} AS {v}' for a, v in enumerate('xyz'))} FROM {source})"]
+    steps.append(f"{name}_{bits} AS MATERIALIZED (SELECT x, y, z FROM {name}_src WHERE level = {bits})")
+    for level in range(bits, 1, -1):
+        made = f"SELECT x * 2 + (k & 1) AS x, y * 2 + ((k >> 1) & 1) AS y, z * 2 + (k >> 2) AS z FROM ({around(level)}) g, range(0, 8) s(k)"
+        steps.append(f"{name}_{level - 1} AS MATERIALIZED ({made} UNION SELECT x, y, z FROM {name}_src WHERE level = {level - 1})")
+    every = " UNION ALL ".join(f"SELECT {level} AS level, x, y, z FROM {name}_{level}" for level in range(1, bits + 1))
+    steps.append(f"{name}_all AS MATERIALIZED (SELECT *, {_encode('x', 'y', 'z', bits=bits)} AS prefix FROM ({every} UNION ALL SELECT level, x, y, z FROM {name}_src WHERE level = 0))")
+    steps.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}_all g WHERE NOT EXISTS (SELECT 1 FROM {name}_all h WHERE h.level = g.level + 1 AND h.prefix >> 3 = g.prefix))")
+    return ", ".join(steps)
 
 
 _TREE = f"WITH {KEYED}, {_tree_sql()}"
-_STEEP = f"WITH RECURSIVE {KEYED}, {_tree_sql(most=1, where='l_quantity >= 50 and x < 40')}"
+_B = FINE_DEPTH
+_S = 1 << _B
+FINE = f"""fine_ AS (SELECT {_encode("x", "y", "z", bits=_B)} AS key FROM (
+  SELECT l_orderkey % {_S} AS x, ((l_partkey % {_S}) * (l_partkey % {_S})) // {_S} AS y, {_S // 2 - 1} - ((l_suppkey % {_S}) * (l_suppkey % {_S})) // {2 * _S} AS z FROM lineitem))"""
+_STEEP = f"WITH {FINE}, {_tree_sql(depth=_B, source='fine_', bits=_B)}"
 _D = MESH_DEPTH
-_UNIT = 216 << 16  # element entries of the test meshes are multiples of 1 / _UNIT
+_UNIT = 216 << 22  # element entries of the test meshes are multiples of 1 / _UNIT
 
 
 def _elements(cells: str = "balanced", s: str = "") -> str:
@@ -140,11 +148,10 @@ def _elements(cells: str = "balanced", s: str = "") -> str:
   SELECT level, prefix, v AS vertex, x, y, z, (x + (v & 1)) << ({_D} - level) AS nx, (y + ((v >> 1) & 1)) << ({_D} - level) AS ny, (z + (v >> 2)) << ({_D} - level) AS nz
   FROM {cells}, range(0, 8) t(v)
 ), hang{s} AS (
-  SELECT DISTINCT c.level, c.prefix, c.vertex FROM corner{s} c JOIN {cells} b ON b.level = c.level - 1
+  SELECT DISTINCT c.level, c.prefix, c.vertex FROM corner{s} c, range(0, 2) a(i), range(0, 2) b(j), range(0, 2) d(k), {cells} t
   WHERE c.level > 0 AND greatest(c.nx % (1 << ({_D} + 1 - c.level)), c.ny % (1 << ({_D} + 1 - c.level)), c.nz % (1 << ({_D} + 1 - c.level))) > 0
-    AND c.nx BETWEEN b.x << ({_D} - b.level) AND (b.x + 1) << ({_D} - b.level)
-    AND c.ny BETWEEN b.y << ({_D} - b.level) AND (b.y + 1) << ({_D} - b.level)
-    AND c.nz BETWEEN b.z << ({_D} - b.level) AND (b.z + 1) << ({_D} - b.level)
+    AND least(c.nx - i, c.ny - j, c.nz - k) >= 0 AND t.level = c.level - 1
+    AND t.x = (c.nx - i) >> ({_D} + 1 - c.level) AND t.y = (c.ny - j) >> ({_D} + 1 - c.level) AND t.z = (c.nz - k) >> ({_D} + 1 - c.level)
 ), element{s} AS (
   SELECT c.level, c.prefix, c.vertex, h.vertex IS NOT NULL AS hangs,
     CASE WHEN h.vertex IS NULL THEN nx ELSE ((x >> 1) + (c.vertex & 1)) << ({_D} + 1 - c.level) END AS nx,
@@ -155,7 +162,7 @@ def _elements(cells: str = "balanced", s: str = "") -> str:
 
 def _coarser(cells: str, s: str) -> str:
     """``balanced{s}``: a tree coarsened once and balanced again."""
-    again = _balanced(f"merged{s}").replace("grow", f"grow{s}").replace("balanced", f"balanced{s}")
+    again = _balanced(f"merged{s}", name=f"balanced{s}")
     return f"""full{s} AS (SELECT level, prefix >> 3 AS p FROM {cells} WHERE level > 0 GROUP BY ALL HAVING count(*) = 8
 ), merged{s} AS (
   SELECT level, prefix FROM {cells} l WHERE NOT EXISTS (SELECT 1 FROM full{s} f WHERE f.level = l.level AND f.p = l.prefix >> 3)
@@ -171,7 +178,7 @@ def _weights(s: str = "") -> str:
     AND CASE WHEN e.hangs THEN xor(e.prefix & 7, n.vertex) & ~xor(e.prefix & 7, e.vertex) = 0 ELSE n.vertex = e.vertex END)"""
 
 
-_MESH = f"WITH RECURSIVE {KEYED}, {_tree_sql('leaves', MESH_DEPTH, MESH_MOST)}, {_balanced()}, {_elements()}"
+_MESH = f"WITH {KEYED}, {_tree_sql('leaves', MESH_DEPTH, MESH_MOST)}, {_balanced()}, {_elements()}"
 _MASS = [f"(2 - ((xor(v, w) >> {a}) & 1)) / 6e0" for a in range(3)]
 _SLOPE = [f"(1 - 2 * ((xor(v, w) >> {a}) & 1))" for a in range(3)]
 
@@ -370,22 +377,23 @@ def octree_volume(spark, sf_dir):
     return tree.volume(leaves(spark, sf_dir), DEPTH)
 
 
-_SOME = f"WITH {KEYED}, fine AS (SELECT DISTINCT {DEPTH} AS level, key AS prefix FROM keyed WHERE l_quantity >= 49), mixed AS (SELECT * FROM fine UNION SELECT 4, prefix >> 6 FROM fine)"
+_SOME = f"WITH {FINE}, cells AS (SELECT DISTINCT {_B} AS level, key AS prefix FROM fine_), mixed AS (SELECT * FROM cells UNION SELECT 4, prefix >> {3 * (_B - 4)} FROM cells)"
 
 
-def some_cells(spark, sf_dir) -> DataFrame:
-    fine = order_lines(spark, sf_dir).filter("l_quantity >= 49").select(F.lit(DEPTH).alias("level"), F.col("key").alias("prefix")).distinct()
-    return fine.unionByName(fine.select(F.lit(4).alias("level"), K.up("prefix", 2).alias("prefix")))
+def nested_cells(spark, sf_dir) -> DataFrame:
+    """The cells of every order line and those of level 4 around them."""
+    cells = fine_lines(spark, sf_dir).select(F.lit(FINE_DEPTH).alias("level"), F.col("key").alias("prefix")).distinct()
+    return cells.unionByName(cells.select(F.lit(4).alias("level"), K.up("prefix", FINE_DEPTH - 4).alias("prefix")))
 
 
-@query(_SOME + f", {_complete('mixed')} SELECT level::INT AS level, prefix FROM done")
+@query(_SOME + f", {_complete('mixed', _B)} SELECT level::INT AS level, prefix FROM done")
 def complete_octree(spark, sf_dir):
-    return tree.complete(some_cells(spark, sf_dir))
+    return tree.complete(nested_cells(spark, sf_dir))
 
 
-@query(_SOME + f", up_ AS ({_above('mixed')}) SELECT level::INT AS level, prefix FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM up_ u WHERE u.level = m.level AND u.prefix = m.prefix)")
+@query(_SOME + f", up_ AS ({_above('mixed', _B)}) SELECT level::INT AS level, prefix FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM up_ u WHERE u.level = m.level AND u.prefix = m.prefix)")
 def linearise(spark, sf_dir):
-    return tree.linearise(some_cells(spark, sf_dir))
+    return tree.linearise(nested_cells(spark, sf_dir))
 
 
 _OPEN = "l_linestatus = 'O'"
@@ -442,82 +450,43 @@ def grid_octree(spark, sf_dir):
     return tree.from_grid(grid, 3, 40.0)
 
 
-@query(f"{_STEEP}, {_balanced()} SELECT level::INT AS level, prefix FROM balanced")
+def _unbalanced(cells: str) -> str:
+    """``near``: the cells around a leaf, at every coarser level but one, which
+    are leaves themselves where the tree is not balanced."""
+    return f"""deep AS (SELECT level, prefix, {", ".join(f"{_decode('prefix', a, _B)} AS {v}" for a, v in enumerate("xyz"))} FROM {cells} WHERE level > 1),
+near AS (SELECT DISTINCT level, prefix, l, {_encode("(x + dx)", "(y + dy)", "(z + dz)", bits=_B)} >> (3 * (level - l)) AS p
+  FROM deep, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz), range(0, {_B}) t(l)
+  WHERE l <= level - 2 AND least(x + dx, y + dy, z + dz) >= 0 AND greatest(x + dx, y + dy, z + dz) < (1 << level)),
+wrong AS (SELECT DISTINCT n.level::INT AS level, n.prefix FROM near n JOIN {cells} c ON c.level = n.l AND c.prefix = n.p)"""
+
+
+@query(f"{_STEEP}, {_balanced(bits=_B)} SELECT level::INT AS level, prefix FROM balanced")
 def balance_octree(spark, sf_dir):
-    return tree.balance(steep_leaves(spark, sf_dir))
+    return tree.balance(fine_leaves(spark, sf_dir))
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query(f"{_STEEP}, {_balanced(bits=_B)}, {_unbalanced('balanced')} SELECT count(*) AS violations FROM wrong")
 def balance_violations(spark, sf_dir):
-    return tree.unbalanced(tree.balance(steep_leaves(spark, sf_dir))).agg(F.count("*").alias("violations"))
+    return tree.unbalanced(tree.cut(tree.balance(fine_leaves(spark, sf_dir)))).agg(F.count("*").alias("violations"))
 
 
-@query(
-    _STEEP + f""", fine AS (SELECT level, prefix, {_decode("prefix", 0)} AS x, {_decode("prefix", 1)} AS y, {_decode("prefix", 2)} AS z FROM leaves WHERE level > 1),
-near AS (SELECT DISTINCT level, prefix, l, {_encode("(x + dx)", "(y + dy)", "(z + dz)")} >> (3 * (level - l)) AS p
-  FROM fine, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz), range(0, {DEPTH}) t(l)
-  WHERE l <= level - 2 AND least(x + dx, y + dy, z + dz) >= 0 AND greatest(x + dx, y + dy, z + dz) < (1 << level))
-SELECT DISTINCT n.level::INT AS level, n.prefix FROM near n JOIN leaves c ON c.level = n.l AND c.prefix = n.p"""
-)
+@query(f"{_STEEP}, {_unbalanced('leaves')} SELECT level, prefix FROM wrong")
 def unbalanced_leaves(spark, sf_dir):
-    return tree.unbalanced(steep_leaves(spark, sf_dir))
+    return tree.unbalanced(tree.cut(fine_leaves(spark, sf_dir)))
 
 
-@query(f"{_STEEP}, {_balanced(directions='dx * dy * dz = 0')} SELECT level::INT AS level, prefix FROM balanced")
+@query(f"{_STEEP}, {_balanced(directions='dx * dy * dz = 0', bits=_B)} SELECT level::INT AS level, prefix FROM balanced")
 def balance_without_corners(spark, sf_dir):
-    return tree.balance(steep_leaves(spark, sf_dir), corners=False)
+    return tree.balance(fine_leaves(spark, sf_dir), corners=False)
 
 
 @query(
-    f"""{_STEEP}, {_balanced()}, one AS (SELECT level, prefix FROM balanced), two AS (SELECT level, prefix FROM leaves)
+    f"""{_STEEP}, {_balanced(bits=_B)}, one AS (SELECT level, prefix FROM balanced), two AS (SELECT level, prefix FROM leaves)
 SELECT level::INT AS level, prefix, side FROM (SELECT *, 1 AS side FROM (FROM one EXCEPT ALL FROM two) UNION ALL SELECT *, 2 FROM (FROM two EXCEPT ALL FROM one))"""
 )
 def tree_difference(spark, sf_dir):
-    steep = tree.cut(steep_leaves(spark, sf_dir))
-    return tree.difference(tree.balance(steep), steep)
-
-
-@query()
-def whole_balance(spark, sf_dir):
-    """As balance_octree, of the tree of every order line."""
-    return tree.balance(whole_leaves(spark, sf_dir))
-
-
-@query()
-def whole_violations(spark, sf_dir):
-    return tree.unbalanced(tree.balance(whole_leaves(spark, sf_dir))).agg(F.count("*").alias("violations"))
-
-
-@query()
-def whole_unbalanced(spark, sf_dir):
-    return tree.unbalanced(tree.cut(whole_leaves(spark, sf_dir)))
-
-
-@query()
-def whole_without_corners(spark, sf_dir):
-    return tree.balance(whole_leaves(spark, sf_dir), corners=False)
-
-
-@query()
-def whole_difference(spark, sf_dir):
-    leaves = tree.cut(whole_leaves(spark, sf_dir))
-    return tree.difference(tree.balance(leaves), leaves)
-
-
-def whole_cells(spark, sf_dir) -> DataFrame:
-    fine = whole_lines(spark, sf_dir).select(F.lit(WHOLE_DEPTH).alias("level"), F.col("key").alias("prefix")).distinct()
-    return fine.unionByName(fine.select(F.lit(4).alias("level"), K.up("prefix", WHOLE_DEPTH - 4).alias("prefix")))
-
-
-@query()
-def whole_complete(spark, sf_dir):
-    """As complete_octree, of the cells of every order line."""
-    return tree.complete(whole_cells(spark, sf_dir))
-
-
-@query()
-def whole_linearise(spark, sf_dir):
-    return tree.linearise(whole_cells(spark, sf_dir))
+    cells = tree.cut(fine_leaves(spark, sf_dir))
+    return tree.difference(tree.balance(cells), cells)
 
 
 @query(f"WITH {KEYED}, flat AS (SELECT {_encode('x', 'y')} AS key FROM keyed), {_tree_sql(source='flat', dim=2)} SELECT level::INT AS level, prefix FROM leaves")
@@ -711,29 +680,6 @@ def mesh_nodes(spark, sf_dir):
     return mesh.nodes(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH), MESH_DEPTH)
 
 
-def whole_mesh(spark, sf_dir) -> DataFrame:
-    """Elements of the balanced tree of every order line."""
-    return mesh.elements(tree.cut(tree.balance(whole_leaves(spark, sf_dir))), WHOLE_DEPTH)
-
-
-@query()
-def whole_hanging(spark, sf_dir):
-    """As hanging_vertices, on a mesh that grows with the order lines."""
-    return mesh.hanging(tree.cut(tree.balance(whole_leaves(spark, sf_dir))), WHOLE_DEPTH)
-
-
-@query()
-def whole_elements(spark, sf_dir):
-    return whole_mesh(spark, sf_dir)
-
-
-@query()
-def whole_product(spark, sf_dir):
-    """As matrix_vector, on a mesh that grows with the order lines."""
-    elements = tree.cut(whole_mesh(spark, sf_dir))
-    return fem.times(fem.matrix(elements, WHOLE_DEPTH, 1.0, 1.0), _linear(mesh.nodes(elements, WHOLE_DEPTH)))
-
-
 @query(
     _MESH + f""", node AS (SELECT nx, ny, nz, row_number() OVER (ORDER BY {_encode("nx", "ny", "nz")}) - 1 AS node FROM (SELECT DISTINCT nx, ny, nz FROM element)),
 cell AS (SELECT level, prefix, row_number() OVER (ORDER BY prefix << (3 * ({_D} - level))) - 1 AS element FROM balanced)
@@ -781,6 +727,13 @@ def _linear(nodes: DataFrame) -> DataFrame:
     _FEM + f", {_product('n.u')} SELECT nx, ny, nz, {_units('value')} AS value FROM product"
 )
 def matrix_vector(spark, sf_dir):
+    elements = tree.cut(mesh.elements(tree.cut(mesh_tree(spark, sf_dir)), MESH_DEPTH))
+    return fem.product(elements, _linear(mesh.nodes(elements, MESH_DEPTH)), 1.0, 1.0).select(*mesh.AT, _snapped())
+
+
+@query(_FEM + f", {_product('n.u')} SELECT nx, ny, nz, {_units('value')} AS value FROM product")
+def assembled_product(spark, sf_dir):
+    """As matrix_vector, with the assembled matrix."""
     elements, operator = _assembled(spark, sf_dir)
     return fem.times(operator, _linear(mesh.nodes(elements, MESH_DEPTH))).select(*mesh.AT, _snapped())
 

@@ -115,6 +115,32 @@ def matrix(mesh: DataFrame, depth: int, stiffness: float | Column = 1.0, mass: f
     return _coupled(mesh, coefficients).groupBy(*AT, "mx", "my", "mz").agg(F.sum(value).alias("value"))
 
 
+def product(mesh: DataFrame, values: DataFrame, stiffness: float | Column = 1.0, mass: float | Column = 0.0, coefficients: DataFrame | None = None) -> DataFrame:
+    """``matrix`` times nodal values (nx, ny, nz, value) without the matrix:
+    each element multiplies in its own row and sends its eight parts, which are
+    summed by node."""
+    cells = gathered(mesh, values)
+    if coefficients is not None:
+        cells = cells.join(coefficients, ["level", "prefix"])
+    cells = cut(cells)
+    slopes, weight = unit_matrices()
+    rows = []
+    for c, m in classes(cells):  # 8 * 256 at most
+        q = constraint(c, m)
+        stiff = np.einsum("ki,kala,lj->ij", q, slopes, q)
+        rows.append((c, m, stiff.reshape(-1).tolist(), (q.T @ weight @ q).reshape(-1).tolist()))
+    table = F.broadcast(mesh.sparkSession.createDataFrame(rows, "child int, mask int, _k array<double>, _m array<double>"))
+    h, eight = F.pow(F.lit(0.5), F.col("level")), F.sequence(F.lit(0), F.lit(7))
+    each = cells.join(table, ["child", "mask"]).withColumns({"_a": F.lit(stiffness) * h, "_b": F.lit(mass) * h * h * h})
+
+    def row(i: Column) -> Column:
+        entry = lambda j: F.get("_k", i * 8 + j) * F.col("_a") + F.get("_m", i * 8 + j) * F.col("_b")
+        return F.struct(F.get("nodes", i).alias("node"), F.aggregate(eight, F.lit(0.0), lambda s, j: s + entry(j) * F.get("nodal", j)).alias("part"))
+
+    parts = each.select(F.explode(F.transform(eight, row)).alias("_p")).select("_p.node.*", "_p.part")
+    return parts.groupBy(*AT).agg(F.sum("part").alias("value"))
+
+
 def elastic_matrix(mesh: DataFrame, depth: int, mu: float | Column = 1.0, lam: float | Column = 1.0, coefficients: DataFrame | None = None) -> DataFrame:
     """The operator of linear elasticity, mu (grad u : grad v) + (mu + lam)
     (div u) (div v), as (nx, ny, nz, dof, mx, my, mz, mdof, value) with the

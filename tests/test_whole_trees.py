@@ -5,8 +5,9 @@ import random
 import pytest
 
 from leafgrid import catalog
+from leafgrid.operators import fem, mesh, tree
 
-DEPTH, MOST = catalog.WHOLE_DEPTH, catalog.MOST
+DEPTH, MOST = catalog.FINE_DEPTH, catalog.MOST
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("whole"))
     spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_linestatus string, l_quantity double").write.parquet(f"{at}/lineitem.parquet")
     side = 1 << DEPTH
-    return at, [(a % side, (b % side) ** 2 // side, (c % side) ** 2 // side) for a, b, c, *_ in rows]
+    return at, [(a % side, (b % side) ** 2 // side, side // 2 - 1 - (c % side) ** 2 // (2 * side)) for a, b, c, *_ in rows]
 
 
 def key(x, y, z, bits=DEPTH):
@@ -65,22 +66,22 @@ def test_whole_trees_hold_every_order_line(spark, folder):
     leaves = split(keys)
     even = balanced(leaves)
     assert len(even) > len(leaves)
-    assert rows(spark, "whole_balance", at) == sorted(even)
-    assert rows(spark, "whole_violations", at) == [(0,)]
-    assert rows(spark, "whole_without_corners", at) == sorted(balanced(leaves, False))
-    assert rows(spark, "whole_unbalanced", at) == sorted(c for c in leaves if too_coarse(leaves, *c))
-    assert rows(spark, "whole_difference", at) == sorted([(*c, 1) for c in even - leaves] + [(*c, 2) for c in leaves - even])
+    assert rows(spark, "balance_octree", at) == sorted(even)
+    assert rows(spark, "balance_violations", at) == [(0,)]
+    assert rows(spark, "balance_without_corners", at) == sorted(balanced(leaves, False))
+    assert rows(spark, "unbalanced_leaves", at) == sorted(c for c in leaves if too_coarse(leaves, *c))
+    assert rows(spark, "tree_difference", at) == sorted([(*c, 1) for c in even - leaves] + [(*c, 2) for c in leaves - even])
 
 
 def test_whole_cells_are_those_of_every_order_line(spark, folder):
     at, points = folder
     keys = {key(*p) for p in points}
     inner = {(l, k >> 3 * (DEPTH - l)) for k in keys for l in range(DEPTH)}
-    assert rows(spark, "whole_linearise", at) == sorted((DEPTH, k) for k in keys)
-    assert rows(spark, "whole_complete", at) == sorted({(l + 1, p * 8 + c) for l, p in inner for c in range(8)} - inner)
+    assert rows(spark, "linearise", at) == sorted((DEPTH, k) for k in keys)
+    assert rows(spark, "complete_octree", at) == sorted({(l + 1, p * 8 + c) for l, p in inner for c in range(8)} - inner)
 
 
-def test_whole_meshes_keep_their_hanging_vertices(spark, folder):
+def test_meshes_of_whole_trees_keep_their_hanging_vertices(spark, folder):
     at, points = folder
     even = balanced(split([key(*p) for p in points]))
     own = set()
@@ -91,10 +92,15 @@ def test_whole_meshes_keep_their_hanging_vertices(spark, folder):
             sides = [[(n - s) // size for s in (0, 1) if 0 <= n - s < 1 << DEPTH] for n in c]
             if l and any(n % size for n in c) and any((l - 1, key(x, y, z)) in even for x in sides[0] for y in sides[1] for z in sides[2]):
                 own.add((l, p, v))
-    assert own and rows(spark, "whole_hanging", at) == sorted(own)
-    elements = catalog.QUERIES["whole_elements"](spark, at).collect()
+    cells = tree.cut(tree.balance(catalog.fine_leaves(spark, at)))
+    assert own and sorted(map(tuple, mesh.hanging(cells, DEPTH).collect())) == sorted(own)
+    grid = tree.cut(mesh.elements(cells, DEPTH))
+    elements = grid.collect()
     assert len(elements) == 8 * len(even)
     assert {(r.level, r.prefix, r.vertex) for r in elements if r.hangs} == own
     # a linear field's stiffness sums to 0, its mass to its integral
-    got = catalog.QUERIES["whole_product"](spark, at).collect()
+    nodal = catalog._linear(mesh.nodes(grid, DEPTH))
+    got = fem.product(grid, nodal, 1.0, 1.0).collect()
     assert sum(r.value for r in got) == pytest.approx(3 * (1 << DEPTH))
+    assembled = {tuple(r)[:3]: r.value for r in fem.times(fem.matrix(grid, DEPTH, 1.0, 1.0), nodal).collect()}
+    assert {tuple(r)[:3]: pytest.approx(r.value, abs=1e-9) for r in got} == assembled

@@ -127,6 +127,17 @@ def is_ancestor(level: Column, prefix: Column, other_level: Column, other: Colum
     return (level < other_level) & (up(other, F.greatest(other_level - level, F.lit(0)), dim) == prefix)
 
 
+def comparable(level: Column, prefix: Column, other_level: Column, other: Column, dim: int = 3) -> Column:
+    """Whether two cells overlap: one is the other or contains it."""
+    least = F.least(level, other_level)
+    return up(prefix, level - least, dim) == up(other, other_level - least, dim)
+
+
+def cell_centre(*position_: Column, depth: int) -> list[Column]:
+    """Centre in the unit cube of an integer position at full depth."""
+    return [(p + 0.5) / F.lit(float(2**depth)) for p in position_]
+
+
 def next_cell(level: Column, prefix: Column, dim: int = 3) -> tuple[Column, Column]:
     """(level, prefix) of the coarsest cell that starts where a cell ends; for
     the last cell of the domain the root's successor (0, 1)."""

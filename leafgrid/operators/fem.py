@@ -141,6 +141,16 @@ def product(mesh: DataFrame, values: DataFrame, stiffness: float | Column = 1.0,
     return parts.groupBy(*AT).agg(F.sum("part").alias("value"))
 
 
+def vector_mass(mesh: DataFrame, values: DataFrame, dofs: int = 3) -> DataFrame:
+    """The mass operator times a field (nx, ny, nz, dof, value) with the same
+    operator for each of its components."""
+    out = None
+    for k in range(dofs):
+        each = product(mesh, values.filter(F.col("dof") == k), 0.0, 1.0).withColumn("dof", F.lit(k))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 def elastic_matrix(mesh: DataFrame, depth: int, mu: float | Column = 1.0, lam: float | Column = 1.0, coefficients: DataFrame | None = None) -> DataFrame:
     """The operator of linear elasticity, mu (grad u : grad v) + (mu + lam)
     (div u) (div v), as (nx, ny, nz, dof, mx, my, mz, mdof, value) with the

@@ -84,6 +84,12 @@ def l2_error(mesh: DataFrame, values: DataFrame, formula: Formula) -> float:
     return cells.agg(F.coalesce(F.sum(_integral(square)), F.lit(0.0))).first()[0] ** 0.5
 
 
+def extremes(values: DataFrame, expected: Column) -> DataFrame:
+    """(least, most, error): of a nodal field its extremes and the largest
+    distance from what is ``expected`` (over nx, ny, nz)."""
+    return values.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.max(F.abs(F.col("value") - expected)).alias("error"))
+
+
 def at_points(points: DataFrame, mesh: DataFrame, values: DataFrame, depth: int) -> DataFrame:
     """``points`` with coordinates x, y, z in [0, 1), with the field's ``value``
     there and its slopes ``dx``, ``dy``, ``dz``.  Points outside are left out."""

@@ -9,6 +9,7 @@ their lineage in the shared folder.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +22,14 @@ OCTANT = ("level", "prefix")
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints ``df`` in ``spark.checkpoint.dir``, or, only where that is
-    unset, in a temporary folder."""
+    unset and the master is this machine, in a temporary folder."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafgrid-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafgrid-"))
     return df.checkpoint(eager=True)
 
 
@@ -57,18 +62,41 @@ def construct(points: DataFrame, depth: int, most: int, dim: int = 3, key: str =
     """The complete octree of points with a full-depth ``key``: a cell above
     ``depth`` is split iff it has over ``most`` points.  Repeated points count;
     empty leaves are part of the tree; no points make the root."""
-    each = points.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
-    by_level = each.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))) if depth else each.withColumn("level", F.lit(0)).limit(0)
-    counts = by_level.groupBy("level", K.up("_k", F.lit(depth) - F.col("level"), dim).alias("prefix")).agg(F.sum("_n").alias("_n"))
-    return _leaves_below(counts.filter(F.col("_n") > most).select(*OCTANT), dim)
+    internal = _rolled(_counted(points, key), depth, dim, lambda n, level: (n > most) & (level < depth))
+    return _leaves_below(internal.select(*OCTANT), dim)
+
+
+#: Levels that one step of a roll-up lists.
+STRIDE = 4
+
+
+def _counted(points: DataFrame, key: str) -> DataFrame:
+    return points.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("prefix")).agg(F.count("*").alias("_n"))
+
+
+def _rolled(counts: DataFrame, depth: int, dim: int, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """(level, prefix, _n) of the cells of all levels that hold points and pass
+    ``keep``, from ``counts`` (prefix, _n) at full depth: STRIDE levels at a
+    time, each step from the sums of the one before, of which there are fewer
+    and fewer."""
+    out, at, top = None, counts, depth
+    while top >= 0:
+        low = max(top - STRIDE + 1, 0)
+        each = at.withColumn("level", F.explode(F.sequence(F.lit(low), F.lit(top))))
+        rows = each.groupBy("level", K.up("prefix", F.lit(top) - F.col("level"), dim).alias("prefix")).agg(F.sum("_n").alias("_n"))
+        if low:
+            rows = cut(rows)
+            at = rows.filter(F.col("level") == low).select(F.shiftright("prefix", dim).alias("prefix"), "_n")
+        kept = rows.filter(keep(F.col("_n"), F.col("level")))
+        out = kept if out is None else out.unionByName(kept)
+        top = low - 1
+    return out
 
 
 def leaf_counts(points: DataFrame, leaves: DataFrame, depth: int, dim: int = 3, key: str = "key") -> DataFrame:
     """Leaves with ``n``, the number of points in each, 0 included."""
-    each = points.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
-    by_level = each.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    cells = by_level.select("level", K.up("_k", F.lit(depth) - F.col("level"), dim).alias("prefix"), "_n")
-    counts = cells.join(leaves, list(OCTANT), "left_semi").groupBy(*OCTANT).agg(F.sum("_n").alias("n"))
+    cells = _rolled(_counted(points, key), depth, dim, lambda n, level: n > 0)
+    counts = cells.select(*OCTANT, F.col("_n").alias("n"))
     return leaves.join(counts, list(OCTANT), "left").select(*OCTANT, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -136,6 +164,20 @@ def balance(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     return cells.join(inner, list(OCTANT), "left_anti")
 
 
+def balance_candidates(cells: DataFrame, depth: int, dim: int = 3, corners: bool = True) -> DataFrame:
+    """(level, prefix, at, candidate): the cells that may lie around each of
+    ``cells`` in a balanced tree, those of its own level, of the next coarser
+    one outside its parent, and of the next finer one, down to ``depth``."""
+    around = cells.select(*OCTANT, F.explode(K.neighbours(F.col("level"), F.col("prefix"), dim, corners)).alias("_n"))
+    own = F.array(F.struct(F.col("level").alias("at"), F.col("_n").alias("candidate")))
+    above = F.struct((F.col("level") - 1).alias("at"), F.shiftright("_n", dim).alias("candidate"))
+    outside = (F.col("level") > 0) & (F.shiftright("_n", dim) != F.shiftright("prefix", dim))
+    finer = F.transform(K.children("_n", dim), lambda c: F.struct((F.col("level") + 1).alias("at"), c.alias("candidate")))
+    none = F.filter(own, lambda _: F.lit(False))
+    every = F.concat(own, F.when(outside, F.array(above)).otherwise(none), F.when(F.col("level") < depth, finer).otherwise(none))
+    return around.select(*OCTANT, F.explode(every).alias("_c")).select(*OCTANT, "_c.*").distinct()
+
+
 def between(first: tuple[int, int], second: tuple[int, int], like: DataFrame, depth: int, dim: int = 3, low: bool = False, high: bool = False) -> DataFrame:
     """The coarsest cells strictly between two cells on the curve, with the
     ends if asked."""

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import fem, mesh, search, tree
 
-#: The coarsest grid is solved on the driver if it has no more unknowns.
-DIRECT = 1000
+#: The coarsest grid is solved on the driver if it has no more unknowns: by a
+#: dense inverse, or up to the second bound by iteration over its entries.
+DIRECT, SMALL = 1000, 40_000
 
 
 def hierarchy(leaves: DataFrame, levels: int, fewest: int = 500, dim: int = 3) -> list[DataFrame]:
@@ -71,33 +72,57 @@ def restrict(table: DataFrame, fine_values: DataFrame) -> DataFrame:
     return _moved(table, fine_values, mesh.AT, [F.col(m).alias(n) for n, m in zip(mesh.AT, ("mx", "my", "mz"), strict=True)])
 
 
-def direct_solver(operator: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Exact solutions on the driver, for an operator of a counted, small number
-    of unknowns; the least ones if it is singular."""
+def _relaxed(row: np.ndarray, column: np.ndarray, value: np.ndarray, right: np.ndarray, tolerance: float = 1e-11) -> np.ndarray:
+    """Conjugate gradients, scaled by the diagonal, over a matrix's entries."""
+    n = len(right)
+    scale = np.bincount(row[row == column], value[row == column], n)
+    x, r = np.zeros(n), right.copy()
+    z = r / scale
+    p, rz, first = z, r @ z, max(float(right @ right), 1e-300) ** 0.5
+    for _ in range(20 * n):
+        if (r @ r) ** 0.5 <= tolerance * first:
+            break
+        q = np.bincount(row, value * p[column], n)
+        step = rz / (p @ q)
+        x, r = x + step * p, r - step * q
+        z = r / scale
+        old, rz = rz, r @ z
+        p = z + rz / old * p
+    return x
+
+
+def direct_solver(operator: DataFrame, dense: int = DIRECT) -> Callable[[DataFrame], DataFrame]:
+    """Solutions on the driver, for an operator of a counted, small number of
+    unknowns; the least ones if it is singular."""
     keys = [k for k in fem.OTHER if k in operator.columns]
-    rows = operator.select(*keys, *(fem.OTHER[k] for k in keys), "value").collect()
-    places = sorted({tuple(r[: len(keys)]) for r in rows})
-    at = {p: i for i, p in enumerate(places)}
-    matrix = np.zeros((len(at), len(at)))
-    for r in rows:
-        matrix[at[tuple(r[: len(keys)])], at[tuple(r[len(keys) : -1])]] += r[-1]
-    inverse = np.linalg.pinv(matrix, rcond=1e-12, hermitian=True)
+    table = operator.select(*keys, *(fem.OTHER[k] for k in keys), "value").toArrow()
+    columns = [table.column(k).to_numpy().astype(np.int64) for k in range(2 * len(keys))]
+    both = [np.stack(columns[: len(keys)], 1), np.stack(columns[len(keys) :], 1)]
+    places, at = np.unique(np.concatenate(both), axis=0, return_inverse=True)
+    row, column = np.split(at.reshape(-1), 2)
+    value = table.column(2 * len(keys)).to_numpy()
+    inverse = None
+    if len(places) <= dense:
+        matrix = np.zeros((len(places), len(places)))
+        np.add.at(matrix, (row, column), value)
+        inverse = np.linalg.pinv(matrix, rcond=1e-12, hermitian=True)
+    number = {tuple(p): k for k, p in enumerate(places.tolist())}
     schema = ", ".join(f"{k} {operator.schema[k].dataType.simpleString()}" for k in keys) + ", value double"
 
     def apply(r: DataFrame) -> DataFrame:
-        right = np.zeros(len(at))
-        for row in r.select(*keys, "value").collect():
-            right[at[tuple(row[:-1])]] += row[-1]
-        found = inverse @ right
-        return operator.sparkSession.createDataFrame([(*p, float(v)) for p, v in zip(places, found, strict=True)], schema)
+        right = np.zeros(len(places))
+        for *place, v in r.select(*keys, "value").collect():
+            right[number[tuple(place)]] += v
+        found = inverse @ right if inverse is not None else _relaxed(row, column, value, right)
+        return operator.sparkSession.createDataFrame([(*p, float(v)) for p, v in zip(places.tolist(), found, strict=True)], schema)
 
     return apply
 
 
-def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float = 0.6, coarse_rounds: int = 8, direct: int = DIRECT) -> Callable[[DataFrame], DataFrame]:
+def v_cycle(operators: list[DataFrame], tables: list[DataFrame], damping: float = 0.6, coarse_rounds: int = 8, direct: int = SMALL) -> Callable[[DataFrame], DataFrame]:
     """A preconditioner: on every grid but the last a Jacobi step, a correction
-    from the next grid, a Jacobi step; on the last an exact solution if it has at
-    most ``direct`` unknowns, otherwise conjugate gradients.
+    from the next grid, a Jacobi step; on the last a solution on the driver if it
+    has at most ``direct`` unknowns, otherwise conjugate gradients.
     ``tables[k]`` is the transfer between the grids k and k + 1."""
     inverses = [tree.cut(fem.diagonal(m).withColumn("value", damping / F.col("value")).withColumnRenamed("value", "_d")) for m in operators[:-1]]
 

@@ -56,14 +56,15 @@ class Grids:
         return [tree.cut(make(m, c)) for m, c in zip(self.meshes, given, strict=True)]
 
 
-def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str | None = None, free_mean: bool = False, sequenced: bool = False, rounds: int = 10, tolerance: float = 1e-8, must: bool = False) -> tuple[DataFrame, float]:
+def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str | None = None, free_mean: bool = False, sequenced: bool = False, rounds: int = 10, tolerance: float = 1e-8, must: bool = False, small: int = 0) -> tuple[DataFrame, float]:
     """The solution (nx, ny, nz[, dof], value) and the norm of its residual.
 
     ``fixed``: a condition on nodes (nx, ny, nz, boundary), such as "boundary >
     0", where the solution is 0.  ``free_mean``: constants are solutions of the
     homogeneous problem, so the right-hand side is first made to sum to 0.
     ``sequenced``: the next coarser grid's solution is the first guess.
-    ``must``: fail where the tolerance is not met after ``rounds``.
+    ``must``: fail where the tolerance is not met after ``rounds``.  ``small``:
+    a single grid of at most so many unknowns (counted) is solved on the driver.
     """
     tables = grids.tables
     if fixed:
@@ -81,6 +82,10 @@ def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str
 
     def on_grid(k: int, start: DataFrame | None) -> tuple[DataFrame, float]:
         rest = operators[k:]
+        if len(rest) == 1 and fem.diagonal(rest[0]).limit(small + 1).count() <= small:
+            found = tree.cut(multigrid.direct_solver(rest[0])(rights[k]))
+            off = fem.axpy(-1.0, fem.times(rest[0], found), rights[k])
+            return found, fem.dot(off, off) ** 0.5
         if len(rest) > 1:
             condition = multigrid.v_cycle(rest, tables[k:])
         else:
@@ -98,7 +103,8 @@ def solve(grids: Grids, operators: list[DataFrame], right: DataFrame, fixed: str
     found, residual = on_grid(0, start)
     if must and not residual <= tolerance * max(fem.dot(rights[0], rights[0]), 1e-300) ** 0.5:
         raise ArithmeticError(f"the residual is {residual:g} after {rounds} rounds")
-    if fixed:  # nodes that are fixed have no row yet
+    if fixed:
+        found = found.join(held[0], mesh.AT, "left_anti")
         dofs = [c for c in ("dof",) if c in found.columns]
         zeros = held[0].withColumn("value", F.lit(0.0))
         if dofs:

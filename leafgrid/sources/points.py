@@ -8,6 +8,8 @@ for each, positions in cells of full depth.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..operators import search
 
 
 def read_pts(spark: SparkSession, path: str, values: bool = False) -> DataFrame:
@@ -67,14 +70,56 @@ def read_octree(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def octree_lines(cells: DataFrame, depth: int, dim: int = 3) -> DataFrame:
-    """(ordinal, value): the lines of an ``.ot`` file, in curve order by
-    ``ordinal``; the header has the ordinals -2 and -1."""
+    """(ordinal, level, value): the lines of an ``.ot`` file, in curve order by
+    ``ordinal`` and ``level``; the header has the ordinals -2 and -1."""
     key = K.first_key(F.col("level"), F.col("prefix"), depth, dim)
-    body = cells.select((key * 32 + F.col("level")).alias("ordinal"), F.concat_ws(" ", *(p for p in K.position(key, dim)), F.col("level")).alias("value"))
-    head = cells.agg(F.array(F.lit(f"{dim} {depth}"), F.count("*").cast("string")).alias("h")).select(F.posexplode("h").alias("i", "value")).select((F.col("i") - 2).cast("long").alias("ordinal"), "value")
+    body = cells.select(key.alias("ordinal"), F.col("level").cast("int").alias("level"), F.concat_ws(" ", *(p for p in K.position(key, dim)), F.col("level")).alias("value"))
+    head = cells.agg(F.array(F.lit(f"{dim} {depth}"), F.count("*").cast("string")).alias("h")).select(F.posexplode("h").alias("i", "value")).select((F.col("i") - 2).cast("long").alias("ordinal"), F.lit(0).alias("level"), "value")
     return head.unionByName(body)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="leafgrid-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Writes the column ``value`` as text files, by the executors: the lines
+    in ``order`` when the files are read by name."""
+    lines.orderBy(*order).select("value").write.text(path)
+
+
+def vtk_octree_lines(cells: DataFrame, depth: int, bits: int = 9) -> DataFrame:
+    """(section, ordinal, value): the lines of a VTK file of the cells (level,
+    prefix, owner) as voxels with their owner, in the order of the first two:
+    head, points in units of full depth, cells, their types, their owners."""
+    named = search.numbered(cells.select("level", "prefix", "owner", K.first_key(F.col("level"), F.col("prefix"), depth).alias("key")), ["key"], F.shiftright("key", bits))
+    each = named.select("id", "owner", "level", *(p.alias(a) for a, p in zip(K.AXES, K.position("prefix"), strict=True)))
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth) - F.col("level")).cast("int"))
+    corner = each.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    at = [((F.col(a) + F.shiftright("c", k).bitwiseAND(F.lit(1))) * step).cast("string") for k, a in enumerate(K.AXES)]
+    body = [
+        corner.select(F.lit(1).alias("section"), (F.col("id") * 8 + F.col("c")).alias("ordinal"), F.concat_ws(" ", *at).alias("value")),
+        named.select(F.lit(2).alias("section"), F.col("id").alias("ordinal"), F.concat_ws(" ", F.lit("8"), *((F.col("id") * 8 + k).cast("string") for k in range(8))).alias("value")),
+        named.select(F.lit(3).alias("section"), F.col("id").alias("ordinal"), F.lit("11").alias("value")),
+        named.select(F.lit(4).alias("section"), F.col("id").alias("ordinal"), F.col("owner").cast("string").alias("value")),
+    ]
+    n = F.count("*")
+    head = [(0, k, F.lit(v)) for k, v in enumerate(("# vtk DataFile Version 2.0", "octree", "ASCII", "DATASET UNSTRUCTURED_GRID"))]
+    head += [(1, -1, F.concat(F.lit("POINTS "), n * 8, F.lit(" int"))), (2, -1, F.concat(F.lit("CELLS "), n, F.lit(" "), n * 9)), (3, -1, F.concat(F.lit("CELL_TYPES "), n)), (4, -3, F.concat(F.lit("CELL_DATA "), n))]
+    head += [(4, -2, F.lit("SCALARS owner int")), (4, -1, F.lit("LOOKUP_TABLE default"))]
+    rows = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(o).cast("long").alias("ordinal"), v.alias("value")) for s, o, v in head))
+    out = cells.agg(rows.alias("h")).select(F.explode("h").alias("r")).select("r.*")
+    for part in body:
+        out = out.unionByName(part)
+    return out
+
+
 def vtk_corners(cells: DataFrame, dim: int = 3) -> DataFrame:
     """(level, prefix, corner, x, y, z): the corners of each cell in the unit
     cube, in the order of a VTK voxel (cell type 11)."""

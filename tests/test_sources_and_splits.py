@@ -43,3 +43,13 @@ def test_block_boundary_and_difference(spark):
     assert cells.count() - tree.block_boundary(cells, 0).count() == 6**3
     assert tree.difference(cells, cells).count() == 0
     assert {r.side for r in tree.difference(cells, tree.regular(spark, 2)).collect()} == {1, 2}
+
+
+def test_trees_of_full_depth_are_written_and_read(spark, tmp_path):
+    last = (1 << 3 * 20) - 1
+    cells = [(20, last), (20, 0), (1, 3), (20, last - 9)]
+    table = spark.createDataFrame(cells, "level int, prefix bigint")
+    at = str(tmp_path / "tree")
+    files.write_lines(files.octree_lines(table, 20), at, ["ordinal", "level"])
+    rows, depth = files.read_octree(spark, at)
+    assert depth == 20 and sorted(map(tuple, rows.collect())) == sorted(cells)

@@ -55,25 +55,24 @@ def word_weights(labelled: DataFrame, domains: list[str]) -> DataFrame:
 
 
 def posteriors(rows: DataFrame, weights: DataFrame, width: int) -> DataFrame:
-    """(row, n, p0, p1, ...) for each of (row, text): its words, and its share
-    of each of ``width`` domains, the softmax of the sums of its words' weights.
+    """(row, n, p0, p1, ...) and other columns for each of (row, text, ...): its
+    words, and its share of each of ``width`` domains, the softmax of the sums of its words' weights.
     A long text has those of ``EVIDENCE`` words (its mean weight that often), as
     neighbouring words are not independent."""
-    k = range(width)
-    # BUCKETS rows at most, and one for the place of texts without words
-    table = weights.unionByName(weights.sparkSession.range(1).select(F.lit(-1).alias("bucket"), *(F.lit(0.0).alias(f"w{j}") for j in k)))
-    words = rows.select("row", _words(F.col("text")).alias("words"))
-    each = words.select("row", F.size("words").cast("long").alias("n"), F.explode(F.concat(F.transform("words", _bucket), F.array(F.lit(-1)))).alias("bucket"))
-    sums = each.join(F.broadcast(table), "bucket", "left").groupBy("row").agg(F.first("n").alias("n"), *(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)).alias(f"s{j}") for j in k))
+    k, more = range(width), [c for c in rows.columns if c not in ("row", "text")]
+    words = rows.select("row", *more, _words(F.col("text")).alias("words"))
+    # a text without words keeps a row; BUCKETS weights at most are broadcast
+    each = words.select("row", *more, F.size("words").cast("long").alias("n"), F.explode_outer("words").alias("word")).withColumn("bucket", _bucket(F.col("word")))
+    sums = each.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(*(F.first(c).alias(c) for c in (*more, "n")), *(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)).alias(f"s{j}") for j in k))
     share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest("n", F.lit(1)))
-    sums = sums.select("row", "n", F.array(*(F.col(f"s{j}") * share for j in k)).alias("s")).withColumn("top", F.array_max("s"))
-    odds = sums.select("row", "n", F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
+    sums = sums.select("row", *more, "n", F.array(*(F.col(f"s{j}") * share for j in k)).alias("s")).withColumn("top", F.array_max("s"))
+    odds = sums.select("row", *more, "n", F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
     whole = F.aggregate("e", F.lit(0.0), lambda t, x: t + x)
-    near = odds.select("row", "n", F.transform("e", lambda x: F.round(x / whole, GRAIN)).alias("p"))
+    near = odds.select("row", *more, "n", F.transform("e", lambda x: F.round(x / whole, GRAIN)).alias("p"))
     # the largest share takes what rounding leaves, so that all sum to 1
     top = F.array_position("p", F.array_max("p")) - 1
     rest = F.aggregate("p", F.lit(1.0), lambda t, x: t - x)
-    return near.select("row", "n", *(F.round(F.get("p", F.lit(j)) + F.when(top == j, rest).otherwise(0.0), GRAIN).alias(f"p{j}") for j in k))
+    return near.select("row", *more, "n", *(F.round(F.get("p", F.lit(j)) + F.when(top == j, rest).otherwise(0.0), GRAIN).alias(f"p{j}") for j in k))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -121,8 +120,8 @@ def fit_rates(table: DataFrame, targets: list[float], min_rate: float, steps: in
 
 
 def _fitted(rows: DataFrame, docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, min_rate: float, keep_all: bool, sample: int, tables: Tables) -> tuple[DataFrame, bool]:
-    """(row, n, p0, ..., rate) for each of ``rows`` (row, text), a table of
-    ``tables`` inside, and whether all targets are met."""
+    """(row, n, p0, ..., rate) and other columns for each of ``rows`` (row,
+    text, ...), from a table, and whether all targets are met."""
     domains = sorted(targets)
     whole = float(sum(targets.values()))
     chosen = labelled_sample(docs, labelled, id_col, text_col, "label", sample, tables).filter(F.col("label").isin(domains))
@@ -164,10 +163,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     empty table gives an empty result.
     """
     with Tables(docs.sparkSession) as tables:
-        # no text has a row number twice, and equal rows have equal chances
-        source = tables.result(only(docs, id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text", _chance("id", "text").alias("chance")))
-        table, met = _fitted(source.select("row", "text"), docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
-    made = source.select("row", "id", "chance").join(table, "row")
+        # equal rows have equal chances
+        source = only(docs, id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text", _chance("id", "text").alias("chance"))
+        made, met = _fitted(source, docs, labelled, targets, id_col, text_col, min_rate, keep_all, sample, tables)
     shares = [F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(sorted(targets))]
     return made.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *shares, "rate", F.floor(F.col("rate") + F.col("chance")).cast("int").alias("copies"), F.lit(met).alias("met"))
 

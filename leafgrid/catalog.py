@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys as K
-from .operators import fem, fields, mesh, search, tree
+from .operators import deep, fem, fields, mesh, search, tree
 from .plans import multigrid, problems
 from .sources import meshes
 from .sources import points as files
@@ -20,6 +20,7 @@ from .sources import points as files
 DEPTH, MOST = 6, 16
 MESH_DEPTH, MESH_MOST = 6, 64
 FINE_DEPTH = 10  # of trees far from balanced
+DEEP = 30  # of trees whose keys take two numbers
 ROUNDS = 200  # of solvers at most, which end at their tolerance
 BLOCK = 2  # the level of blocks
 BUCKET_BITS = 9  # keys of a bucket share all but so many low bits
@@ -113,21 +114,28 @@ def _complete(cells: str, bits: int = DEPTH) -> str:
   UNION ALL SELECT 0, 0 WHERE NOT EXISTS (SELECT 1 FROM inner_))"""
 
 
-def _balanced(source: str = "leaves", directions: str = "true", bits: int = DEPTH, name: str = "balanced") -> str:
-    """``name``: the balanced tree, one step a level from the finest up."""
+def _grown(name: str, bits: int, directions: str = "true") -> tuple[list[str], str]:
+    """Statements that grow ``{name}_src`` (level, x, y, z), one step a level
+    from the finest up, and the union of all levels' cells."""
 
     def around(level: int) -> str:
         return f"""SELECT DISTINCT (x + dx) >> 1 AS x, (y + dy) >> 1 AS y, (z + dz) >> 1 AS z
     FROM (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z FROM {name}_{level}) p, range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz)
     WHERE least(x + dx, y + dy, z + dz) >= 0 AND greatest(x + dx, y + dy, z + dz) < {1 << level - 1} AND {directions}"""
 
-    steps = [f"{name}_src AS MATERIALIZED (SELECT level, {', '.join(f'{_decode("prefix", a, bits)} AS {v}' for a, v in enumerate('xyz'))} FROM {source})"]
-    steps.append(f"{name}_{bits} AS MATERIALIZED (SELECT x, y, z FROM {name}_src WHERE level = {bits})")
+    steps = [f"{name}_{bits} AS MATERIALIZED (SELECT x, y, z FROM {name}_src WHERE level = {bits})"]
     for level in range(bits, 1, -1):
         made = f"SELECT x * 2 + (k & 1) AS x, y * 2 + ((k >> 1) & 1) AS y, z * 2 + (k >> 2) AS z FROM ({around(level)}) g, range(0, 8) s(k)"
         steps.append(f"{name}_{level - 1} AS MATERIALIZED ({made} UNION SELECT x, y, z FROM {name}_src WHERE level = {level - 1})")
     every = " UNION ALL ".join(f"SELECT {level} AS level, x, y, z FROM {name}_{level}" for level in range(1, bits + 1))
-    steps.append(f"{name}_all AS MATERIALIZED (SELECT *, {_encode('x', 'y', 'z', bits=bits)} AS prefix FROM ({every} UNION ALL SELECT level, x, y, z FROM {name}_src WHERE level = 0))")
+    return steps, f"{every} UNION ALL SELECT level, x, y, z FROM {name}_src WHERE level = 0"
+
+
+def _balanced(source: str = "leaves", directions: str = "true", bits: int = DEPTH, name: str = "balanced") -> str:
+    """``name``: the balanced tree."""
+    grown, every = _grown(name, bits, directions)
+    steps = [f"{name}_src AS MATERIALIZED (SELECT level, {', '.join(f'{_decode("prefix", a, bits)} AS {v}' for a, v in enumerate('xyz'))} FROM {source})", *grown]
+    steps.append(f"{name}_all AS MATERIALIZED (SELECT *, {_encode('x', 'y', 'z', bits=bits)} AS prefix FROM ({every}))")
     steps.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}_all g WHERE NOT EXISTS (SELECT 1 FROM {name}_all h WHERE h.level = g.level + 1 AND h.prefix >> 3 = g.prefix))")
     return ", ".join(steps)
 
@@ -600,6 +608,84 @@ def density_order(spark, sf_dir):
     return tree.by_density(counted).select("level", "prefix", "weight", F.col("place").cast("long").alias("place"))
 
 
+# -------------------------------------------------------------- deep trees
+
+_DEEP_SIDE = 1 << DEEP
+#: Coordinates of DEEP bits, spread by odd factors; each point is then moved
+#: towards the origin by halving it up to 27 times, so that the points are as
+#: dense at every scale and the tree is adaptive down to its last levels.
+_DEEP_AXES = {
+    "x": f"(l_orderkey % {_DEEP_SIDE}) * 1103515245 % {_DEEP_SIDE}",
+    "y": f"((l_orderkey % {_DEEP_SIDE >> 3}) * 8 + l_linenumber) * 715827883 % {_DEEP_SIDE}",
+    "z": f"((l_partkey % {_DEEP_SIDE >> 10}) * 1024 + l_suppkey % 1024) * 362437069 % {_DEEP_SIDE}",
+}
+_DEEP = f"""WITH deep_ AS (SELECT {", ".join(f"({v}) >> (l_partkey % 28) AS {a}" for a, v in _DEEP_AXES.items())} FROM lineitem),
+cells AS (SELECT l AS level, x >> ({DEEP} - l) AS x, y >> ({DEEP} - l) AS y, z >> ({DEEP} - l) AS z, count(*) AS n FROM deep_, range(0, {DEEP + 1}) t(l) GROUP BY ALL),
+inner_ AS (SELECT level, x, y, z FROM cells WHERE n > {MOST} AND level < {DEEP}),
+kids AS (SELECT level + 1 AS level, 2 * x + (c & 1) AS x, 2 * y + ((c >> 1) & 1) AS y, 2 * z + (c >> 2) AS z FROM inner_, range(0, 8) t(c)),
+leaves AS (SELECT * FROM kids k WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.level = k.level AND i.x = k.x AND i.y = k.y AND i.z = k.z)
+  UNION ALL SELECT 0, 0, 0, 0 WHERE NOT EXISTS (SELECT 1 FROM inner_))"""
+
+
+def _deep_balanced() -> str:
+    steps, every = _grown("balanced", DEEP)
+    src = "balanced_src AS MATERIALIZED (SELECT * FROM leaves)"
+    return f"""{_DEEP}, {", ".join([src, *steps])}, every AS MATERIALIZED ({every}),
+above AS (SELECT DISTINCT level - 1 AS level, x >> 1 AS x, y >> 1 AS y, z >> 1 AS z FROM every WHERE level > 0)
+SELECT level::INT AS level, x, y, z FROM every e WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.level = e.level AND a.x = e.x AND a.y = e.y AND a.z = e.z)"""
+
+
+def deep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = lines.selectExpr(*(f"shiftright({v}, int(l_partkey % 28)) AS {a}" for a, v in _DEEP_AXES.items()))
+    hi, lo = deep.key(*(F.col(a) for a in "xyz"), depth=DEEP)
+    return at.withColumns({"hi": hi, "lo": lo})
+
+
+def deep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deep.construct(deep_lines(spark, sf_dir), DEEP, MOST)
+
+
+def _placed(cells: DataFrame, *more: str) -> DataFrame:
+    return cells.select("level", *(p.alias(a) for a, p in zip("xyz", deep.position(), strict=True)), *more)
+
+
+@query(
+    f"""{_DEEP} SELECT DISTINCT x, y, z, {_encode("(x >> 15)", "(y >> 15)", "(z >> 15)", bits=15)} AS hi, {_encode("(x & 32767)", "(y & 32767)", "(z & 32767)", bits=15)} AS lo FROM deep_"""
+)
+def deep_key(spark, sf_dir):
+    """Keys of 90 bits in two numbers, and the positions made from them again."""
+    unique = deep_lines(spark, sf_dir).select(F.lit(DEEP).alias("level"), "hi", "lo").distinct()
+    return _placed(unique, "hi", "lo").drop("level")
+
+
+@query(_DEEP + " SELECT level::INT AS level, x, y, z FROM leaves")
+def deep_octree(spark, sf_dir):
+    """A tree of 30 levels."""
+    return _placed(deep_leaves(spark, sf_dir))
+
+
+@query(_DEEP + " SELECT l.level::INT AS level, l.x, l.y, l.z, coalesce(c.n, 0) AS n FROM leaves l LEFT JOIN cells c ON c.level = l.level AND c.x = l.x AND c.y = l.y AND c.z = l.z")
+def deep_leaf_counts(spark, sf_dir):
+    return _placed(deep.leaf_counts(deep_lines(spark, sf_dir), deep_leaves(spark, sf_dir), DEEP), "n")
+
+
+@query(
+    f"""{_DEEP}, fine AS (SELECT DISTINCT x, y, z FROM deep_), mixed AS (SELECT {DEEP} AS level, x, y, z FROM fine UNION SELECT 20, x >> 10, y >> 10, z >> 10 FROM fine)
+SELECT level::INT AS level, x, y, z FROM mixed m WHERE level = {DEEP}"""
+)
+def deep_linearise(spark, sf_dir):
+    """The finest of the points' cells of levels 20 and 30."""
+    fine = deep_lines(spark, sf_dir).select(F.lit(DEEP).alias("level"), "hi", "lo").distinct()
+    return _placed(deep.linearise(fine.unionByName(deep.ancestors(fine).filter("level = 20"))))
+
+
+@query(_deep_balanced())
+def deep_balance(spark, sf_dir):
+    """The balanced tree of 30 levels."""
+    return _placed(deep.balance(deep_leaves(spark, sf_dir)))
+
+
 # ----------------------------------------------------- searches and numbers
 
 

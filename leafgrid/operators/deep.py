@@ -114,25 +114,25 @@ def complete(cells: DataFrame, dim: int = 3) -> DataFrame:
     return _leaves_below(ancestors(cells, dim), dim)
 
 
-def neighbours(level: int, dim: int = 3, corners: bool = True, itself: bool = False) -> Column:
-    """Array of (hi, lo) of the cells of ``level`` around one, inside the domain."""
+def neighbours(fine: bool, dim: int = 3, corners: bool = True, itself: bool = False) -> Column:
+    """Array of (hi, lo) of the cells around each of (level, hi, lo) at its
+    level, inside the domain.  All cells are below TOP (``fine``) or none is.
+    Levels are read from the column, so that one compiled form serves them all."""
     hi, lo, found = F.col("hi"), F.col("lo"), []
-    if level <= TOP:
-        return F.transform(K.neighbours(F.lit(level), hi, dim, corners, itself), lambda p: F.struct(p.alias("hi"), _zero().alias("lo")))
-    inner, outer = (1 << dim * (level - TOP)) - 1, (1 << dim * TOP) - 1
+    if not fine:
+        return F.transform(K.neighbours(F.col("level"), hi, dim, corners, itself), lambda p: F.struct(p.alias("hi"), _zero().alias("lo")))
+    inner, outer = K._all_bits(F.col("level") - TOP, dim), (1 << dim * TOP) - 1
     for step in [*K.offsets(dim, corners), *([(0,) * dim] if itself else [])]:
         his, los, inside = [], [], F.lit(True)
         for axis, by in enumerate(step):
             mask = K.axis_mask(axis, dim)
-            low, high = mask & inner, mask & outer
-            end, far = (low, high) if by > 0 else (0, 0)
-            los.append(K._stepped(lo, low, by))
+            los.append(K._stepped(lo, mask, by).bitwiseAND(inner))
             if by:
-                wraps = K._on(lo, low) == end
-                his.append(F.when(wraps, K._stepped(hi, high, by)).otherwise(K._on(hi, high)))
-                inside = inside & ~(wraps & (K._on(hi, high) == far))
+                wraps = K._on(lo, mask) == (K._on(inner, mask) if by > 0 else 0)
+                his.append(F.when(wraps, K._stepped(hi, mask & outer, by)).otherwise(K._on(hi, mask)))
+                inside = inside & ~(wraps & (K._on(hi, mask) == (mask & outer if by > 0 else 0)))
             else:
-                his.append(K._on(hi, high))
+                his.append(K._on(hi, mask))
         found.append(F.when(inside, F.struct(K._united(his).alias("hi"), K._united(los).alias("lo"))))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
@@ -147,7 +147,7 @@ def balance(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     at = leaves.filter(F.col("level") == deepest)
     levels = [at]
     for level in range(deepest, 1, -1):
-        around = _parents(at, dim).distinct().select("level", F.explode(neighbours(level - 1, dim, corners, itself=True)).alias("_n")).select("level", "_n.*")
+        around = _parents(at, dim).distinct().select("level", F.explode(neighbours(level - 1 > TOP, dim, corners, itself=True)).alias("_n")).select("level", "_n.*")
         made = _children(_parents(around, dim).distinct(), dim)
         at = tree.cut(made.unionByName(leaves.filter(F.col("level") == level - 1)).distinct())
         levels.append(at)

@@ -197,6 +197,28 @@ def neighbours(level: Column, prefix: Column, dim: int = 3, corners: bool = True
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def parents_around(level: Column, prefix: Column, dim: int = 3, corners: bool = True) -> Column:
+    """Array of the prefixes of the parents of a cell (not the root) and of the
+    same-level cells around it: the own parent and those on the cell's side."""
+    own = _long(prefix)
+    parent, last = F.shiftright(own, dim), _all_bits(level - 1, dim)
+    masks = [axis_mask(a, dim) for a in range(dim)]
+    same = [_on(parent, m) for m in masks]
+    upper = [_on(own, 1 << a) != 0 for a in range(dim)]
+    moved = [F.when(u, _stepped(parent, m, 1)).otherwise(_stepped(parent, m, -1)) for u, m in zip(upper, masks, strict=True)]
+    at_end = [F.when(u, s == _on(last, m)).otherwise(s == 0) for u, s, m in zip(upper, same, masks, strict=True)]
+    most = dim if corners or dim == 1 else dim - 1
+    found = []
+    for step in range(2**dim):
+        if step.bit_count() <= most:
+            inside = F.lit(True)
+            for axis in range(dim):
+                if step >> axis & 1:
+                    inside = inside & ~at_end[axis]
+            found.append(F.when(inside, _united([moved[a] if step >> a & 1 else same[a] for a in range(dim)])))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
 def search_keys(level: Column, prefix: Column, depth: int, dim: int = 3, corners: bool = True) -> Column:
     """Keys of the deepest cells that lie outside a cell's parent, diagonally
     off the corner where the cell and its parent meet; outside the domain left

@@ -10,7 +10,6 @@ ordinary keys; joins and sums are by (level, hi, lo), and neighbours carry from
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,17 +138,14 @@ def neighbours(fine: bool, dim: int = 3, corners: bool = True, itself: bool = Fa
 
 def balance(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     """The coarsest refinement of a complete octree in which neighbouring
-    leaves differ by one level at most, by the steps of ``tree.balance``."""
-    leaves = tree.cut(leaves.select(*CELL).distinct())
-    deepest = leaves.agg(F.max("level")).first()[0]
-    if deepest is None or deepest < 2:
-        return leaves
-    at = leaves.filter(F.col("level") == deepest)
-    levels = [at]
-    for level in range(deepest, 1, -1):
-        around = _parents(at, dim).distinct().select("level", F.explode(neighbours(level - 1 > TOP, dim, corners, itself=True)).alias("_n")).select("level", "_n.*")
-        made = _children(_parents(around, dim).distinct(), dim)
-        at = tree.cut(made.unionByName(leaves.filter(F.col("level") == level - 1)).distinct())
-        levels.append(at)
-    cells = reduce(DataFrame.unionByName, [*levels, leaves.filter("level = 0")])
-    return cells.join(_parents(cells.filter("level > 0"), dim).distinct(), list(CELL), "left_anti")
+    leaves differ by one level at most, by the steps of ``tree.balance``; a tree
+    with gaps is completed."""
+    leaves = leaves.select(*CELL)
+
+    around = {fine: F.explode(neighbours(fine, dim, corners, itself=True)).alias("_n") for fine in (True, False)}  # made once, as they are long
+
+    def parents_around(cells: DataFrame, level: int) -> DataFrame:
+        return _parents(cells.select("level", around[level > TOP]).select("level", "_n.*"), dim)
+
+    internal = tree._split_above(_parents(leaves.filter("level > 0"), dim), parents_around)
+    return leaves.distinct() if internal is None else _leaves_below(internal, dim)

@@ -140,28 +140,33 @@ def regular(spark, level: int, dim: int = 3) -> DataFrame:
     return spark.range(2 ** (dim * level)).select(F.lit(level).alias("level"), F.col("id").alias("prefix"))
 
 
+def _split_above(levels: DataFrame, parents_around: Callable[[DataFrame, int], DataFrame]) -> DataFrame | None:
+    """All cells that are split in the balanced tree, from those right above
+    leaves; None if there are none.  From the finest level up: where a cell is
+    split, the cells around it exist, so their parents are split.  One distinct
+    a level.  ``parents_around`` gets the cells of a level and the level."""
+    above = cut(levels.distinct())
+    deepest = above.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return None
+    at = above.filter(F.col("level") == deepest)
+    found = [at]
+    for level in range(deepest - 1, -1, -1):
+        at = cut(parents_around(at, level + 1).unionByName(above.filter(F.col("level") == level)).distinct())
+        found.append(at)
+    return reduce(DataFrame.unionByName, found)
+
+
 def balance(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     """The coarsest refinement of a complete octree in which neighbouring
-    leaves differ by one level at most.
-
-    From the finest level up: where a cell exists, the neighbours of its parent
-    must exist, and with each cell its siblings.  One distinct a level."""
-    leaves = cut(octants(leaves).distinct())
-    deepest = leaves.agg(F.max("level")).first()[0]
-    if deepest is None or deepest < 2:
-        return leaves
-    at = leaves.filter(F.col("level") == deepest)
-    levels = [at]
-    for level in range(deepest, 1, -1):
-        parents = at.select((F.col("level") - 1).alias("level"), F.shiftright("prefix", dim).alias("prefix")).distinct()
-        around = parents.select(F.explode(K.neighbours(F.col("level"), F.col("prefix"), dim, corners, itself=True)).alias("prefix"))
-        groups = around.select(F.shiftright("prefix", dim).alias("prefix")).distinct()
-        made = groups.select(F.lit(level - 1).alias("level"), F.explode(K.children("prefix", dim)).alias("prefix"))
-        at = cut(made.unionByName(leaves.filter(F.col("level") == level - 1)).distinct())
-        levels.append(at)
-    cells = reduce(DataFrame.unionByName, [*levels, leaves.filter("level = 0")])
-    inner = cells.filter("level > 0").select((F.col("level") - 1).alias("level"), F.shiftright("prefix", dim).alias("prefix")).distinct()
-    return cells.join(inner, list(OCTANT), "left_anti")
+    leaves differ by one level at most; a tree with gaps is completed."""
+    leaves = octants(leaves)
+
+    around = F.explode(K.parents_around(F.col("level"), F.col("prefix"), dim, corners)).alias("prefix")  # made once, as it is long
+    up = (F.col("level") - 1).alias("level")
+    above = leaves.filter("level > 0").select(up, F.shiftright("prefix", dim).alias("prefix"))
+    internal = _split_above(above, lambda cells, _: cells.select(up, around))
+    return leaves.distinct() if internal is None else _leaves_below(internal, dim)
 
 
 def balance_candidates(cells: DataFrame, depth: int, dim: int = 3, corners: bool = True) -> DataFrame:

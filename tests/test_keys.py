@@ -78,3 +78,11 @@ def test_relations_between_cells(spark):
         coarsest = min(k for k in range(r.l + 1) if (r.p + 1) % 8 ** (r.l - k) == 0)
         assert (r.nl, r.np) == (coarsest, (r.p + 1) >> 3 * (r.l - coarsest))
         assert r.kids == [8 * r.p + c for c in range(8)] and len(r.sib) == 7 and r.p not in r.sib
+
+
+@pytest.mark.parametrize(("dim", "corners"), [(1, True), (2, True), (2, False), (3, True), (3, False)])
+def test_parents_around(spark, dim, corners):
+    level, cells = F.col("level"), spark.range(2 ** (dim * 2)).withColumn("level", F.lit(2))
+    around = F.transform(K.neighbours(level, F.col("id"), dim, corners, itself=True), lambda p: F.shiftright(p, dim))
+    got = cells.select(F.array_sort(K.parents_around(level, F.col("id"), dim, corners)).alias("a"), F.array_sort(F.array_distinct(around)).alias("b"))
+    assert got.filter("a = b").count() == 2 ** (dim * 2)

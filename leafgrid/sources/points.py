@@ -60,7 +60,10 @@ def pts_bytes(points: DataFrame, value: str | None = None) -> DataFrame:
 
 def read_octree(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(level, prefix) of an ``.ot`` file and its depth, from its first line."""
-    dim, depth = map(int, spark.read.text(path).first()[0].split())
+    # Spark reads the largest file first, so the header is looked up by name:
+    # a line's number grows inside a file's first block
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"))
+    dim, depth = map(int, lines.agg(F.min_by("value", F.struct("_f", "_i"))).first()[0].split())
     part = F.split(F.trim("value"), r"\s+")
     cells = spark.read.text(path).select(part.alias("p")).filter(F.size("p") == dim + 1)
     at = [F.col("p")[a].cast("long") for a in range(dim)]

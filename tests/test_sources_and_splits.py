@@ -53,3 +53,15 @@ def test_trees_of_full_depth_are_written_and_read(spark, tmp_path):
     files.write_lines(files.octree_lines(table, 20), at, ["ordinal", "level"])
     rows, depth = files.read_octree(spark, at)
     assert depth == 20 and sorted(map(tuple, rows.collect())) == sorted(cells)
+
+
+def test_the_header_is_found_in_the_first_of_several_files(spark, tmp_path):
+    """Spark lists the largest file first, whatever its name."""
+    at = tmp_path / "tree"
+    at.mkdir()
+    cells = [(6, k) for k in range(40, 90)]
+    lines = [r.value for r in files.octree_lines(spark.createDataFrame(cells, "level int, prefix bigint"), 6).orderBy("ordinal", "level").collect()]
+    for k, part in enumerate(([], lines[:4], lines[4:])):
+        (at / f"part-0000{k}.txt").write_text("".join(f"{line}\n" for line in part))
+    rows, depth = files.read_octree(spark, str(at))
+    assert depth == 6 and sorted(map(tuple, rows.collect())) == cells

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .operators import deep, fem, fields, mesh, search, tree
-from .plans import multigrid, problems
+from .plans import multigrid, problems, whole
 from .sources import meshes
 from .sources import points as files
 
@@ -1070,17 +1070,26 @@ def corner_list(spark, sf_dir):
     return _listed(meshes.corner_rows(numbers), "corners")
 
 
-#: Grids are coarsened while they have so many cells; smaller ones are solved
-#: on the driver.
+#: Grids of larger problems are coarsened while they have so many cells.
 COARSE = 10_000
 
 
 def _grids(spark, sf_dir) -> problems.Grids:
-    return problems.Grids(mesh_tree(spark, sf_dir), MESH_DEPTH, fewest=COARSE)
-
-
-def _solved(grids: problems.Grids, operators: list[DataFrame], right: DataFrame, fixed: str | None = None) -> DataFrame:
-    found, _ = problems.solve(grids, operators, right, fixed, rounds=ROUNDS, must=True, small=multigrid.SMALL)
+    """One grid if it is solved on the driver, which those of MESH_DEPTH are,
+    else a hierarchy."""
+    cells = tree.cut(mesh_tree(spark, sf_dir))
+    levels = 1 if cells.limit(whole.ELEMENTS + 1).count() <= whole.ELEMENTS else 10
+    return problems.Grids(cells, MESH_DEPTH, levels, fewest=COARSE)
+
+
+def _solved(grids: problems.Grids, make: problems.Operator, right: DataFrame, fixed: str | None = None, coefficients: DataFrame | None = None, **factors) -> DataFrame:
+    """The solution of ``make``'s operator, which ``factors`` describe to
+    ``whole.Whole``."""
+    if len(grids.meshes) == 1:
+        held = grids.nodes().filter(fixed).select(*mesh.AT) if fixed else None
+        found = whole.Whole(grids.meshes[0], coefficients=coefficients, **factors).solve(right, held)
+    else:
+        found, _ = problems.solve(grids, grids.operators(make, coefficients), right, fixed, rounds=ROUNDS, must=True, small=multigrid.SMALL)
     return found.withColumn("value", F.round("value", 4) + 0.0)
 
 
@@ -1096,7 +1105,7 @@ def neumann_problem(spark, sf_dir):
     coefficient = fields.centres(grids.trees[0]).select("level", "prefix", (F.col("x") + 1).alias("a"))
     known = grids.nodes().select(*mesh.AT, F.expr("(nx + 2 * ny + 3 * nz) / 1000D").alias("value"))
     right = fem.product(grids.meshes[0], known, F.col("a"), 1.0, coefficient)
-    return _solved(grids, grids.operators(problems.scalar(MESH_DEPTH, F.col("a"), 1.0), coefficient), right)
+    return _solved(grids, problems.scalar(MESH_DEPTH, F.col("a"), 1.0), right, coefficients=coefficient, stiffness=F.col("a"), mass=1.0)
 
 
 @query(_FEM + f" SELECT nx, ny, nz, {_INSIDE} AS value FROM node")
@@ -1104,16 +1113,15 @@ def dirichlet_problem(spark, sf_dir):
     """-div grad u = f, u = 0 on the boundary, f belonging to a known u."""
     grids = _grids(spark, sf_dir)
     known = grids.nodes().select(*mesh.AT, F.expr("CASE WHEN boundary > 0 THEN 0D ELSE ((nx + 2 * ny + 3 * nz) % 10) / 10D END").alias("value"))
-    return _solved(grids, grids.operators(problems.scalar(MESH_DEPTH)), fem.product(grids.meshes[0], known), "boundary > 0")
+    return _solved(grids, problems.scalar(MESH_DEPTH), fem.product(grids.meshes[0], known), "boundary > 0")
 
 
 @query(_FEM + " SELECT nx, ny, nz, dof, nx * (dof + 1) / 1000e0 AS value FROM node, (SELECT range::INT AS dof FROM range(0, 3))")
 def elasticity_problem(spark, sf_dir):
     """An elastic body held at x = 0, under the load of a known displacement."""
     grids = _grids(spark, sf_dir)
-    operators = grids.operators(problems.elastic(MESH_DEPTH))
     known = grids.nodes().select(*mesh.AT, F.explode(F.array(*map(F.lit, range(3)))).alias("dof")).withColumn("value", F.expr("nx * (dof + 1) / 1000D"))
-    return _solved(grids, operators, fem.times(operators[0], known), "nx = 0")
+    return _solved(grids, problems.elastic(MESH_DEPTH), fem.elastic_product(grids.meshes[0], known), "nx = 0", elastic=(1.0, 1.0))
 
 
 @query(

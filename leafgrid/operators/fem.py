@@ -163,6 +163,37 @@ def elastic_matrix(mesh: DataFrame, depth: int, mu: float | Column = 1.0, lam: f
     return each.groupBy(*AT, dof.alias("dof"), "mx", "my", "mz", other.alias("mdof")).agg(F.sum(value).alias("value"))
 
 
+def elastic_product(mesh: DataFrame, values: DataFrame, mu: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """``elastic_matrix`` with constant factors times a field (nx, ny, nz, dof,
+    value) without the matrix, as in ``product``."""
+    nodal = values.groupBy(*AT).agg(*(F.coalesce(F.sum(F.when(F.col("dof") == k, F.col("value"))), F.lit(0.0)).alias(f"_{k}") for k in range(3)))
+    bit = F.when(F.col("hangs"), F.expr("shiftleft(1, vertex)")).otherwise(0)
+    each = mesh.join(nodal, AT, "left").withColumn("_u", F.array(*(F.coalesce(f"_{k}", F.lit(0.0)) for k in range(3))))
+    rows = each.groupBy("level", "prefix").agg(F.sum(bit).cast("int").alias("mask"), F.array_sort(F.collect_list(F.struct("vertex", *AT, "_u"))).alias("nodes"))
+    child = F.when(F.col("level") > 0, K.child_number("prefix")).otherwise(0)
+    cells = cut(rows.select("level", child.alias("child"), "mask", "nodes", F.flatten(F.transform("nodes", lambda n: n["_u"])).alias("nodal")))
+    table = [(c, m, elastic_element(c, m, mu, lam).reshape(-1).tolist()) for c, m in classes(cells)]  # 8 * 256 at most
+    cells = cells.join(F.broadcast(mesh.sparkSession.createDataFrame(table, "child int, mask int, _k array<double>")), ["child", "mask"])
+    h, eight, all_ = F.pow(F.lit(0.5), F.col("level")), F.sequence(F.lit(0), F.lit(7)), F.sequence(F.lit(0), F.lit(23))
+
+    def row(i: Column, k: int) -> Column:
+        return F.aggregate(all_, F.lit(0.0), lambda s, j: s + F.get("_k", (i * 3 + k) * 24 + j) * F.get("nodal", j))
+
+    parts = cells.select(h.alias("_h"), F.explode(F.transform(eight, lambda i: F.struct(F.get("nodes", i).alias("node"), F.array(*(row(i, k) for k in range(3))).alias("parts")))).alias("_p"))
+    parts = parts.select("_h", *(F.col(f"_p.node.{n}") for n in AT), F.posexplode("_p.parts").alias("dof", "part"))
+    return parts.groupBy(*AT, "dof").agg(F.sum(F.col("part") * F.col("_h")).alias("value"))
+
+
+def elastic_element(child: int, mask: int, mu: float, lam: float) -> np.ndarray:
+    """The 24 x 24 matrix of elasticity of a class of elements of side 1, rows
+    and columns in the order (node, displacement)."""
+    slopes, _ = unit_matrices()
+    q = constraint(child, mask)
+    own = np.einsum("ki,kalb,lj->iajb", q, slopes, q)
+    stiff = np.einsum("iaja->ij", own)
+    return (mu * np.einsum("ij,ab->iajb", stiff, np.eye(3)) + (mu + lam) * own).reshape(24, 24)
+
+
 def _keys(operator: DataFrame) -> list[str]:
     return [k for k in OTHER if k in operator.columns]
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.operators import fem, fields, mesh, tree
-from leafgrid.plans import problems
+from leafgrid.plans import problems, whole
 from leafgrid.sources import meshes
 
 DEPTH = 3
@@ -91,3 +91,23 @@ def test_a_tolerance_that_is_not_met_fails(grids):
     right = tree.cut(fields.load(grids.meshes[0], lambda x, y, z: x * y - z))
     with pytest.raises(ArithmeticError):
         problems.solve(grids, grids.operators(problems.scalar(DEPTH, 1.0, 1.0)), right, rounds=1, must=True)
+
+
+def test_problems_solved_from_their_elements(grids):
+    """Hanging vertices, factors by element, fixed nodes, displacements."""
+    grid, held = grids.meshes[0], grids.nodes().filter("nx = 0").select(*mesh.AT)
+    assert grid.filter("hangs").count()
+    given = fields.centres(grids.trees[0]).select("level", "prefix", (1 + F.col("x")).alias("a"), (2 - F.col("y")).alias("b"))
+    right = tree.cut(fields.load(grid, lambda x, y, z: x * y - z))
+    expected = dense(fem.matrix(grid, DEPTH, F.col("a"), F.col("b"), given), right, mesh.AT)
+    assert worst(whole.Whole(grid, F.col("a"), F.col("b"), given).solve(right), expected, mesh.AT) < 1e-8
+    known = tree.cut(grids.nodes().select(*mesh.AT, F.explode(F.array(*map(F.lit, range(3)))).alias("dof")).withColumn("value", F.expr("(nx * (dof + 1) + ny * nz) / 1000D")))
+    operator = tree.cut(fem.elastic_matrix(grid, DEPTH, 2.0, 3.0))
+    keys = [*mesh.AT, "dof"]
+    load = tree.cut(fem.elastic_product(grid, known, 2.0, 3.0))
+    assert worst(load, {tuple(r[k] for k in keys): r.value for r in fem.times(operator, known).collect()}, keys) < 1e-12
+    found = whole.Whole(grid, elastic=(2.0, 3.0)).solve(load, held)
+    assert worst(found, dense(operator, load, keys, {tuple(r) for r in held.collect()}), keys) < 1e-8
+    assert found.schema["dof"].dataType == operator.schema["dof"].dataType
+    with pytest.raises(ArithmeticError):
+        whole.Whole(grid, elastic=(2.0, 3.0)).solve(load, held, rounds=2)

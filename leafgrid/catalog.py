@@ -667,7 +667,7 @@ def deep_octree(spark, sf_dir):
 
 @query(_DEEP + " SELECT l.level::INT AS level, l.x, l.y, l.z, coalesce(c.n, 0) AS n FROM leaves l LEFT JOIN cells c ON c.level = l.level AND c.x = l.x AND c.y = l.y AND c.z = l.z")
 def deep_leaf_counts(spark, sf_dir):
-    return _placed(deep.leaf_counts(deep_lines(spark, sf_dir), deep_leaves(spark, sf_dir), DEEP), "n")
+    return _placed(deep.counted(deep_lines(spark, sf_dir), DEEP, MOST), "n")
 
 
 @query(

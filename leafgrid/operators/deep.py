@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from . import tree
+from . import runs, tree
 
 TOP = 15
 CELL = ("level", "hi", "lo")
@@ -92,8 +92,20 @@ def construct(points: DataFrame, depth: int, most: int, dim: int = 3) -> DataFra
     """The complete octree of points (hi, lo) at ``depth``: a cell above
     ``depth`` is split iff it has over ``most`` points.  Points without a key
     are left out; no points make the root."""
-    internal = _rolled(points, depth, dim, lambda n, level: (n > most) & (level < depth))
-    return _leaves_below(internal.select(*CELL), dim)
+    return _leaves_below(_crowded(points, depth, most, dim).filter((F.col("_n") > most) & (F.col("level") < depth)).select(*CELL), dim)
+
+
+def _crowded(points: DataFrame, depth: int, most: int, dim: int, leaves: bool = False) -> DataFrame:
+    counts = points.filter("hi is not null and lo is not null").groupBy("hi", "lo").agg(F.count("*").alias("_n"))
+    return tree.cut(runs.crowded(counts, {"hi": TOP, "lo": depth - TOP}, most, dim, leaves))
+
+
+def counted(points: DataFrame, depth: int, most: int, dim: int = 3) -> DataFrame:
+    """The leaves that ``construct`` makes with ``n``, their numbers of points:
+    both from one pass, where ``leaf_counts`` takes any leaves."""
+    cells = _crowded(points, depth, most, dim, leaves=True)
+    leaves = _leaves_below(cells.filter((F.col("_n") > most) & (F.col("level") < depth)).select(*CELL), dim)
+    return leaves.join(cells.withColumnRenamed("_n", "n"), list(CELL), "left").select(*CELL, F.coalesce("n", _zero()).alias("n"))
 
 
 def leaf_counts(points: DataFrame, leaves: DataFrame, depth: int, dim: int = 3) -> DataFrame:

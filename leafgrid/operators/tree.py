@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from . import runs
 
 OCTANT = ("level", "prefix")
 
@@ -62,8 +63,8 @@ def construct(points: DataFrame, depth: int, most: int, dim: int = 3, key: str =
     """The complete octree of points with a full-depth ``key``: a cell above
     ``depth`` is split iff it has over ``most`` points.  Repeated points count;
     empty leaves are part of the tree; no points make the root."""
-    internal = _rolled(_counted(points, key), depth, dim, lambda n, level: (n > most) & (level < depth))
-    return _leaves_below(internal.select(*OCTANT), dim)
+    cells = runs.crowded(_counted(points, key), {"prefix": depth}, most, dim)
+    return _leaves_below(cut(cells.filter(F.col("_n") > most).select(*OCTANT)), dim)
 
 
 #: Levels that one step of a roll-up lists.

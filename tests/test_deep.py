@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.functions import keys as K
-from leafgrid.operators import deep, tree
+from leafgrid.operators import deep, runs, tree
 
 
 def _points(spark, rows, depth):
@@ -74,3 +74,24 @@ def test_no_points(spark):
     none = _points(spark, [(1, 2, 3)], 30).filter("x > 5")
     assert _cells(deep.construct(none, 30, 1)) == [(0, 0, 0, 0)]
     assert _cells(deep.balance(deep.construct(none, 30, 1))) == [(0, 0, 0, 0)]
+
+
+def test_chunks_share_their_cells(spark):
+    """Cells that go over several chunks or tasks are counted whole; no row is
+    listed once a level."""
+    depth = 21
+    rows = _some(depth, 150, seed=3)
+    rows += rows[:9] * 4
+    counts = _points(spark, rows, depth).groupBy("hi", "lo").agg(F.count("*").alias("_n"))
+    inner = {}
+    for level in range(depth + 1):
+        for p in rows:
+            at = (level, *(c >> depth - level for c in p))
+            inner[at] = inner.get(at, 0) + 1
+    want = sorted((*c, n) for c, n in inner.items() if n > 3 and c[0] < depth)
+    for chunk in (1, 7, 1 << 18):
+        cells = tree.cut(runs.crowded(counts, {"hi": deep.TOP, "lo": depth - deep.TOP}, 3, chunk=chunk))
+        assert _cells(cells.filter("_n > 3"), "_n") == want
+    assert cells.count() < 2 * len(want) + 3 * 3 * 2 * depth
+    points = _points(spark, rows, depth)
+    assert _cells(deep.counted(points, depth, 3), "n") == _cells(deep.leaf_counts(points, deep.construct(points, depth, 3), depth), "n")

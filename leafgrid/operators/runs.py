@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows of a chunk at least, if the task has as many.
 CHUNK = 1 << 18
@@ -106,3 +107,55 @@ def crowded(counts: DataFrame, depths: dict[str, int], most: int, dim: int = 3,
 
     listed = by_chunk(in_order(counts.select(*names, "_n"), *names), work, f"level int, {', '.join(f'{k} bigint' for k in names)}, _n bigint", chunk)
     return listed.groupBy("level", *names).agg({"_n": "sum"}).withColumnRenamed("sum(_n)", "_n")
+
+
+def _cells_in_order(cells: DataFrame, dim: int, depth: int) -> DataFrame:
+    """Cells (level, prefix) as (key, level), key being that of full depth; a
+    cell comes before all that it contains."""
+    key = F.call_function("shiftleft", F.col("prefix"), ((F.lit(depth) - F.col("level")) * dim).cast("int"))
+    return in_order(cells.select(key.alias("key"), "level"), "key", "level")
+
+
+def _new_above(key: np.ndarray, level: np.ndarray, dim: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the levels, from the first to below the second, of its strict
+    ancestors that are not those of rows before it."""
+    first = np.minimum(shared([key], [depth], dim), np.append(-1, level[:-1] - 1)) + 1
+    return np.minimum(first, level), level
+
+
+def _listed(key: np.ndarray, first: np.ndarray, end: np.ndarray, dim: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    n = end - first
+    row = np.repeat(np.arange(len(n)), n)
+    level = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    return level.astype(np.int32), key[row] >> dim * (depth - level)
+
+
+def ancestors(cells: DataFrame, dim: int, depth: int, chunk: int = CHUNK) -> DataFrame:
+    """(level, prefix) of all strict ancestors, each once a chunk."""
+
+    def work(key: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+        return list(_listed(key, *_new_above(key, level.astype(np.int64), dim, depth), dim, depth))
+
+    return by_chunk(_cells_in_order(cells, dim, depth), work, "level int, prefix bigint", chunk)
+
+
+#: Kinds of rows of ``finest``.
+KEPT, LAST, ABOVE = range(3)
+
+
+def finest(cells: DataFrame, dim: int, depth: int, chunk: int = CHUNK) -> DataFrame:
+    """(level, prefix, kind) of distinct ``cells``: KEPT for those that contain
+    no other, LAST for a chunk's last, which stays if no later chunk's first cell
+    lies in it, and ABOVE for the ancestors of a chunk's first cell."""
+
+    def work(key: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+        level = level.astype(np.int64)
+        inside = np.append(shared([key], [depth], dim)[1:] >= level[:-1], False)
+        own = ~inside
+        kind = np.full(len(key), KEPT, np.int32)
+        kind[-1] = LAST
+        top, prefix = _listed(key[:1], level[:1] * 0, level[:1], dim, depth)
+        kinds = np.concatenate([kind[own], np.full(len(top), ABOVE, np.int32)])
+        return [np.append(level[own].astype(np.int32), top), np.append((key >> dim * (depth - level))[own], prefix), kinds]
+
+    return by_chunk(_cells_in_order(cells, dim, depth), work, "level int, prefix bigint, kind int", chunk)

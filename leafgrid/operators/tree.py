@@ -44,8 +44,7 @@ def root(like: DataFrame) -> DataFrame:
 
 def ancestors(cells: DataFrame, dim: int = 3) -> DataFrame:
     """Distinct strict ancestors."""
-    above = cells.filter("level > 0").withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
-    return above.select(F.col("_l").alias("level"), K.up("prefix", F.col("level") - F.col("_l"), dim).alias("prefix")).distinct()
+    return runs.ancestors(octants(cells), dim, K.MAX_DEPTH).distinct()
 
 
 def _children(cells: DataFrame, dim: int) -> DataFrame:
@@ -103,8 +102,10 @@ def leaf_counts(points: DataFrame, leaves: DataFrame, depth: int, dim: int = 3,
 
 def linearise(cells: DataFrame, dim: int = 3) -> DataFrame:
     """Distinct cells without those that contain another."""
-    cells = octants(cells).distinct()
-    return cells.join(ancestors(cells, dim), list(OCTANT), "left_anti")
+    found = cut(runs.finest(octants(cells).distinct(), dim, K.MAX_DEPTH))
+    above = found.filter(F.col("kind") == runs.ABOVE).select(*OCTANT)
+    last = found.filter(F.col("kind") == runs.LAST).select(*OCTANT).join(above, list(OCTANT), "left_anti")
+    return found.filter(F.col("kind") == runs.KEPT).select(*OCTANT).unionByName(last)
 
 
 def complete(cells: DataFrame, dim: int = 3) -> DataFrame:

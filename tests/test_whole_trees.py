@@ -5,7 +5,7 @@ import random
 import pytest
 
 from leafgrid import catalog
-from leafgrid.operators import fem, mesh, tree
+from leafgrid.operators import fem, mesh, runs, tree
 
 DEPTH, MOST = catalog.FINE_DEPTH, catalog.MOST
 
@@ -104,3 +104,29 @@ def test_meshes_of_whole_trees_keep_their_hanging_vertices(spark, folder):
     assert sum(r.value for r in got) == pytest.approx(3 * (1 << DEPTH))
     assembled = {tuple(r)[:3]: r.value for r in fem.times(fem.matrix(grid, DEPTH, 1.0, 1.0), nodal).collect()}
     assert {tuple(r)[:3]: pytest.approx(r.value, abs=1e-9) for r in got} == assembled
+
+
+@pytest.mark.parametrize("dim", [1, 3])
+def test_nested_cells_over_several_chunks(spark, dim, monkeypatch):
+    """Ancestors are listed once a chunk, not once a cell; a cell whose parts
+    begin in the next chunk is dropped."""
+    rng = random.Random(dim)
+    cells = {(l, rng.randrange(1 << min(dim * l, 6))) for l in range(8) for _ in range(12)} | {(20, (1 << 20 * dim) - 1)}
+    above = {(u, p >> dim * (l - u)) for l, p in cells for u in range(l)}
+    for chunk in (1, 5, 1 << 18):
+        for name in ("ancestors", "finest"):
+            monkeypatch.setattr(runs, name, lambda *a, f=getattr(runs, name): f(*a[:3], chunk))
+        table = spark.createDataFrame([*cells, *cells], "level int, prefix bigint")
+        assert sorted(map(tuple, tree.ancestors(table, dim).collect())) == sorted(above)
+        assert sorted(map(tuple, tree.linearise(table, dim).collect())) == sorted(cells - above)
+        monkeypatch.undo()
+    assert runs.ancestors(table, dim, 20).count() < len(above) + 3 * 20
+
+
+def test_gaps_are_no_coarse_leaves(spark):
+    """Only leaves two levels coarser count, wherever they lie around."""
+    leaves = {(1, 0), (3, 0o100), (3, 0o444), (6, 0o111111), (2, 0o77)}
+    table = spark.createDataFrame(sorted(leaves), "level int, prefix bigint")
+    for corners in (True, False):
+        want = sorted(c for c in leaves if too_coarse(leaves, *c, corners))
+        assert sorted(map(tuple, tree.unbalanced(table, corners=corners).collect())) == want

@@ -523,12 +523,12 @@ def balance_octree(spark, sf_dir):
 
 @query(f"{_STEEP}, {_balanced(bits=_B)}, {_unbalanced('balanced')} SELECT count(*) AS violations FROM wrong")
 def balance_violations(spark, sf_dir):
-    return tree.unbalanced(tree.cut(tree.balance(fine_leaves(spark, sf_dir)))).agg(F.count("*").alias("violations"))
+    return tree.unbalanced(tree.spread(tree.cut(tree.balance(fine_leaves(spark, sf_dir))))).agg(F.count("*").alias("violations"))
 
 
 @query(f"{_STEEP}, {_unbalanced('leaves')} SELECT level, prefix FROM wrong")
 def unbalanced_leaves(spark, sf_dir):
-    return tree.unbalanced(tree.cut(fine_leaves(spark, sf_dir)))
+    return tree.unbalanced(tree.spread(tree.cut(fine_leaves(spark, sf_dir))))
 
 
 @query(f"{_STEEP}, {_balanced(directions='dx * dy * dz = 0', bits=_B)} SELECT level::INT AS level, prefix FROM balanced")

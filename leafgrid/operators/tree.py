@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A checkpointed table in as many partitions as there are cores, at least:
+    small tables come in one, though what is made of them may be large."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def octants(df: DataFrame) -> DataFrame:
     return df.select(F.col("level").cast("int").alias("level"), F.col("prefix").cast("long").alias("prefix"))
 
@@ -224,12 +231,14 @@ def volume(cells: DataFrame, depth: int, dim: int = 3) -> DataFrame:
 
 def unbalanced(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     """Leaves next to a leaf that is two or more levels coarser."""
-    fine = leaves.filter("level > 1")
-    around = fine.select(*OCTANT, F.explode(K.neighbours(F.col("level"), F.col("prefix"), dim, corners)).alias("_n"))
-    above = around.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("level") - 2)))
-    cells = above.select(*OCTANT, F.col("_l"), K.up("_n", F.col("level") - F.col("_l"), dim).alias("_p"))
-    coarse = leaves.select(F.col("level").alias("_l"), F.col("prefix").alias("_p"))
-    return cells.join(coarse, ["_l", "_p"], "left_semi").select(*OCTANT).distinct()
+    own, near = F.col("prefix"), K.neighbours(F.col("level"), F.col("prefix"), dim, corners)
+    # a leaf's neighbours lie in few cells two levels above, which most leaves share
+    above = F.filter(F.array_distinct(F.transform(near, lambda n: F.shiftright(n, 2 * dim))), lambda n: n != F.shiftright(own, 2 * dim))
+    asked = leaves.filter("level > 1").select(*OCTANT, (F.col("level") - 2).alias("_l"), F.explode(above).alias("_p"))
+    cells = asked.select("_l", "_p").distinct().withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_l"))))
+    coarse = leaves.select(F.col("level").alias("_u"), F.col("prefix").alias("_q"))
+    inside = cells.withColumn("_q", K.up("_p", F.col("_l") - F.col("_u"), dim)).join(coarse, ["_u", "_q"], "left_semi").select("_l", "_p")
+    return asked.join(inside.distinct(), ["_l", "_p"], "left_semi").select(*OCTANT).distinct()
 
 
 def spheres(spark, depth: int, split: Column, dim: int = 3) -> DataFrame:

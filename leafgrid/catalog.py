@@ -683,7 +683,7 @@ def deep_linearise(spark, sf_dir):
 @query(_deep_balanced())
 def deep_balance(spark, sf_dir):
     """The balanced tree of 30 levels."""
-    return _placed(deep.balance(deep_leaves(spark, sf_dir)))
+    return _placed(deep.balance_below(deep.crowded(deep_lines(spark, sf_dir), DEEP, MOST)))
 
 
 # ----------------------------------------------------- searches and numbers

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from . import runs, tree
 
-TOP = 15
+TOP, DEEPEST = 15, 35
 CELL = ("level", "hi", "lo")
 
 
@@ -37,16 +37,16 @@ def position(dim: int = 3) -> list[Column]:
     return [F.call_function("shiftleft", h, below).bitwiseOR(l) for h, l in zip(K.position("hi", dim), K.position("lo", dim), strict=True)]
 
 
-def _parents(cells: DataFrame, dim: int) -> DataFrame:
+def _parents(cells: DataFrame, dim: int, *more: Column) -> DataFrame:
     """Parents of cells, none of which is the root."""
     fine = F.col("level") > TOP
     hi = F.when(fine, F.col("hi")).otherwise(F.shiftright("hi", dim))
-    return cells.select((F.col("level") - 1).alias("level"), hi.alias("hi"), F.shiftright("lo", dim).alias("lo"))
+    return cells.select((F.col("level") - 1).alias("level"), hi.alias("hi"), F.shiftright("lo", dim).alias("lo"), *more)
 
 
-def _children(cells: DataFrame, dim: int) -> DataFrame:
+def _children(each: DataFrame, dim: int) -> DataFrame:
+    """The children with the numbers ``_c``."""
     coarse, child = F.col("level") < TOP, F.col("_c")
-    each = cells.withColumn("_c", F.explode(F.sequence(_zero(), F.lit(2**dim - 1).cast("long"))))
     hi = F.when(coarse, F.shiftleft("hi", dim) + child).otherwise(F.col("hi"))
     lo = F.when(coarse, F.col("lo")).otherwise(F.shiftleft("lo", dim) + child)
     return each.select((F.col("level") + 1).alias("level"), hi.alias("hi"), lo.alias("lo"))
@@ -56,9 +56,18 @@ def _root(like: DataFrame) -> DataFrame:
     return tree.root(like).select("level", F.col("prefix").alias("hi"), _zero().alias("lo"))
 
 
-def _leaves_below(internal: DataFrame, dim: int) -> DataFrame:
-    leaves = _children(internal, dim).join(internal, list(CELL), "left_anti")
-    return leaves.unionByName(_root(internal).join(internal.filter("level = 0"), list(CELL), "left_anti"))
+def _leaves_of(kids: DataFrame, internal: DataFrame, dim: int) -> DataFrame:
+    """As in ``tree``."""
+    leaves = _children(tree.unsplit(kids, dim), dim)
+    return leaves.unionByName(_root(kids).join(internal.filter("level = 0"), list(CELL), "left_anti"))
+
+
+def _leaves_below(internal: DataFrame, dim: int, total: int = 0) -> DataFrame:
+    """As ``tree.leaves_below``."""
+    own = F.when(F.col("level") > TOP, F.col("lo")).otherwise(F.col("hi")).bitwiseAND(F.lit(2**dim - 1))
+    above = _parents(internal.filter("level > 0"), dim, F.call_function("shiftleft", F.lit(1), own.cast("int")).alias("_kids"))
+    rows = internal.select(*CELL, F.lit(0).alias("_kids")).unionByName(above)
+    return _leaves_of(tree.gathered(rows, CELL, 2 * total), internal, dim)
 
 
 def ancestors(cells: DataFrame, dim: int = 3) -> DataFrame:
@@ -88,22 +97,27 @@ def _rolled(points: DataFrame, depth: int, dim: int, keep: Callable[[Column, Col
     return upper if out is None else out.unionByName(upper)
 
 
+def crowded(points: DataFrame, depth: int, most: int, dim: int = 3) -> DataFrame:
+    """The cells above ``depth`` that have over ``most`` points (hi, lo)."""
+    return tree.cut(_crowded(points, depth, most, dim).filter((F.col("_n") > most) & (F.col("level") < depth)).select(*CELL))
+
+
 def construct(points: DataFrame, depth: int, most: int, dim: int = 3) -> DataFrame:
     """The complete octree of points (hi, lo) at ``depth``: a cell above
     ``depth`` is split iff it has over ``most`` points.  Points without a key
     are left out; no points make the root."""
-    return _leaves_below(_crowded(points, depth, most, dim).filter((F.col("_n") > most) & (F.col("level") < depth)).select(*CELL), dim)
+    internal = crowded(points, depth, most, dim)
+    return _leaves_below(internal, dim, internal.count())
 
 
 def _crowded(points: DataFrame, depth: int, most: int, dim: int, leaves: bool = False) -> DataFrame:
-    counts = points.filter("hi is not null and lo is not null").groupBy("hi", "lo").agg(F.count("*").alias("_n"))
-    return tree.cut(runs.crowded(counts, {"hi": TOP, "lo": depth - TOP}, most, dim, leaves))
+    return runs.crowded(runs.tallied(points, "hi", "lo"), {"hi": TOP, "lo": depth - TOP}, most, dim, leaves, total=points.count())
 
 
 def counted(points: DataFrame, depth: int, most: int, dim: int = 3) -> DataFrame:
     """The leaves that ``construct`` makes with ``n``, their numbers of points:
     both from one pass, where ``leaf_counts`` takes any leaves."""
-    cells = _crowded(points, depth, most, dim, leaves=True)
+    cells = tree.cut(_crowded(points, depth, most, dim, leaves=True))
     leaves = _leaves_below(cells.filter((F.col("_n") > most) & (F.col("level") < depth)).select(*CELL), dim)
     return leaves.join(cells.withColumnRenamed("_n", "n"), list(CELL), "left").select(*CELL, F.coalesce("n", _zero()).alias("n"))
 
@@ -148,16 +162,16 @@ def neighbours(fine: bool, dim: int = 3, corners: bool = True, itself: bool = Fa
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def balance_below(internal: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
+    """The coarsest balanced octree in which all ``internal`` are split."""
+    split = tree.split_in_balanced(internal, {"hi": TOP, "lo": DEEPEST - TOP}, dim, corners)
+    return _leaves_of(split, split, dim)
+
+
 def balance(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     """The coarsest refinement of a complete octree in which neighbouring
     leaves differ by one level at most, by the steps of ``tree.balance``; a tree
     with gaps is completed."""
     leaves = leaves.select(*CELL)
-
-    around = {fine: F.explode(neighbours(fine, dim, corners, itself=True)).alias("_n") for fine in (True, False)}  # made once, as they are long
-
-    def parents_around(cells: DataFrame, level: int) -> DataFrame:
-        return _parents(cells.select("level", around[level > TOP]).select("level", "_n.*"), dim)
-
-    internal = tree._split_above(_parents(leaves.filter("level > 0"), dim), parents_around)
-    return leaves.distinct() if internal is None else _leaves_below(internal, dim)
+    above = tree.cut(_parents(leaves.filter("level > 0"), dim).distinct())
+    return leaves.distinct() if above.isEmpty() else balance_below(above, dim, corners)

@@ -2,8 +2,8 @@
 
 Every operator works on (level, prefix) by equality: ancestors are listed by
 exploding levels, never by comparing key ranges, so all joins hash or sort on
-keys.  Loops run over levels, of which there are ``depth`` at most, and cut
-their lineage in the shared folder.
+keys.  Steps over levels are made in passes over chunks (``runs``); tables that
+are read again are cut in the shared folder.
 """
 
 from __future__ import annotations
@@ -58,19 +58,48 @@ def _children(cells: DataFrame, dim: int) -> DataFrame:
     return cells.select((F.col("level") + 1).alias("level"), F.explode(K.children("prefix", dim)).alias("prefix"))
 
 
-def _leaves_below(internal: DataFrame, dim: int) -> DataFrame:
-    """Children of internal cells that are not internal; the root if none is."""
-    leaves = _children(internal, dim).join(internal, list(OCTANT), "left_anti")
-    top = root(internal).join(internal.filter("level = 0"), list(OCTANT), "left_anti")
-    return leaves.unionByName(top)
+def gathered(rows: DataFrame, keys: tuple[str, ...], total: int = 0) -> DataFrame:
+    """Cells with ``_kids``, the united bits of all their rows, of which there
+    are ``total`` at most; dealt first, as few rows share a cell."""
+    return rows.repartition(*runs.tasks(rows, total), *keys).groupBy(*keys).agg(F.bit_or("_kids").alias("_kids"))
+
+
+def unsplit(cells: DataFrame, dim: int) -> DataFrame:
+    """Cells by each child ``_c`` that is not among their bits ``_kids``."""
+    each = cells.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2**dim - 1).cast("long"))))
+    return each.filter(F.call_function("shiftright", F.col("_kids"), F.col("_c").cast("int")).bitwiseAND(F.lit(1)) == 0)
+
+
+def _leaves_of(kids: DataFrame, internal: DataFrame, dim: int) -> DataFrame:
+    """Children of split cells that are not split; the root if none of
+    ``internal``, from which they come, is there."""
+    leaves = unsplit(kids, dim).select((F.col("level") + 1).alias("level"), (F.shiftleft("prefix", dim) + F.col("_c")).alias("prefix"))
+    return leaves.unionByName(root(kids).join(internal.filter("level = 0"), list(OCTANT), "left_anti"))
+
+
+def leaves_below(internal: DataFrame, dim: int = 3, total: int = 0) -> DataFrame:
+    """The complete octree in which all ``internal``, ``total`` cells with all
+    their ancestors, are split."""
+    bit = F.call_function("shiftleft", F.lit(1), F.col("prefix").bitwiseAND(F.lit(2**dim - 1)).cast("int"))
+    above = internal.filter("level > 0").select((F.col("level") - 1).alias("level"), F.shiftright("prefix", dim).alias("prefix"), bit.alias("_kids"))
+    rows = internal.select(*OCTANT, F.lit(0).alias("_kids")).unionByName(above)
+    return _leaves_of(gathered(rows, OCTANT, 2 * total), internal, dim)
+
+
+def crowded(points: DataFrame, depth: int, most: int, dim: int = 3, key: str = "key") -> DataFrame:
+    """The cells above ``depth`` that have over ``most`` points, by their
+    full-depth ``key``."""
+    counts = runs.tallied(points.select(F.col(key).alias("prefix")), "prefix")
+    cells = runs.crowded(counts, {"prefix": depth}, most, dim, total=points.count())
+    return cut(cells.filter(F.col("_n") > most).select(*OCTANT))
 
 
 def construct(points: DataFrame, depth: int, most: int, dim: int = 3, key: str = "key") -> DataFrame:
     """The complete octree of points with a full-depth ``key``: a cell above
     ``depth`` is split iff it has over ``most`` points.  Repeated points count;
     empty leaves are part of the tree; no points make the root."""
-    cells = runs.crowded(_counted(points, key), {"prefix": depth}, most, dim)
-    return _leaves_below(cut(cells.filter(F.col("_n") > most).select(*OCTANT)), dim)
+    internal = crowded(points, depth, most, dim, key)
+    return leaves_below(internal, dim, internal.count())
 
 
 #: Levels that one step of a roll-up lists.
@@ -117,7 +146,7 @@ def linearise(cells: DataFrame, dim: int = 3) -> DataFrame:
 
 def complete(cells: DataFrame, dim: int = 3) -> DataFrame:
     """The coarsest complete octree that has the finest of ``cells``."""
-    return _leaves_below(ancestors(octants(cells), dim), dim)
+    return leaves_below(ancestors(octants(cells), dim), dim)
 
 
 def merge(one: DataFrame, two: DataFrame, dim: int = 3) -> DataFrame:
@@ -149,33 +178,25 @@ def regular(spark, level: int, dim: int = 3) -> DataFrame:
     return spark.range(2 ** (dim * level)).select(F.lit(level).alias("level"), F.col("id").alias("prefix"))
 
 
-def _split_above(levels: DataFrame, parents_around: Callable[[DataFrame, int], DataFrame]) -> DataFrame | None:
-    """All cells that are split in the balanced tree, from those right above
-    leaves; None if there are none.  From the finest level up: where a cell is
-    split, the cells around it exist, so their parents are split.  One distinct
-    a level.  ``parents_around`` gets the cells of a level and the level."""
-    above = cut(levels.distinct())
-    deepest = above.agg(F.max("level")).first()[0]
-    if deepest is None:
-        return None
-    at = above.filter(F.col("level") == deepest)
-    found = [at]
-    for level in range(deepest - 1, -1, -1):
-        at = cut(parents_around(at, level + 1).unionByName(above.filter(F.col("level") == level)).distinct())
-        found.append(at)
-    return reduce(DataFrame.unionByName, found)
+def split_in_balanced(internal: DataFrame, depths: dict[str, int], dim: int, corners: bool) -> DataFrame:
+    """The cells with their bits ``_kids`` that are split in the balanced tree,
+    if ``internal`` are: listed chunk by chunk, then united."""
+    made = cut(runs.balanced(internal, depths, dim, corners, total=internal.count()))
+    return cut(gathered(made, ("level", *depths), made.count()))
+
+
+def balance_below(internal: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
+    """The coarsest balanced octree in which all ``internal`` are split."""
+    split = split_in_balanced(internal, {"prefix": K.MAX_DEPTH}, dim, corners)
+    return _leaves_of(split, split, dim)
 
 
 def balance(leaves: DataFrame, dim: int = 3, corners: bool = True) -> DataFrame:
     """The coarsest refinement of a complete octree in which neighbouring
     leaves differ by one level at most; a tree with gaps is completed."""
     leaves = octants(leaves)
-
-    around = F.explode(K.parents_around(F.col("level"), F.col("prefix"), dim, corners)).alias("prefix")  # made once, as it is long
-    up = (F.col("level") - 1).alias("level")
-    above = leaves.filter("level > 0").select(up, F.shiftright("prefix", dim).alias("prefix"))
-    internal = _split_above(above, lambda cells, _: cells.select(up, around))
-    return leaves.distinct() if internal is None else _leaves_below(internal, dim)
+    above = cut(leaves.filter("level > 0").select((F.col("level") - 1).alias("level"), F.shiftright("prefix", dim).alias("prefix")).distinct())
+    return leaves.distinct() if above.isEmpty() else balance_below(above, dim, corners)
 
 
 def balance_candidates(cells: DataFrame, depth: int, dim: int = 3, corners: bool = True) -> DataFrame:

@@ -69,6 +69,11 @@ def fine_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.construct(fine_lines(spark, sf_dir), FINE_DEPTH, MOST)
 
 
+def fine_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that this tree splits."""
+    return tree.crowded(fine_lines(spark, sf_dir), FINE_DEPTH, MOST)
+
+
 def mesh_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.balance(tree.construct(order_lines(spark, sf_dir), MESH_DEPTH, MESH_MOST))
 
@@ -518,12 +523,12 @@ wrong AS (SELECT DISTINCT n.level::INT AS level, n.prefix FROM near n JOIN {cell
 
 @query(f"{_STEEP}, {_balanced(bits=_B)} SELECT level::INT AS level, prefix FROM balanced")
 def balance_octree(spark, sf_dir):
-    return tree.balance(fine_leaves(spark, sf_dir))
+    return tree.balance_below(fine_crowded(spark, sf_dir))
 
 
 @query(f"{_STEEP}, {_balanced(bits=_B)}, {_unbalanced('balanced')} SELECT count(*) AS violations FROM wrong")
 def balance_violations(spark, sf_dir):
-    return tree.unbalanced(tree.spread(tree.cut(tree.balance(fine_leaves(spark, sf_dir))))).agg(F.count("*").alias("violations"))
+    return tree.unbalanced(tree.spread(tree.cut(tree.balance_below(fine_crowded(spark, sf_dir))))).agg(F.count("*").alias("violations"))
 
 
 @query(f"{_STEEP}, {_unbalanced('leaves')} SELECT level, prefix FROM wrong")

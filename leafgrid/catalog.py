@@ -538,7 +538,7 @@ def unbalanced_leaves(spark, sf_dir):
 
 @query(f"{_STEEP}, {_balanced(directions='dx * dy * dz = 0', bits=_B)} SELECT level::INT AS level, prefix FROM balanced")
 def balance_without_corners(spark, sf_dir):
-    return tree.balance(fine_leaves(spark, sf_dir), corners=False)
+    return tree.balance_below(fine_crowded(spark, sf_dir), corners=False)
 
 
 @query(

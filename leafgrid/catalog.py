@@ -546,8 +546,8 @@ def balance_without_corners(spark, sf_dir):
 SELECT level::INT AS level, prefix, side FROM (SELECT *, 1 AS side FROM (FROM one EXCEPT ALL FROM two) UNION ALL SELECT *, 2 FROM (FROM two EXCEPT ALL FROM one))"""
 )
 def tree_difference(spark, sf_dir):
-    cells = tree.cut(fine_leaves(spark, sf_dir))
-    return tree.difference(tree.balance(cells), cells)
+    split = fine_crowded(spark, sf_dir)
+    return tree.difference(tree.balance_below(split), tree.leaves_below(split, total=split.count()))
 
 
 @query(f"WITH {KEYED}, flat AS (SELECT {_encode('x', 'y')} AS key FROM keyed), {_tree_sql(source='flat', dim=2)} SELECT level::INT AS level, prefix FROM leaves")

@@ -311,6 +311,10 @@ def by_density(cells: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def difference(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(level, prefix, side): cells of only one of two trees, by the side."""
+    """(level, prefix, side): cells of only one of two trees, by the side; cells
+    that one has more often, as often more."""
     one, two = octants(one), octants(two)
-    return one.exceptAll(two).withColumn("side", F.lit(1)).unionByName(two.exceptAll(one).withColumn("side", F.lit(2)))
+    rows = one.withColumn("_n", F.lit(1)).unionByName(two.withColumn("_n", F.lit(-1)))
+    counts = rows.repartition(*runs.tasks(rows, rows.count()), *OCTANT).groupBy(*OCTANT).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, 1).otherwise(2)
+    return counts.select(*OCTANT, F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))

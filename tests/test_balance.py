@@ -104,3 +104,12 @@ def test_points_without_keys_and_many_of_one(spark):
     assert runs.tallied(points, "key", chunk=40).groupBy("key").agg(F.sum("_n")).orderBy("key").collect() == [(5, 70), (6, 1)]
     assert tree.leaf_counts(points, tree.construct(points, 2, 3), 2).agg(F.sum("n")).first()[0] == 71
     assert tree.construct(points.filter("key is null"), 2, 3).collect() == [(0, 0)]
+
+
+def test_difference_counts_copies_in_one_sum(spark):
+    one = spark.createDataFrame([(1, 1)] * 3 + [(1, 2), (2, 9)], tree_schema := "level int, prefix bigint")
+    two = spark.createDataFrame([(1, 1)] + [(1, 2)] * 2 + [(2, 9), (3, 0)], tree_schema)
+    found = tree.difference(one, two)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1), (1, 1, 1), (1, 2, 2), (3, 0, 2)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") <= 2
+    assert tree.difference(one, one).isEmpty()
